@@ -60,6 +60,6 @@ def running_sum(df: DataFrame, keys: list[str], bucket: Column, order: list[Colu
     d = df.withColumn(BUCKET, bucket).withColumn("__v", F.coalesce(value, F.lit(0)))
     inside = Window.partitionBy(*keys, BUCKET).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     across = Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    sums = d.groupBy(*keys, BUCKET).agg(F.sum("__v").alias("__all")).withColumn("__far", F.sum("__all").over(across)).drop("__all")
+    sums = d.groupBy(*keys, BUCKET).agg(F.sum("__v").alias("__sum")).withColumn("__far", F.sum("__sum").over(across)).drop("__sum")
     joined = _carry(d.withColumn("__near", F.sum("__v").over(inside)), sums, keys, "__far")
     return joined.withColumn(out, F.col("__near") + F.coalesce("__far", F.lit(0))).drop("__v", "__near", "__far", BUCKET)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from braidframe.plans import training
+from braidframe.plans import aggregates, relational, training
 
-_MODULES = (training,)
+_MODULES = (training, relational, aggregates)
 
 QUERIES: dict = {}
 ORACLE: dict = {}
