@@ -56,17 +56,23 @@ def dyadic_words(df: DataFrame, keys: list[str], start: str, end: str) -> DataFr
     return d.select(*keys, "radix", F.inline(F.array_compact(F.array(head, tail))))
 
 
-def _pieces(df: DataFrame, keys: list[str]) -> DataFrame:
-    """The runs of set slots of each word as [lo, hi) in biased units, with the word's radix."""
+def _pieces(df: DataFrame, keep: list[str]) -> DataFrame:
+    """The runs of set slots of each word as [lo, hi) in biased units, beside the columns to keep."""
     shl = lambda c: F.shiftleft(c, 1)
-    begins = F.col("mask").bitwiseAND(F.bitwise_not(shl(F.col("mask"))))
-    ends = F.col("mask").bitwiseAND(F.bitwise_not(F.shiftrightunsigned(F.col("mask"), 1)))
+    mask = F.col("mask")
+    begins = mask.bitwiseAND(F.bitwise_not(F.shiftleft(mask, 1)))
+    ends = mask.bitwiseAND(F.bitwise_not(F.shiftrightunsigned(mask, 1)))
+    # the slots below the lowest set one are as many as the ones in (begins - 1); most words are one run
+    low = F.bit_count(begins - F.lit(1).cast("bigint"))
+    single = F.array(F.struct(low.alias("s"), (low + F.bit_count(mask) - 1).alias("e")))
     bits = lambda c: F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.getbit(c, i) == 1)
-    d = df.withColumn("__run", F.explode(F.arrays_zip(bits(begins).alias("s"), bits(ends).alias("e"))))
+    several = F.arrays_zip(bits(begins).alias("s"), bits(ends).alias("e"))
+    is_single = (F.bit_count(begins) == 1) & (begins > 0)  # the top slot alone is negative
+    d = df.withColumn("__run", F.explode(F.when(is_single, single).otherwise(several)))
     base, shift = F.shiftleft(F.col("word"), STEP), (F.col("radix") * STEP).cast("int")
     lo = F.call_function("shiftleft", base + F.col("__run")["s"], shift)
     hi = F.call_function("shiftleft", base + F.col("__run")["e"] + 1, shift)
-    return d.select(*keys, "radix", lo.alias("lo"), hi.alias("hi"))
+    return d.select(*keep, lo.alias("lo"), hi.alias("hi"))
 
 
 def _covered_scan(pieces: DataFrame, by: list[str]) -> DataFrame:
@@ -86,8 +92,13 @@ def _runs(df: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
     ``before`` is the end of the previous run of the cell. The table is written once, since gaps and
     periods read it several times; it has at most a row per interval and cell.
     """
-    words = dyadic_words(df, keys, start, end).groupBy(*keys, "radix", "word").agg(F.bit_or("mask").alias("mask"))
-    pieces = _pieces(words, keys).withColumn("cell", F.when(F.col("radix") < CELL_RADIX, F.shiftright(F.col("lo"), STEP * CELL_RADIX)))
+    # Equal intervals are united first, one small row each. The words then travel once: partitioned by
+    # cell they need no further exchange to be united, ordered and coalesced.
+    once = df.where(F.col(end) > F.col(start)).select(*keys, F.col(start), F.col(end)).distinct()
+    cell_of = F.when(F.col("radix") < CELL_RADIX, _shift("right", F.col("word"), (CELL_RADIX - 1 - F.col("radix")) * STEP))
+    placed = dyadic_words(once, keys, start, end).withColumn("cell", cell_of).repartition(*keys, "cell")
+    words = placed.groupBy(*keys, "cell", "radix", "word").agg(F.bit_or("mask").alias("mask"))
+    pieces = _pieces(words, [*keys, "cell"])
     cell = Window.partitionBy(*keys, "cell")
     # Larger blocks come first at equal starts and blocks nest or are disjoint: a block that an
     # ancestor covers ends within what came before and never opens a run.
