@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from braidframe.plans import aggregates, relational, training
+from braidframe.plans import aggregates, metadata, relational, training
 
-_MODULES = (training, relational, aggregates)
+_MODULES = (training, relational, aggregates, metadata)
 
 QUERIES: dict = {}
 ORACLE: dict = {}
