@@ -1,0 +1,90 @@
+import math
+import random
+
+import pytest
+
+from braidframe.operators import sketch
+
+SCHEMA = "g string, v double, level string, slot string, weight string, code string"
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(g, v, "x", "x", "x", "x") for g, v in rows], SCHEMA)
+
+
+def estimates(spark, rows):
+    found = sketch.percentiles(sketch.build(frame(spark, rows), ["g"], "v"), ["g"])
+    return {(r["g"], r["q"]): (r["n"], r["estimate"]) for r in found.collect()}
+
+
+SHAPES = {
+    "uniform": lambda r: r.random() * 1000,
+    "heavy": lambda r: r.paretovariate(0.7),
+    "equal": lambda r: 42.0 if r.random() < 0.6 else r.random() * 100,
+    "wide": lambda r: 10 ** r.uniform(-9, 15),
+    "whole": lambda r: float(r.randint(0, 3)),
+}
+
+
+@pytest.mark.parametrize("shape", sorted(SHAPES))
+def test_rank_error_against_sorting(spark, shape):
+    rng = random.Random(shape)
+    values = sorted(SHAPES[shape](rng) for _ in range(20_000))
+    got = estimates(spark, [("a", v) for v in values])
+    for (_, q), (n, estimate) in got.items():
+        assert n == len(values)
+        rel = 2.1 * sketch.RELATIVE_ERROR
+        low = sum(v < estimate * (1 - rel) for v in values)
+        high = sum(v <= estimate * (1 + rel) for v in values)
+        rank = math.ceil(q * n)
+        assert low - sketch.RANK_ERROR * n < rank <= high + sketch.RANK_ERROR * n
+
+
+def test_what_is_no_measurement(spark):
+    got = estimates(spark, [("a", None), ("a", float("nan")), ("a", -1.0), ("a", 5.0), (None, 7.0), ("b", -0.5), ("c", 0.0), ("d", float("inf"))])
+    assert {g for g, _ in got} == {"a", None, "c", "d"}
+    assert got["a", 0.5][0] == 1 and got["a", 0.5][1] == pytest.approx(5.0, rel=0.002)
+    assert got[None, 0.5][1] == pytest.approx(7.0, rel=0.002)
+    assert got["c", 0.99] == (1, 0.0) and got["d", 0.5] == (1, math.inf)
+
+
+def test_empty(spark):
+    assert estimates(spark, []) == {}
+
+
+def test_merge_and_deletion(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice("ab"), rng.random() * 10) for _ in range(3000)]
+    whole = sketch.build(frame(spark, rows), ["g"], "v")
+    parts = sketch.build(frame(spark, rows[:1000]), ["g"], "v").unionByName(sketch.build(frame(spark, rows[1000:]), ["g"], "v"))
+    merged = sketch.merge(parts, ["g"])
+    as_set = lambda d: {tuple(r) for r in d.where("weight <> 0").select("g", "level", "row", "slot", "weight").collect()}
+    assert as_set(whole) == as_set(merged)
+    from pyspark.sql import functions as F
+
+    undone = whole.unionByName(sketch.build(frame(spark, rows[:1000]), ["g"], "v", weight=F.lit(-1)))
+    assert as_set(sketch.merge(undone, ["g"])) == as_set(sketch.build(frame(spark, rows[1000:]), ["g"], "v"))
+
+
+def test_size_is_bounded(spark):
+    rng = random.Random(4)
+    built = sketch.build(frame(spark, [("a", 10 ** rng.uniform(-5, 12)) for _ in range(30_000)]), ["g"], "v")
+    assert built.count() <= sketch.ROWS * sketch.WIDTH * sketch.EXACT_FROM + 2 * sketch.WIDTH
+
+
+def test_hash_equals_sparks(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(lv, r, p) for lv in (0, 5) for r in (0, 4) for p in (0, 1, 2**20, 123456789)], "l int, r int, p bigint")
+    for row in df.select("*", F.xxhash64("l", "r", "p").alias("h")).collect():
+        assert sketch._xxhash_parts(row["l"], row["r"], row["p"]) == row["h"] % 2**64
+
+
+def test_codes_keep_order(spark):
+    from pyspark.sql import functions as F
+
+    values = [0.0, 1e-320, 1e-12, 0.5, 1.0, 1.01, 1e9, 1e300, float("inf")]
+    codes = [r["c"] for r in spark.createDataFrame([(v,) for v in values], "v double").select("v", sketch.encode(F.col("v")).alias("c")).orderBy("v").collect()]
+    assert codes == sorted(codes) and codes[0] == codes[1] == 0
+    for v, c in zip(values[2:-1], codes[2:-1], strict=True):
+        assert sketch.decode(c) == pytest.approx(v, rel=1.1 * sketch.RELATIVE_ERROR)
