@@ -6,6 +6,7 @@ from collections import deque
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -51,33 +52,43 @@ def waves(nodes: DataFrame, edges: DataFrame, keys: Sequence[str], node: str, mo
 
 
 def _levels_by_graph(every: DataFrame, links: DataFrame, keys: Sequence[str]) -> DataFrame:
-    none = F.lit(None).cast(every.schema["node"].dataType).alias("dep")
-    rows = every.select(*keys, "node", none).unionByName(links.select(*keys, "node", F.col("dep").cast(every.schema["node"].dataType).alias("dep")))
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        waiting: dict = {}
+    """Kahn's algorithm over buckets of whole graphs; a bucket has about EDGES_A_TASK edges at most."""
+    spark = every.sparkSession
+    kind = every.schema["node"].dataType
+    buckets = max(spark.sparkContext.defaultParallelism, links.count() // EDGES_A_TASK + 1)
+    rows = every.select(*keys, "node", F.lit(None).cast(kind).alias("dep")).unionByName(links.select(*keys, "node", F.col("dep").cast(kind).alias("dep")))
+    rows = rows.withColumn("__bucket", F.pmod(F.xxhash64(*keys) if keys else F.lit(0), F.lit(buckets)))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        # nodes of different graphs never meet, so a bucket is levelled as one graph
+        owner = list(zip(*[pdf[k] for k in keys], strict=True)) if keys else [()] * len(pdf)
+        number: dict = {}
+        own = [number.setdefault((o, n), len(number)) for o, n in zip(owner, pdf["node"], strict=True)]
         after: dict = {}
-        linked = pdf["dep"].notna()
-        for n in pdf.loc[~linked, "node"]:
-            waiting[n] = 0
-        for n, dep in zip(pdf.loc[linked, "node"], pdf.loc[linked, "dep"], strict=True):
-            waiting[n] += 1
-            after.setdefault(dep, []).append(n)
-        level = {n: 0 for n, k in waiting.items() if k == 0}
-        queue = deque(level)
+        waiting = [0] * len(number)
+        for i in np.flatnonzero(pdf["dep"].notna().to_numpy()):
+            after.setdefault(number[owner[i], pdf["dep"].iat[i]], []).append(own[i])
+            waiting[own[i]] += 1
+        level = [0] * len(number)
+        queue = deque(i for i, k in enumerate(waiting) if k == 0)
+        left = len(number)
         while queue:
             n = queue.popleft()
+            left -= 1
             for m in after.get(n, ()):
                 waiting[m] -= 1
                 if waiting[m] == 0:
                     level[m] = level[n] + 1
                     queue.append(m)
-        if len(level) < len(waiting):
+        if left:
             raise ValueError("the graph has a cycle")
-        return pd.DataFrame({**{k: [v] * len(level) for k, v in zip(keys, key, strict=True)}, "node": list(level), "wave": list(level.values())})
+        first = pdf["dep"].isna().to_numpy()  # each node has one row without dependency
+        out = pdf.loc[first, [*keys, "node"]].copy()
+        out["wave"] = [level[i] for i, f in zip(own, first, strict=True) if f]
+        return out
 
     schema = T.StructType([*every.select(*keys, "node").schema, T.StructField("wave", T.IntegerType())])
-    return rows.groupBy(*keys).applyInPandas(run, schema)
+    return rows.groupBy("__bucket").applyInPandas(run, schema)
 
 
 def _levels_by_round(every: DataFrame, links: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -76,7 +77,11 @@ def build(df: DataFrame, keys: Sequence[str], value: str, weight: Column | None
         *[F.struct(F.lit(lv).alias("level"), F.lit(r).alias("row")) for lv in range(EXACT_FROM) for r in range(ROWS)],
         *[F.struct(F.lit(lv).alias("level"), F.lit(0).alias("row")) for lv in range(EXACT_FROM, BITS + 1)],
     )
-    d = histogram(df, keys, value, weight).select("*", F.inline(plan))
+    # Each code becomes some sixty counters: the small histogram is spread by number, since partitions
+    # coalesced by its size would leave that work to a few tasks.
+    spark = df.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    d = histogram(df, keys, value, weight).repartition(tasks, *keys, "code").select("*", F.inline(plan))
     prefix = F.call_function("shiftright", F.col("code"), F.col("level"))
     h = F.xxhash64(F.col("level"), F.col("row"), prefix)
     hashed = F.col("level") < EXACT_FROM
@@ -118,20 +123,25 @@ def _xxhash_parts(level: int, row: int, prefix: int) -> int:
 
 
 def _descend(counters: pd.DataFrame, wanted: Sequence[float]) -> tuple[int, list[int]]:
-    table = {(lv, r, s): w for lv, r, s, w in zip(counters["level"], counters["row"], counters["slot"], counters["weight"], strict=True)}
-    n = int(table.get((BITS, 0, 0), 0))
+    level, row, slot, weight = (counters[c].to_numpy() for c in ("level", "row", "slot", "weight"))
+    fine = level < EXACT_FROM
+    hashed = np.zeros((EXACT_FROM, ROWS, WIDTH), dtype=np.int64)
+    hashed[level[fine], row[fine], slot[fine]] = weight[fine]
+    coarse = np.zeros(2 * WIDTH, dtype=np.int64)  # prefix p of the level with 2**k prefixes at 2**k + p
+    coarse[(1 << (BITS - level[~fine])) + slot[~fine]] = weight[~fine]
+    n = int(coarse[1])
     seen: dict[tuple[int, int], float] = {}
 
     def estimate(level: int, prefix: int) -> float:
         if (level, prefix) not in seen:
             if level >= EXACT_FROM:
-                seen[level, prefix] = float(table.get((level, 0, prefix), 0))
+                seen[level, prefix] = float(coarse[(1 << (BITS - level)) + prefix])
             else:
                 votes = []
                 for r in range(ROWS):
                     h = _xxhash_parts(level, r, prefix)
                     signed = h - (1 << 64) if h >> 63 else h
-                    w = table.get((level, r, signed % WIDTH), 0)
+                    w = int(hashed[level, r, signed % WIDTH])
                     votes.append(-w if signed < 0 else w)
                 seen[level, prefix] = float(sorted(votes)[ROWS // 2])
         return seen[level, prefix]
