@@ -234,3 +234,12 @@ def fingerprint(*parts: Column) -> Column:
     """sha256 over the parts; null and the empty string differ, and so do values of neighbouring parts."""
     tagged = [F.when(p.isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.length(p.cast("string")).cast("string"), F.lit(":"), p.cast("string"))) for p in parts]
     return F.sha2(F.concat(*tagged), 256)
+
+
+def closest(c: Column | str, names: Sequence[str], most: int = 3, cutoff: float = 0.4) -> Column:
+    """Up to ``most`` of the names that resemble a text, best first, by edit distance over the longer length."""
+    text = _c(c)
+    scored = F.array(*[F.struct((1 - divide(F.levenshtein(text, F.lit(n)).cast("double"), F.greatest(F.length(text), F.lit(len(n))).cast("double"), F.lit(0.0))).alias("s"), F.lit(n).alias("n")) for n in names])
+    near = F.filter(scored, lambda x: x["s"] >= cutoff)
+    ranked = F.array_sort(near, lambda a, b: F.when(a["s"] > b["s"], -1).when(a["s"] < b["s"], 1).when(a["n"] < b["n"], -1).when(a["n"] > b["n"], 1).otherwise(0))
+    return F.transform(F.slice(ranked, 1, most), lambda x: x["n"])

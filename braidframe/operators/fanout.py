@@ -11,8 +11,13 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from braidframe.session import bounded_rows
 
 ORDINAL = "branch"
+#: A branch table holds arguments, not data.
+MOST_BRANCHES = 10_000
 _PLACEHOLDER = re.compile(r"\{([^{}]*)\}")
 
 
@@ -93,24 +98,34 @@ def branches(spark: SparkSession, rows: Iterable[Mapping[str, Any]], schema: str
 
 
 def chain(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Every existing branch with every new row, the old ordinal slowest.
+    """Every existing branch with every new row, the old ordinal slowest (both are control tables)."""
+    a, b = (bounded_rows(t.orderBy(ORDINAL), MOST_BRANCHES, "a branch table") for t in (left, right))
+    rest = lambda t: [f for f in t.schema.fields if f.name != ORDINAL]
+    schema = T.StructType([T.StructField(ORDINAL, T.IntegerType()), *rest(left), *rest(right)])
+    pick = lambda t, r: [r[f.name] for f in rest(t)]
+    rows = [(i, *pick(left, x), *pick(right, y)) for i, (x, y) in enumerate(itertools.product(a, b))]
+    return left.sparkSession.createDataFrame(rows, schema)
+
+
+def across(data: DataFrame, branch_table: DataFrame) -> DataFrame:
+    """Every row once per branch, with the branch's columns.
 
-    A product of two branch tables (control data), not of data tables.
+    The branches become a literal array that each row explodes, so there is neither a join nor an
+    exchange, and the rows stay in generated code. At most ``MOST_BRANCHES`` branches.
     """
-    a = left.withColumnRenamed(ORDINAL, "__a")
-    b = right.withColumnRenamed(ORDINAL, "__b")
-    width = right.agg(F.max(ORDINAL).alias("__w"))
-    return a.join(F.broadcast(b)).join(F.broadcast(width)).select((F.col("__a") * (F.col("__w") + 1) + F.col("__b")).alias(ORDINAL), *[c for c in a.columns if c != "__a"], *[c for c in b.columns if c != "__b"])
+    fields = branch_table.schema.fields
+    rows = bounded_rows(branch_table, MOST_BRANCHES, "a branch table")
+    made = [F.struct(*[F.lit(r[f.name]).cast(f.dataType).alias(f.name) for f in fields]) for r in rows]
+    return data.select("*", F.inline(F.array(*made))) if made else data.limit(0).select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in fields])
 
 
 def run_over(branch_table: DataFrame, data: DataFrame, keys: Sequence[str], *metrics: Column) -> DataFrame:
     """Apply all branches to all rows in one job and aggregate per branch (and ``keys``).
 
-    The branch table is broadcast: it holds arguments, and its size is bounded by the caller's list.
     Partial aggregation keeps what leaves a task at branches x groups rows.
     """
     names = [c for c in branch_table.columns if c not in keys]
-    return data.join(F.broadcast(branch_table)).groupBy(*names, *keys).agg(*metrics)
+    return across(data, branch_table).groupBy(*names, *keys).agg(*metrics)
 
 
 def expand(template: str, **wildcards: Any) -> ExpandedPaths:

@@ -118,3 +118,30 @@ def resolve_version(asked: DataFrame, versions: DataFrame, aliases: DataFrame, k
     named = aliases.select(key, F.col("alias").alias("selector"), F.col("version_id").alias("__alias"))
     d = asked.join(newest, key, "left").join(named, [key, "selector"], "left")
     return d.withColumn("version_id", F.when(F.col("selector").isNull(), F.col("__latest")).otherwise(F.coalesce("__alias", "selector"))).drop("__latest", "__alias")
+
+
+def occurrence(df: DataFrame, label: str, order: str, out: str, bucket: Column, pattern: str = "%s[%d]") -> DataFrame:
+    """Add ``out``: the label, numbered by ``order`` where it occurs more than once.
+
+    ``bucket`` must not decrease along ``order``; numbers are counted in buckets and shifted, so a label
+    may hold any share of the rows.
+    """
+    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("__many")).withColumnRenamed(label, "__label")
+    numbered = running_sum(df, [label], bucket, [order], F.lit(1), "__nth")
+    joined = numbered.join(counts, F.col(label).eqNullSafe(F.col("__label")), "left")
+    return joined.withColumn(out, F.when(F.col("__many") > 1, F.format_string(pattern, label, "__nth")).otherwise(F.col(label))).drop("__many", "__nth", "__label")
+
+
+def roll_up(reach: DataFrame, weights: DataFrame, keys: Sequence[str], measures: Sequence[str]) -> DataFrame:
+    """Sums of each measure over everything a root reaches, itself included (``reach`` from graph.reachable)."""
+    return reach.join(weights, [*keys, "node"]).groupBy(*keys, "root").agg(F.count(F.lit(1)).alias("n_nodes"), *[F.sum(m).alias(m) for m in measures])
+
+
+def profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, dtype, n, n_null, n_distinct) of some columns in one pass over the table."""
+    aggs = [F.count(F.lit(1)).alias("n")]
+    for c in columns:
+        aggs += [F.count(c).alias(f"k_{c}"), F.count_distinct(c).alias(f"d_{c}")]
+    row = df.agg(*aggs)
+    parts = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(df.schema[c].dataType.simpleString()).alias("dtype"), F.col("n"), (F.col("n") - F.col(f"k_{c}")).alias("n_null"), F.col(f"d_{c}").alias("n_distinct")) for c in columns])
+    return row.select(F.inline(parts))

@@ -112,7 +112,7 @@ round_even(coalesce(tp / nullif(tp + fn, 0)::DOUBLE, 0), 3) AS recall, round_eve
 
 def _metrics(spark: SparkSession, d: str) -> DataFrame:
     candidates = fanout.branches(spark, [{"candidate": n, "threshold": t} for n, t in (("loose", 0.03), ("middle", 0.06), ("strict", 0.09))])
-    lines = table(spark, d, "lineitem").select("l_returnflag", "l_discount").join(F.broadcast(candidates))
+    lines = fanout.across(table(spark, d, "lineitem").select("l_returnflag", "l_discount"), candidates)
     return tabular.confusion(lines, F.col("l_returnflag") == "R", F.col("l_discount") >= F.col("threshold"), ["candidate"])
 
 
@@ -166,7 +166,7 @@ def scenario_cross_sweep(spark: SparkSession, d: str) -> DataFrame:
     scenarios = fanout.branches(spark, fanout.zip_rows(scenario=[s[0] for s in _SCENARIOS], days=[s[1] for s in _SCENARIOS], scale=[s[2] for s in _SCENARIOS])).drop(fanout.ORDINAL)
     orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderdate", F.col("o_orderpriority").alias("priority"))
     lines = table(spark, d, "lineitem").select("l_orderkey", "l_quantity", "l_shipdate").join(orders, "l_orderkey")
-    x = lines.join(F.broadcast(scenarios)).select("scenario", "priority", parity.round_half_even(F.col("l_quantity") * F.col("scale") / 50.0, 2).alias("fill"), (F.date_diff("l_shipdate", "o_orderdate") - F.col("days")).alias("slack"))
+    x = fanout.across(lines, scenarios).select("scenario", "priority", parity.round_half_even(F.col("l_quantity") * F.col("scale") / 50.0, 2).alias("fill"), (F.date_diff("l_shipdate", "o_orderdate") - F.col("days")).alias("slack"))
     return x.groupBy("scenario", "priority").agg(F.count(F.lit(1)).alias("n"), parity.round_half_even(F.avg("fill"), 3).alias("mean_fill"), F.min("fill").alias("worst_fill"), F.count_if(F.col("fill") < 0.2).alias("n_low"), F.count_if(F.col("slack") < 0).alias("n_late"))
 
 

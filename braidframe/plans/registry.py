@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from braidframe.plans import aggregates, metadata, relational, training
+from braidframe.plans import aggregates, inspection, metadata, relational, training
 
-_MODULES = (training, relational, aggregates, metadata)
+_MODULES = (training, relational, aggregates, metadata, inspection)
 
 QUERIES: dict = {}
 ORACLE: dict = {}

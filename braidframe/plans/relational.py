@@ -234,8 +234,8 @@ def drop_null_rows(spark: SparkSession, d: str) -> DataFrame:
 def constant_from_aggregate(spark: SparkSession, d: str) -> DataFrame:
     """A scalar of the whole table beside every group's row."""
     groups = table(spark, d, "part").groupBy("p_brand").agg(F.count(F.lit(1)).alias("n"))
-    total = groups.agg(F.sum("n").alias("total"))  # one row
-    return groups.join(F.broadcast(total)).withColumn("percent", parity.round_half_even(100.0 * F.col("n") / F.col("total"), 1))
+    total = groups.agg(F.sum("n")).scalar()
+    return groups.withColumn("total", total).withColumn("percent", parity.round_half_even(100.0 * F.col("n") / F.col("total"), 1))
 
 
 # --- set operations -------------------------------------------------------------------------------
