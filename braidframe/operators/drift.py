@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from braidframe.operators import jsontext
 from braidframe.operators.ordered import neighbour
-from braidframe.session import bounded_rows
+from braidframe.session import bounded_rows, spread
 
 #: The alias table is read as a control table of at most so many rows.
 MOST_ALIASES = 100_000
@@ -82,7 +82,7 @@ def file_facts(raw: DataFrame, names: dict[str, str]) -> DataFrame:
                 )
 
     rows = raw.where(F.col("record").isNotNull()).select(F.col("file_id").cast("bigint").alias("file_id"), "record")
-    return rows.mapInArrow(run, "file_id bigint, field string, spelled string, kind string").distinct()
+    return spread(rows, "record", source=raw).mapInArrow(run, "file_id bigint, field string, spelled string, kind string").distinct()
 
 
 def file_schemas(facts: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from braidframe.operators import jsontext
-from braidframe.session import spread
+from braidframe.session import task_count
 
 #: Values, apart from objects and arrays.
 SCALARS = ("string", "whole", "fraction", "boolean", "null")
@@ -140,8 +140,9 @@ def shred(df: DataFrame, key: str, text: str, rules: tuple[Entity, ...], *, ever
     spelling, null and containers have a null scalar. ``path`` joins keys and positions by ``/``.
     ``every=False`` leaves out the nodes that are no entity. Other columns of ``df`` are ignored.
     """
-    docs = df.where(F.col(text).isNotNull()).select(F.col(key).alias("__key"), F.col(text).alias("__text")).distinct()
-    docs = spread(docs, "__key").withColumn("__doc", F.md5(F.col("__text").cast("binary")))
+    # One exchange, by digest: repeated texts meet and are dropped, and parsing gets its tasks.
+    docs = df.where(F.col(text).isNotNull()).select(F.col(key).alias("__key"), F.col(text).alias("__text"), F.sha2(F.col(text), 256).alias("__doc"))
+    docs = docs.repartition(task_count(df.sparkSession), "__key", "__doc").distinct()
     key_type = df.schema[key].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

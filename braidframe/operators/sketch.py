@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from braidframe.session import task_count
+
 #: Bits of a code: resolutions 0 (single codes) to BITS (everything).
 BITS = 20
 #: Independent rows of a hashed resolution; the estimate is their median.
@@ -79,9 +81,7 @@ def build(df: DataFrame, keys: Sequence[str], value: str, weight: Column | None
     )
     # Each code becomes some sixty counters: the small histogram is spread by number, since partitions
     # coalesced by its size would leave that work to a few tasks.
-    spark = df.sparkSession
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
-    d = histogram(df, keys, value, weight).repartition(tasks, *keys, "code").select("*", F.inline(plan))
+    d = histogram(df, keys, value, weight).repartition(task_count(df.sparkSession), *keys, "code").select("*", F.inline(plan))
     prefix = F.call_function("shiftright", F.col("code"), F.col("level"))
     h = F.xxhash64(F.col("level"), F.col("row"), prefix)
     hashed = F.col("level") < EXACT_FROM

@@ -53,20 +53,29 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
+def spread(df: DataFrame, *keys: str, source: DataFrame | None = None) -> DataFrame:
     """Give a CPU-heavy per-row stage enough tasks.
 
     A scan of few, small files yields fewer partitions than the cluster has cores. Only then are the
     rows exchanged (hash of ``keys``, so that a retried task gets the same rows); a scan that already
-    splits well is left alone and no text is shuffled.
+    splits well is left alone and no text is shuffled. ``source`` is the scan to look at where ``df``
+    joins control tables to it. A plan with exchanges is left alone: counting its partitions would run
+    it.
     """
-    spark = df.sparkSession
-    wanted = max(spark.sparkContext.defaultParallelism, 1)
-    if df.rdd.getNumPartitions() >= wanted:
+    scan = df if source is None else source
+    if "Adaptive" in scan._jdf.queryExecution().executedPlan().nodeName():
+        return df
+    wanted = max(df.sparkSession.sparkContext.defaultParallelism, 1)
+    if scan.rdd.getNumPartitions() >= wanted:
         return df
     return df.repartition(wanted * 3, *[F.col(k) for k in keys])
 
 
+def task_count(spark: SparkSession) -> int:
+    """Tasks for a CPU-heavy stage behind an exchange, whose size in bytes says little about its work."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+
+
 def bounded_rows(df: DataFrame, most: int, what: str) -> list:
     """Collect a control table (aliases, targets, limits) after proving its size."""
     rows = df.limit(most + 1).collect()
