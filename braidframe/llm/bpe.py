@@ -233,8 +233,8 @@ def encode_corpus(docs: DataFrame, key: str = "doc_id", text: str = "text", rank
     return rows.mapInArrow(run, T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))]))
 
 
-def count_tokens(docs: DataFrame, keep: list[str], text: str = "text", rank_file: str = RANK_FILE) -> DataFrame:
-    """(keep, n_tokens) of every row; 0 for null and empty texts."""
+def count_tokens(docs: DataFrame, keep: list[str], text: str = "text", rank_file: str = RANK_FILE, source: DataFrame | None = None) -> DataFrame:
+    """(keep, n_tokens) of every row; 0 for null and empty texts. ``source``: the scan behind ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(rank_file)
@@ -242,5 +242,5 @@ def count_tokens(docs: DataFrame, keep: list[str], text: str = "text", rank_file
             counts = pa.array([enc.count(t) for t in batch.column("__text").to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), counts], names=[*keep, "n_tokens"])
 
-    rows = spread(docs.select(*keep, F.col(text).alias("__text")), keep[0])
+    rows = spread(docs.select(*keep, F.col(text).alias("__text")), keep[0], source=source)
     return rows.mapInArrow(run, T.StructType([*(docs.schema[k] for k in keep), T.StructField("n_tokens", T.LongType())]))

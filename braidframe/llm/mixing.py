@@ -22,6 +22,10 @@ ROWS_A_BUCKET = 50_000
 SEED = 7
 
 
+def _goals(targets: DataFrame) -> DataFrame:
+    return targets.where(F.col("source").isNotNull() & (F.col("target_share") > 0) & (F.col("max_repeats") > 0))
+
+
 def supply(docs: DataFrame, targets: DataFrame, rank_file: str = bpe.RANK_FILE) -> DataFrame:
     """(source, doc_id, n_tokens) of the texts that may be mixed, each text once.
 
@@ -29,9 +33,10 @@ def supply(docs: DataFrame, targets: DataFrame, rank_file: str = bpe.RANK_FILE)
     ids and sources, the one with the least (source, doc_id) counts, so that repeats are counted by
     text and not by id. Written once, since it is read several times.
     """
-    wanted = targets.where(F.col("source").isNotNull() & (F.col("target_share") > 0) & (F.col("max_repeats") > 0)).select("source").distinct()
-    rows = docs.select("doc_id", "source", "text").where(F.col("text").isNotNull() & (F.col("text") != "")).join(wanted, "source", "left_semi")
-    counted = bpe.count_tokens(rows.withColumn("digest", F.sha2("text", 256)), ["doc_id", "source", "digest"], "text", rank_file)
+    wanted = _goals(targets).select("source").distinct()
+    wanted = docs.sparkSession.createDataFrame([tuple(r) for r in bounded_rows(wanted, MOST_SOURCES, "mix_targets")], "source string")
+    rows = docs.select("doc_id", "source", "text").where(F.col("text").isNotNull() & (F.col("text") != "")).join(F.broadcast(wanted), "source", "left_semi")
+    counted = bpe.count_tokens(rows.withColumn("digest", F.sha2("text", 256)), ["doc_id", "source", "digest"], "text", rank_file, source=docs)
     once = counted.groupBy("digest").agg(F.min(F.struct("source", "doc_id", "n_tokens")).alias("d")).select("d.*")
     return cut(once, "supply")
 
@@ -74,8 +79,7 @@ def mix(docs: DataFrame, targets: DataFrame, budget: int | None = None, seed: in
     texts = supply(docs, targets, rank_file)
     sizes = texts.groupBy("source").agg(F.sum("n_tokens").alias("n_tokens"), F.count(F.lit(1)).alias("n_texts"))
     sizes = bounded_rows(sizes, MOST_SOURCES, "the sources with targets")
-    rows = targets.where(F.col("source").isNotNull() & (F.col("target_share") > 0) & (F.col("max_repeats") > 0))
-    goal = {r["source"]: (r["w"], r["r"]) for r in bounded_rows(rows.groupBy("source").agg(F.sum("target_share").alias("w"), F.min("max_repeats").alias("r")), MOST_SOURCES, "mix_targets")}
+    goal = {r["source"]: (r["w"], r["r"]) for r in bounded_rows(_goals(targets).groupBy("source").agg(F.sum("target_share").alias("w"), F.min("max_repeats").alias("r")), MOST_SOURCES, "mix_targets")}
     end, live = cutoffs({r["source"]: r["n_tokens"] for r in sizes}, goal, budget)
     plan = []
     for r in sizes:
@@ -96,9 +100,9 @@ def mix(docs: DataFrame, targets: DataFrame, budget: int | None = None, seed: in
 
 def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
     """Per target: tokens, uses and texts in the mix, the greatest number of repeats, the share aimed at and the share reached."""
-    got = mixed.groupBy("source", "doc_id").agg(F.max("use").alias("use"), F.sum("n_tokens").alias("n")).groupBy("source").agg(F.sum("n").alias("n_tokens"), F.sum("use").alias("n_uses"), F.count(F.lit(1)).alias("n_texts"), F.max("use").alias("most_repeats"))
+    got = mixed.groupBy("source", "doc_id").agg(F.count(F.lit(1)).alias("uses"), F.sum("n_tokens").alias("n")).groupBy("source").agg(F.sum("n").alias("n_tokens"), F.sum("uses").alias("n_uses"), F.count(F.lit(1)).alias("n_texts"), F.max("uses").alias("most_repeats"))
     goal = targets.where(F.col("source").isNotNull()).groupBy("source").agg(F.sum("target_share").alias("target_share"), F.min("max_repeats").alias("max_repeats"))
     zero = lambda c: F.coalesce(c, F.lit(0).cast("bigint")).alias(c)
-    table = goal.join(got, "source", "left").select("source", "target_share", "max_repeats", zero("n_tokens"), zero("n_uses"), zero("n_texts"), F.coalesce("most_repeats", F.lit(0)).alias("most_repeats"))
+    table = goal.join(got, "source", "left").select("source", "target_share", "max_repeats", zero("n_tokens"), zero("n_uses"), zero("n_texts"), zero("most_repeats"))
     total = F.sum("n_tokens").over(Window.partitionBy())  # one row per target
     return table.withColumn("reached_share", F.coalesce(F.try_divide(F.col("n_tokens"), total), F.lit(0.0)))

@@ -261,7 +261,7 @@ def split_oversized(docs: DataFrame, limits: DataFrame, *, with_text: bool = Tru
     control = docs.sparkSession.createDataFrame([tuple(r) for r in bounded_rows(rows, MOST_LIMITS, "split_limits")], "source string, max_tokens bigint, overlap_tokens bigint")
     # A token has at least one byte, so most texts are seen to fit without being encoded.
     large = docs.select("doc_id", "source", "text").join(F.broadcast(control), "source").where(F.octet_length("text") > F.col("max_tokens"))
-    large = spread(large, "doc_id")
+    large = spread(large, "doc_id", source=docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         splitter = Splitter(bpe.encoder(rank_file))
