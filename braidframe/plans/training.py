@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from braidframe.functions.time import epoch_micros
 from braidframe.operators import drift, integrity, intervals, shred, sketch
 from braidframe.plans.tables import table
+from braidframe.session import cut
 
 #: Entities of a run manifest.
 MANIFEST = (
@@ -109,24 +110,33 @@ def _measures(spark: SparkSession, d: str) -> DataFrame:
     return runs.unionByName(samples)
 
 
+_P3_KEYS = ["metric", "base_name"]
+
+
+def _month_sketches(spark: SparkSession, d: str) -> DataFrame:
+    """One sketch per metric, base_name and month, written once as a scheduled job would keep them."""
+    by_month = _measures(spark, d).withColumn("period", F.date_format("at", "yyyy-MM"))
+    return cut(sketch.build(by_month, [*_P3_KEYS, "period"], "value"), "sketches")
+
+
 def p3_percentiles(spark: SparkSession, d: str) -> DataFrame:
     """Percentiles of duration_s and rss_bytes per base_name."""
-    keys = ["metric", "base_name"]
-    return sketch.percentiles(sketch.build(_measures(spark, d), keys, "value"), keys)
+    return sketch.percentiles(sketch.build(_measures(spark, d), _P3_KEYS, "value"), _P3_KEYS)
 
 
-def p3_merged_months(spark: SparkSession, d: str) -> DataFrame:
-    """The same from one sketch per month, merged: equal to p3_percentiles row by row."""
-    keys = ["metric", "base_name"]
-    months = sketch.build(_measures(spark, d).withColumn("month", F.date_format("at", "yyyy-MM")), [*keys, "month"], "value")
-    return sketch.percentiles(sketch.merge(months, keys), keys)
+def p3_merge_check(spark: SparkSession, d: str) -> DataFrame:
+    """Percentiles from merged months against those from one sketch of all rows: they are the same."""
+    merged = sketch.percentiles(sketch.merge(_month_sketches(spark, d), _P3_KEYS), _P3_KEYS)
+    direct = sketch.percentiles(sketch.build(_measures(spark, d), _P3_KEYS, "value"), _P3_KEYS)
+    tag = lambda t, name: t.select(*_P3_KEYS, "q", F.struct("n", "code").alias(name))
+    both = tag(merged, "m").unionByName(tag(direct, "d"), allowMissingColumns=True).groupBy(*_P3_KEYS, "q").agg(F.max("m").alias("m"), F.max("d").alias("d"))
+    return both.select(*_P3_KEYS, "q", F.col("m.n").alias("n"), F.col("m").eqNullSafe(F.col("d")).alias("same"))
 
 
 def p3_rank_check(spark: SparkSession, d: str) -> DataFrame:
     """For each percentile: the number of measurements, and whether its rank is within the bound."""
-    keys = ["metric", "base_name"]
     measures = _measures(spark, d)
-    return sketch.rank_check(measures, keys, "value", sketch.percentiles(sketch.build(measures, keys, "value"), keys))
+    return sketch.rank_check(measures, _P3_KEYS, "value", sketch.percentiles(sketch.build(measures, _P3_KEYS, "value"), _P3_KEYS))
 
 
 P3_RANK_CHECK_SQL = f"""
@@ -205,7 +215,7 @@ QUERIES = {
     "p2_assets": p2_assets,
     "p2_items": p2_items,
     "p3_percentiles": p3_percentiles,
-    "p3_merged_months": p3_merged_months,
+    "p3_merge_check": p3_merge_check,
     "p3_rank_check": p3_rank_check,
     "p4_found": p4_found,
     "p4_changes": p4_changes,
@@ -218,6 +228,7 @@ QUERIES = {
 ORACLE = {
     "p1_found": P1_FOUND_SQL,
     "p1_report": P1_REPORT_SQL,
+    "p3_merge_check": P3_RANK_CHECK_SQL.replace("TRUE AS within", "TRUE AS same"),
     "p3_rank_check": P3_RANK_CHECK_SQL,
     "p5_found": P5_FOUND_SQL,
     "p5_periods": P5_PERIODS_SQL,
