@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN_SCRATCH: dict[str, str] = {}
+_CUTS: list[str] = []
 
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -29,12 +30,14 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, **conf: str) ->
 def scratch_dir(spark: SparkSession) -> str:
     """The folder that all executors share.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset (local tests) is a
-    temporary folder of this machine used.
+    A cluster names it in ``spark.checkpoint.dir``. Where that is unset, local sessions (tests) get a
+    temporary folder of this machine, others a folder in the warehouse, which executors share too.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/braid-scratch"
     app = spark.sparkContext.applicationId
     if app not in _OWN_SCRATCH:
         _OWN_SCRATCH[app] = "file://" + tempfile.mkdtemp(prefix="braidframe-")
@@ -45,14 +48,27 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Unlike ``checkpoint()`` this computes the plan a single time, and unlike ``localCheckpoint`` the
-    rows survive the loss of an executor.
+    rows survive the loss of an executor. The table stays until :func:`drop_cuts`, since lazy results
+    may still read it.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/braid-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _CUTS.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_cuts(spark: SparkSession) -> int:
+    """Delete the intermediate tables written so far; results that read them must have been taken. Returns their number."""
+    paths = spark._jvm.org.apache.hadoop.fs
+    dropped = 0
+    while _CUTS:
+        path = paths.Path(_CUTS.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        dropped += 1
+    return dropped
+
+
 def spread(df: DataFrame, *keys: str, source: DataFrame | None = None) -> DataFrame:
     """Give a CPU-heavy per-row stage enough tasks.
 
