@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from braidframe.operators import jsontext
 from braidframe.operators.ordered import neighbour
-from braidframe.session import bounded_rows, spread
+from braidframe.session import bounded_rows, ship, spread
 
 #: The alias table is read as a control table of at most so many rows.
 MOST_ALIASES = 100_000
@@ -81,6 +81,7 @@ def file_facts(raw: DataFrame, names: dict[str, str]) -> DataFrame:
                     names=["file_id", "field", "spelled", "kind"],
                 )
 
+    ship(raw.sparkSession)
     rows = raw.where(F.col("record").isNotNull()).select(F.col("file_id").cast("bigint").alias("file_id"), "record")
     return spread(rows, "record", source=raw).mapInArrow(run, "file_id bigint, field string, spelled string, kind string").distinct()
 
@@ -179,6 +180,7 @@ def entries(raw: DataFrame, names: dict[str, str], fields: dict[str, list[str]])
                 yield pa.RecordBatch.from_arrays([*(batch.column(n).take(take) for n in ids), pa.array(values, kind)], names=[*ids, "f"])
 
     ids = ["raw_id", "file_id", "producer", "file_seq", "line_no"]
+    ship(raw.sparkSession)
     rows = raw.where(F.col("record").isNotNull()).select(*ids, "record").distinct()
     schema = T.StructType([*(raw.schema[n] for n in ids), T.StructField("f", T.MapType(T.StringType(), T.StructType([T.StructField("kind", T.StringType()), T.StructField("text", T.StringType())])))])
     read = rows.mapInArrow(run, schema)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from braidframe.session import cut
+from braidframe.session import cut, ship
 
 #: Rounds after which a graph counts as cyclic.
 MOST_ROUNDS = 10_000
@@ -55,6 +55,7 @@ def _levels_by_graph(every: DataFrame, links: DataFrame, keys: Sequence[str]) ->
     """Kahn's algorithm over buckets of whole graphs; a bucket has about EDGES_A_TASK edges at most."""
     spark = every.sparkSession
     kind = every.schema["node"].dataType
+    ship(spark)
     buckets = max(spark.sparkContext.defaultParallelism, links.count() // EDGES_A_TASK + 1)
     rows = every.select(*keys, "node", F.lit(None).cast(kind).alias("dep")).unionByName(links.select(*keys, "node", F.col("dep").cast(kind).alias("dep")))
     rows = rows.withColumn("__bucket", F.pmod(F.xxhash64(*keys) if keys else F.lit(0), F.lit(buckets)))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from braidframe.operators import jsontext
-from braidframe.session import task_count
+from braidframe.session import ship, task_count
 
 #: Values, apart from objects and arrays.
 SCALARS = ("string", "whole", "fraction", "boolean", "null")
@@ -144,6 +144,7 @@ def shred(df: DataFrame, key: str, text: str, rules: tuple[Entity, ...], *, ever
     docs = df.where(F.col(text).isNotNull()).select(F.col(key).alias("__key"), F.col(text).alias("__text"), F.sha2(F.col(text), 256).alias("__doc"))
     docs = docs.repartition(task_count(df.sparkSession), "__key", "__doc").distinct()
     key_type = df.schema[key].dataType
+    ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = _Matcher(rules)

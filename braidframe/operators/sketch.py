@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from braidframe.session import task_count
+from braidframe.session import ship, task_count
 
 #: Bits of a code: resolutions 0 (single codes) to BITS (everything).
 BITS = 20
@@ -190,6 +190,7 @@ def percentiles(sketches: DataFrame, keys: Sequence[str], wanted: Sequence[float
         head = {k: [v] * len(points) for k, v in zip(names, key, strict=True)}
         return pd.DataFrame({**head, "q": points, "n": n, "code": codes, "estimate": [decode(c) for c in codes]})
 
+    ship(sketches.sparkSession)
     return sketches.select(*keys, "level", "row", "slot", "weight").groupBy(*keys).applyInPandas(run, out)
 
 
