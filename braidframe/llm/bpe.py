@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from braidframe.session import spread
+from braidframe.session import ship, spread
 
 #: Rank file of byte_bpe_50k; a parameter of every operator here.
 RANK_FILE = os.environ.get("BRAIDFRAME_RANK_FILE", "/opt/tokenizers/byte_bpe_50k.tiktoken")
@@ -229,6 +229,7 @@ def encode_corpus(docs: DataFrame, key: str = "doc_id", text: str = "text", rank
         lists = pa.ListArray.from_arrays(pa.Array.from_buffers(pa.int32(), len(offsets), [None, pa.py_buffer(offsets.tobytes())]), values)
         return pa.RecordBatch.from_arrays([batch.column("__key").slice(start, len(parts)), lists], names=[key, "ids"])
 
+    ship(docs.sparkSession)
     rows = spread(docs.select(F.col(key).alias("__key"), F.col(text).alias("__text")), "__key")
     return rows.mapInArrow(run, T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))]))
 
@@ -242,5 +243,6 @@ def count_tokens(docs: DataFrame, keep: list[str], text: str = "text", rank_file
             counts = pa.array([enc.count(t) for t in batch.column("__text").to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), counts], names=[*keep, "n_tokens"])
 
+    ship(docs.sparkSession)
     rows = spread(docs.select(*keep, F.col(text).alias("__text")), keep[0], source=source)
     return rows.mapInArrow(run, T.StructType([*(docs.schema[k] for k in keep), T.StructField("n_tokens", T.LongType())]))

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from braidframe.llm import bpe
-from braidframe.session import bounded_rows, spread
+from braidframe.session import bounded_rows, ship, spread
 
 #: The limit table is read as a control table of at most so many rows.
 MOST_LIMITS = 100_000
@@ -261,6 +261,7 @@ def split_oversized(docs: DataFrame, limits: DataFrame, *, with_text: bool = Tru
     control = docs.sparkSession.createDataFrame([tuple(r) for r in bounded_rows(rows, MOST_LIMITS, "split_limits")], "source string, max_tokens bigint, overlap_tokens bigint")
     # A token has at least one byte, so most texts are seen to fit without being encoded.
     large = docs.select("doc_id", "source", "text").join(F.broadcast(control), "source").where(F.octet_length("text") > F.col("max_tokens"))
+    ship(docs.sparkSession)
     large = spread(large, "doc_id", source=docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
