@@ -96,10 +96,14 @@ def merge(sketches: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 
+# The five primes of the public 64-bit xxHash.
+_PRIMES = (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)
+
+
 def _xxhash_parts(level: int, row: int, prefix: int) -> int:
     """Spark's xxhash64(level int, row int, prefix bigint), seed 42."""
     mask = (1 << 64) - 1
-    p1, p2, p3, p4, p5 = 0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5
+    p1, p2, p3, p4, p5 = _PRIMES
     rot = lambda x, n: ((x << n) | (x >> (64 - n))) & mask
 
     def end(h: int) -> int:
