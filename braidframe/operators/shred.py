@@ -2,8 +2,8 @@
 
 Every value of a document becomes a node row: node, parent, label, ordinal, kind and scalar. Rules name
 which nodes are entities; while shredding each entity also learns its path and the path of the entity
-that encloses it. Entity tables come from the node table by bringing object nodes and their scalar
-children together and pivoting the labels into columns.
+that encloses it, and its content, which leaves out the entities inside. Entity tables come from the
+node table by bringing entities and the nodes below them together and pivoting relative paths into columns.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,6 +23,8 @@ from braidframe.session import ship, task_count
 SCALARS = ("string", "whole", "fraction", "boolean", "null")
 #: Text characters of a batch handed back to Spark at once.
 _FLUSH_ROWS = 20_000
+#: Nodes up to so many steps below their entity have a relative path; longer ones would grow with the square of the depth.
+REACH = 8
 
 
 @dataclass(frozen=True)
@@ -91,30 +93,63 @@ class _Matcher:
         return found
 
 
+def _own(value, state: int, matcher: _Matcher):
+    """A copy of a container in which the entities inside are null."""
+    copy: dict | list = {} if type(value) is dict else []
+    todo = [(value, state, copy)]
+    while todo:
+        box, at, into = todo.pop()
+        named = type(box) is dict
+        for key, child in box.items() if named else enumerate(box):
+            k = jsontext.kind(child)
+            nxt, met = matcher.move(at, key if named else None, k)
+            new = child
+            if met >= 0:
+                new = None
+            elif k == "object" or k == "array":
+                new = {} if k == "object" else []
+                todo.append((child, nxt, new))
+            if named:
+                into[key] = new
+            else:
+                into.append(new)
+    return copy
+
+
+def step_name(key: str) -> str:
+    """A key as a step of a relative path: ``~``, ``/`` and ``#`` become ``~0``, ``~1`` and ``~2``."""
+    return key.replace("~", "~0").replace("/", "~1").replace("#", "~2")
+
+
 def _walk(root, matcher: _Matcher, every: bool) -> Iterator[tuple]:
-    """Node rows in document order: (node, parent, label, ordinal, kind, scalar, entity, path, owner)."""
+    """Node rows in document order: (node, parent, label, ordinal, kind, scalar, entity, path, owner, content, home, rel)."""
     node = 0
-    # value, its parent's number, label, ordinal, state, path, path of the nearest entity
-    todo = [(root, None, None, 0, matcher.start, "", "", -1)]
+    # value, its parent's number, label, ordinal, state, path, path of the nearest entity, rule met, number of the nearest entity, steps from there
+    todo = [(root, None, None, 0, matcher.start, "", "", -1, None, None)]
     while todo:
-        value, parent, label, ordinal, state, path, owner, hit = todo.pop()
+        value, parent, label, ordinal, state, path, owner, hit, home, steps = todo.pop()
         k = jsontext.kind(value)
         box = k == "object" or k == "array"
         if every or hit >= 0:
             scalar = None if box or value is None else jsontext.clean(value) if k == "string" else str(value).lower() if k == "boolean" else str(value)
-            yield node, parent, None if label is None else jsontext.clean(label), ordinal, k, scalar, matcher.rules[hit].name if hit >= 0 else None, jsontext.clean(path) if hit >= 0 else None, jsontext.clean(owner) if hit >= 0 else None
+            content = jsontext.dump(_own(value, state, matcher)) if every and box and hit >= 0 else None
+            rel = jsontext.clean("/".join(steps)) if every and steps and hit < 0 else None
+            yield node, parent, None if label is None else jsontext.clean(label), ordinal, k, scalar, matcher.rules[hit].name if hit >= 0 else None, jsontext.clean(path) if hit >= 0 else None, jsontext.clean(owner) if hit >= 0 else None, content, home, rel
         if box and (every or matcher.states[state]):
             inner = path if hit >= 0 else owner
+            near, base = (node, ()) if hit >= 0 else (home, steps)
+            if base is not None and len(base) >= REACH:
+                base = None
             start = f"{path}/" if path else ""
             kids = []
             if k == "object":
                 for i, (key, child) in enumerate(value.items()):
                     nxt, met = matcher.move(state, key, jsontext.kind(child))
-                    kids.append((child, node, key, i, nxt, start + key, inner, met))
+                    kids.append((child, node, key, i, nxt, start + key, inner, met, near, None if base is None else (*base, step_name(key))))
             else:
                 for i, child in enumerate(value):
                     nxt, met = matcher.move(state, None, jsontext.kind(child))
-                    kids.append((child, node, None, i, nxt, f"{start}{i}", inner, met))
+                    kids.append((child, node, None, i, nxt, f"{start}{i}", inner, met, near, None if base is None else (*base, "#")))
             todo.extend(reversed(kids))
         node += 1
 
@@ -129,16 +164,24 @@ _NODE = [
     ("entity", pa.string(), T.StringType()),
     ("path", pa.string(), T.StringType()),
     ("owner", pa.string(), T.StringType()),
+    ("content", pa.string(), T.StringType()),
+    ("home", pa.int64(), T.LongType()),
+    ("rel", pa.string(), T.StringType()),
 ]
 
 
 def shred(df: DataFrame, key: str, text: str, rules: tuple[Entity, ...], *, every: bool = True) -> DataFrame:
-    """Node table of the JSON texts in ``text``: (key, doc, node, parent, label, ordinal, kind, scalar, entity, path, owner).
+    """Node table of the JSON texts in ``text``: (key, doc, node, parent, label, ordinal, kind, scalar, entity, path, owner,
+    content, home, rel).
 
     ``doc`` tells texts that differ under one key apart. Repeated (key, text) rows count once; null
     texts and texts that are not valid JSON give no rows; any depth is read. Number scalars keep their
     spelling, null and containers have a null scalar. ``path`` joins keys and positions by ``/``.
-    ``every=False`` leaves out the nodes that are no entity. Other columns of ``df`` are ignored.
+    ``content`` is the compact JSON of an entity that is an object or array, with null in the place of
+    each entity inside, which has a row of its own. ``home`` is the node of the nearest enclosing entity
+    and ``rel`` the path from there (``step_name`` of keys, ``#`` for array elements), null for entities
+    and beyond ``REACH`` steps. ``every=False`` leaves out the nodes that are no entity, and ``content``
+    and ``rel``. Other columns of ``df`` are ignored.
     """
     # One exchange, by digest: repeated texts meet and are dropped, and parsing gets its tasks.
     docs = df.where(F.col(text).isNotNull()).select(F.col(key).alias("__key"), F.col(text).alias("__text"), F.sha2(F.col(text), 256).alias("__doc"))
@@ -177,25 +220,38 @@ def shred(df: DataFrame, key: str, text: str, rules: tuple[Entity, ...], *, ever
 
 
 def entity_table(nodes: DataFrame, key: str, entity: str, fields: dict[str, str]) -> DataFrame:
-    """One row for each node of ``entity``: key, path, owner, kind, own scalar and its scalar children.
+    """One row for each node of ``entity``: key, path, owner, kind, own scalar, the given fields, and its whole content.
 
-    ``fields`` maps a child's label to the column's Spark type; a child of another type than asked for
-    gives null, as does a missing one. The node rows and their scalar children meet in one exchange on
-    (key, doc, node), where labels are pivoted; no other column of the node table travels.
+    ``fields`` maps a path below the entity (see ``rel`` of :func:`shred`) to the column's Spark type;
+    ``/`` becomes ``_`` in the column's name. A path that ends with ``/#`` gives an array of the elements
+    in order. A value of another type than asked for gives null, as does a missing one; what no column
+    holds is in ``content``. The entities and the nodes of the fields meet in one exchange on (key, doc,
+    node), where paths are pivoted; no other column of the node table travels.
     """
+    if far := [f for f in fields if f.count("/") >= REACH]:
+        raise ValueError(f"more than {REACH} steps: {far}")
+    lists = {f.removesuffix("/#") for f in fields if f.endswith("/#")}
+    self_type = "struct<path:string,owner:string,kind:string,scalar:string,label:string,ordinal:bigint,content:string>"
+    no_text = F.lit(None).cast("string")
     own = F.when(
         F.col("entity") == entity,
-        F.struct(F.col("node").alias("id"), F.lit(None).cast("string").alias("label"), F.struct("path", "owner", "kind", "scalar", "label", "ordinal").alias("self"), F.lit(None).cast("string").alias("value")),
-    )
-    child = F.when(
-        F.col("kind").isin(*SCALARS) & F.col("label").isin(*fields),
-        F.struct(F.col("parent").alias("id"), F.col("label"), F.lit(None).cast("struct<path:string,owner:string,kind:string,scalar:string,label:string,ordinal:bigint>").alias("self"), F.col("scalar").alias("value")),
+        F.struct(F.col("node").alias("id"), no_text.alias("rel"), F.struct("path", "owner", "kind", "scalar", "label", "ordinal", "content").alias("self"), no_text.alias("kind"), F.col("ordinal").alias("at"), no_text.alias("value")),
     )
-    roles = nodes.select(key, "doc", F.inline(F.array_compact(F.array(own, child))))
-    grouped = roles.groupBy(key, "doc", "id").agg(
-        F.max("self").alias("self"),
-        *[F.max(F.when(F.col("label") == f, F.col("value"))).try_cast(t).alias(f"f_{f}") for f, t in fields.items()],
+    below = F.when(
+        F.col("rel").isin(*fields, *lists),
+        F.struct(F.col("home").alias("id"), F.col("rel"), F.lit(None).cast(self_type).alias("self"), F.col("kind"), F.col("ordinal").alias("at"), F.col("scalar").alias("value")),
     )
+
+    def column(f: str, t: str) -> Column:
+        name = f"f_{f}"
+        if not f.endswith("/#"):
+            return F.max(F.when(F.col("rel") == f, F.col("value"))).try_cast(t).alias(name)
+        there = F.max((F.col("rel") == f.removesuffix("/#")) & (F.col("kind") == "array"))
+        elements = F.array_sort(F.collect_list(F.when(F.col("rel") == f, F.struct("at", "value"))))
+        return F.when(there, F.transform(elements, lambda x: x["value"].try_cast(t))).alias(name)
+
+    roles = nodes.select(key, "doc", F.inline(F.array_compact(F.array(own, below))))
+    grouped = roles.groupBy(key, "doc", "id").agg(F.max("self").alias("self"), *[column(f, t) for f, t in fields.items()])
     return grouped.where(F.col("self").isNotNull()).select(
         key,
         F.col("self.path").alias("node_path"),
@@ -204,5 +260,6 @@ def entity_table(nodes: DataFrame, key: str, entity: str, fields: dict[str, str]
         F.col("self.ordinal").alias("position"),
         F.col("self.kind").alias("kind"),
         F.col("self.scalar").alias("scalar"),
-        *[F.col(f"f_{f}").alias(f) for f in fields],
+        *[F.col(f"`f_{f}`").alias(f.removesuffix("/#").replace("/", "_")) for f in fields],
+        F.col("self.content").alias("content"),
     ).distinct()

@@ -15,9 +15,15 @@ MANIFEST = (
     shred.Entity("asset", ("tasks", "*", "assets", "#"), "object"),
     shred.Entity("item", ("tasks", "*", "inputs{}", "**", "items", "#")),
 )
-TASK_FIELDS = {"task_id": "string", "node_id": "bigint", "task": "string", "status": "string", "cached": "boolean", "env": "string", "started_at": "string", "finished_at": "string", "exit_code": "int", "attempt": "int"}
+#: Columns of the flat tables; all else that a node holds is in its ``content``.
+TASK_FIELDS = {
+    "task_id": "string", "node_id": "bigint", "task": "string", "status": "string", "cached": "boolean", "env": "string", "started_at": "string", "finished_at": "string", "exit_code": "int", "attempt": "int",
+    "dependency_ids/#": "bigint", "failure/kind": "string", "failure/detail/tail/#": "string", "resource_usage/peak/rss_bytes": "bigint", "resource_usage/peak/process_count": "bigint",
+}
 ASSET_FIELDS = {"asset_key": "string", "name": "string", "version_id": "string"}
-ITEM_FIELDS = {"key": "string", "type": "string", "value": "string"}
+_SUMMARY = {"type": "string", "value": "string", "length": "bigint", "dtype": "string", "shape/#": "bigint", "columns/#": "string", "rows": "bigint"}
+#: An item is a value, a summary, or a key with either.
+ITEM_FIELDS = {"key": "string", **_SUMMARY, **{f"value/{f}": t for f, t in _SUMMARY.items()}}
 
 
 # --- p1 -------------------------------------------------------------------------------------------

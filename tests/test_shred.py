@@ -3,7 +3,7 @@ import json
 import pytest
 
 from braidframe.operators import jsontext, shred
-from braidframe.plans.training import ASSET_FIELDS, MANIFEST, TASK_FIELDS
+from braidframe.plans.training import ASSET_FIELDS, ITEM_FIELDS, MANIFEST, TASK_FIELDS
 
 
 def nodes(spark, texts, **kw):
@@ -93,3 +93,37 @@ def test_entity_tables(spark):
 def test_lone_surrogate(spark):
     (path, owner), = paths(nodes(spark, ['{"tasks": {"\\ud800": {}}}']))
     assert path.startswith("tasks/") and len(path) > 6 and owner == ""
+
+
+def test_entity_tables_keep_nested_content(spark):
+    frame = {"type": "pandas.DataFrame", "columns": ["b", "a"], "rows": 7}
+    task = {
+        "node_id": "text",
+        "dependency_ids": [4, 2],
+        "failure": {"kind": "timeout", "detail": {"tail": ["line 0", "line 1"]}},
+        "resource_usage": {"peak": {"rss_bytes": 5, "process_count": 3}},
+        "inputs": {"p": 1.5, "g": {"type": "list", "length": 3, "items": [{"key": "k", "value": frame}, {"type": "list", "length": 1, "items": [[9, {"deep": 1}]]}, "x"]}},
+        "assets": [{"name": "a", "metadata": {"checks": [{"ok": True}]}}, "lost"],
+    }
+    n = nodes(spark, [json.dumps({"tasks": {"t": task, "none": {"dependency_ids": []}}})])
+    tasks = {r["node_key"]: r for r in shred.entity_table(n, "manifest_id", "task", TASK_FIELDS).collect()}
+    t = tasks["t"]
+    assert (t["dependency_ids"], t["failure_kind"], t["failure_detail_tail"]) == ([4, 2], "timeout", ["line 0", "line 1"])
+    assert (t["resource_usage_peak_rss_bytes"], t["resource_usage_peak_process_count"]) == (5, 3)
+    assert tasks["none"]["dependency_ids"] == [] and tasks["none"]["failure_detail_tail"] is None
+    want = {**task, "inputs": {"p": 1.5, "g": {"type": "list", "length": 3, "items": [None] * 3}}, "assets": [None, "lost"]}
+    assert json.loads(t["content"]) == want
+    (asset,) = shred.entity_table(n, "manifest_id", "asset", ASSET_FIELDS).collect()
+    assert json.loads(asset["content"]) == task["assets"][0]
+    items = {r["node_path"].removeprefix("tasks/t/inputs/g/items/"): r for r in shred.entity_table(n, "manifest_id", "item", ITEM_FIELDS).collect()}
+    assert (items["0"]["key"], items["0"]["value"], items["0"]["value_type"], items["0"]["value_columns"], items["0"]["value_rows"]) == ("k", None, "pandas.DataFrame", ["b", "a"], 7)
+    assert (items["1"]["length"], json.loads(items["1"]["content"])) == (1, {"type": "list", "length": 1, "items": [None]})
+    assert json.loads(items["1/items/0"]["content"]) == [9, {"deep": 1}]
+    assert items["2"]["content"] is None and items["2"]["scalar"] == "x"
+
+
+def test_relative_paths_tell_keys_apart(spark):
+    n = nodes(spark, ['{"tasks": {"t": {"failure/kind": "x", "dependency_ids": {"#": 1}}}}'])
+    row = shred.entity_table(n, "manifest_id", "task", TASK_FIELDS).first()
+    assert row["failure_kind"] is None and row["dependency_ids"] is None
+    assert row["content"] == '{"dependency_ids":{"#":1},"failure/kind":"x"}'
