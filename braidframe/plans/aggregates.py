@@ -214,10 +214,12 @@ def slugify_text(spark: SparkSession, d: str) -> DataFrame:
 
 
 def logistic_grid(spark: SparkSession, d: str) -> DataFrame:
-    """Metrics of three candidates of a logistic regression over all embeddings (no oracle: another solver)."""
-    e = table(spark, d, "embeddings").select(*[F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(16)], (F.col("label") == 0).cast("int").alias("y"))
+    """Metrics of three candidates of a logistic regression over all entries of all embeddings (no oracle: another solver)."""
+    rows = table(spark, d, "embeddings")
+    features = [f"x{i}" for i in range(rows.agg(F.max(F.size("embedding"))).first()[0] or 0)]
+    e = rows.select(*[F.get("embedding", F.lit(i)).cast("double").alias(x) for i, x in enumerate(features)], (F.col("label") == 0).cast("int").alias("y"))
     candidates = {"plain": {}, "weighted": {"weight_scale": 3.0}, "strict": {"threshold": 0.7}}
-    return models.grid(e, [f"x{i}" for i in range(16)], "y", candidates)
+    return models.grid(e, features, "y", candidates)
 
 
 QUERIES["logistic_grid"] = logistic_grid

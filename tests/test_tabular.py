@@ -70,3 +70,12 @@ def test_models_learn_a_line(spark):
     metrics = models.grid(df, ["x", "z"], "y", {"a": {}, "b": {"threshold": 0.999999}})
     assert models.champion(metrics).first()["candidate"] == "a"
     assert metrics.where("candidate = 'a'").first()["accuracy"] > 0.95
+
+
+def test_logistic_grid_reads_the_whole_vector(spark, tmp_path):
+    from braidframe.plans.aggregates import logistic_grid
+
+    rows = [([float((i * k) % 7) for k in range(1, 40)] + [float(i % 2)], i % 2) for i in range(200)]  # only the last entry tells the labels apart
+    spark.createDataFrame(rows, "embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = {r["candidate"]: r["accuracy"] for r in logistic_grid(spark, str(tmp_path)).collect()}
+    assert found["plain"] == 1.0
