@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from braidframe.functions.time import epoch_micros
 from braidframe.operators import drift, integrity, intervals, shred, sketch
 from braidframe.plans.tables import table
+from braidframe.session import cut
 
 #: Entities of a run manifest.
 MANIFEST = (
@@ -118,15 +119,20 @@ def _measures(spark: SparkSession, d: str) -> DataFrame:
 _P3_KEYS = ["metric", "base_name"]
 
 
+def _day_sketches(spark: SparkSession, d: str) -> DataFrame:
+    """One sketch per metric, base_name and day, written to the shared folder and read back, as a daily job would keep them."""
+    by_day = _measures(spark, d).withColumn("day", F.to_date("at"))
+    return cut(sketch.build(by_day, [*_P3_KEYS, "day"], "value"), "sketches")
+
+
 def p3_percentiles(spark: SparkSession, d: str) -> DataFrame:
     """Percentiles of duration_s and rss_bytes per base_name."""
     return sketch.percentiles(sketch.build(_measures(spark, d), _P3_KEYS, "value"), _P3_KEYS)
 
 
 def p3_merge_check(spark: SparkSession, d: str) -> DataFrame:
-    """Percentiles from the merged sketches of quarters against those from one sketch of all rows: they are the same."""
-    quarters = sketch.build(_measures(spark, d).withColumn("quarter", F.date_trunc("quarter", "at")), [*_P3_KEYS, "quarter"], "value")
-    merged = sketch.percentiles(sketch.merge(quarters, _P3_KEYS), _P3_KEYS)
+    """Percentiles from the merged sketches of days against those from one sketch of all rows: they are the same."""
+    merged = sketch.percentiles(sketch.merge(_day_sketches(spark, d), _P3_KEYS), _P3_KEYS)
     direct = sketch.percentiles(sketch.build(_measures(spark, d), _P3_KEYS, "value"), _P3_KEYS)
     tag = lambda t, name: t.select(*_P3_KEYS, "q", F.struct("n", "code").alias(name))
     both = tag(merged, "m").unionByName(tag(direct, "d"), allowMissingColumns=True).groupBy(*_P3_KEYS, "q").agg(F.max("m").alias("m"), F.max("d").alias("d"))

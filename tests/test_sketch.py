@@ -88,3 +88,20 @@ def test_codes_keep_order(spark):
     assert codes == sorted(codes) and codes[0] == codes[1] == 0
     for v, c in zip(values[2:-1], codes[2:-1], strict=True):
         assert sketch.decode(c) == pytest.approx(v, rel=1.1 * sketch.RELATIVE_ERROR)
+
+
+def test_merge_check_merges_stored_days(spark, tmp_path, monkeypatch):
+    from datetime import datetime
+
+    from braidframe.plans import training
+
+    days = [(float(i), "a", datetime(2025, 1, 1 + i % 5, i % 24)) for i in range(200)]
+    spark.createDataFrame(days, "duration_s double, base_name string, started_at timestamp_ntz").write.parquet(f"{tmp_path}/task_runs.parquet")
+    spark.createDataFrame(days, "rss_bytes double, base_name string, sampled_at timestamp_ntz").selectExpr("cast(rss_bytes as bigint) as rss_bytes", "base_name", "sampled_at").write.parquet(f"{tmp_path}/resource_samples.parquet")
+    merged, merge = [], sketch.merge
+    monkeypatch.setattr(sketch, "merge", lambda s, keys: merged.append(s) or merge(s, keys))
+    rows = training.p3_merge_check(spark, str(tmp_path)).collect()
+    assert len(rows) == 2 * len(sketch.PERCENTILES) and all(r["same"] for r in rows)
+    (parts,) = merged
+    assert parts.select("metric", "base_name", *[c for c in parts.columns if c not in ("metric", "base_name", "level", "row", "slot", "weight")]).distinct().count() == 10
+    assert all("braid-sketches" in f for f in parts.inputFiles())
