@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Sequence
 from functools import reduce
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -14,8 +15,6 @@ from pyspark.sql import types as T
 
 from braidframe.session import cut, ship
 
-#: Rounds after which a graph counts as cyclic.
-MOST_ROUNDS = 10_000
 #: Graphs of at most so many edges are levelled whole in one task.
 EDGES_A_TASK = 1_000_000
 #: A level's result is written every so many rounds, so that plans stay short.
@@ -96,7 +95,7 @@ def _levels_by_round(every: DataFrame, links: DataFrame, keys: Sequence[str]) ->
     waiting = links.select(*keys, "node").distinct()
     done = cut(every.join(waiting, [*keys, "node"], "left_anti").withColumn("wave", F.lit(0)), "wave")
     levels, current, open_ = [done], done, links
-    for wave in range(1, MOST_ROUNDS):
+    for wave in count(1):
         # an edge stays open until its dependency has a wave; a node is ready when none of its edges is open
         left = cut(open_.join(current.select(*keys, F.col("node").alias("dep")), [*keys, "dep"], "left_anti"), "edges")
         ready = open_.select(*keys, "node").distinct().join(left.select(*keys, "node").distinct(), [*keys, "node"], "left_anti")
@@ -107,14 +106,13 @@ def _levels_by_round(every: DataFrame, links: DataFrame, keys: Sequence[str]) ->
             return reduce(DataFrame.unionByName, levels)
         levels.append(current)
         open_ = left
-    raise ValueError("the graph has a cycle")
 
 
 def reachable(edges: DataFrame, roots: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys, root, node, distance): everything that the roots depend on, at its least distance; roots at 0."""
     seen = cut(roots.select(*keys, "root", F.col("root").alias("node")).distinct().withColumn("distance", F.lit(0)), "reach")
     front = seen
-    for step in range(1, MOST_ROUNDS):
+    for step in count(1):
         hop = front.join(edges, [*keys, "node"]).select(*keys, "root", F.col("dep").alias("node")).distinct()
         front = cut(hop.join(seen, [*keys, "root", "node"], "left_anti").withColumn("distance", F.lit(step)), "reach")
         if front.isEmpty():
@@ -122,7 +120,6 @@ def reachable(edges: DataFrame, roots: DataFrame, keys: Sequence[str]) -> DataFr
         seen = seen.unionByName(front)
         if step % CUT_EVERY == 0:
             seen = cut(seen, "reach")
-    return seen
 
 
 def unreached(nodes: DataFrame, edges: DataFrame, roots: DataFrame, keys: Sequence[str], node: str) -> DataFrame:
@@ -156,7 +153,7 @@ def _spread(edges: DataFrame, roots: DataFrame, keys: Sequence[str]) -> DataFram
     """(keys, node) of everything behind any of the roots, the roots themselves left out unless behind another."""
     front = cut(roots.select(*keys, F.col("root").alias("node")).distinct(), "front")
     seen = None
-    for step in range(MOST_ROUNDS):
+    for step in count():
         hop = front.join(edges, [*keys, "node"]).select(*keys, F.col("dep").alias("node")).distinct()
         front = cut(hop if seen is None else hop.join(seen, [*keys, "node"], "left_anti"), "front")
         if seen is not None and front.isEmpty():
@@ -164,7 +161,6 @@ def _spread(edges: DataFrame, roots: DataFrame, keys: Sequence[str]) -> DataFram
         seen = front if seen is None else seen.unionByName(front)
         if step % CUT_EVERY == CUT_EVERY - 1:
             seen = cut(seen, "front")
-    return seen
 
 
 def wave_totals(levels: DataFrame, weights: DataFrame, keys: Sequence[str], measures: Sequence[str]) -> DataFrame:

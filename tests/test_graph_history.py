@@ -95,3 +95,16 @@ def test_latest_usage_and_versions(spark):
     asked = spark.createDataFrame([("a", None), ("a", "prod"), ("a", "v2"), ("zz", None)], "key string, selector string")
     got = {(r["key"], r["selector"]): r["version_id"] for r in history.resolve_version(asked, v, al, "key").collect()}
     assert got == {("a", None): "v2", ("a", "prod"): "v1", ("a", "v2"): "v2", ("zz", None): None}
+
+
+def test_depth_has_no_limit(spark, monkeypatch):
+    monkeypatch.setattr(graph, "MOST_ROUNDS", 3, raising=False)
+    nodes = spark.createDataFrame([(1, i) for i in range(7)], "g int, node int")
+    edges = spark.createDataFrame([(1, i, i - 1) for i in range(1, 7)], "g int, node int, dep int")
+    roots = spark.createDataFrame([(1, 6)], "g int, root int")
+    assert {r["node"]: r["distance"] for r in graph.reachable(edges, roots, ["g"]).collect()} == {i: 6 - i for i in range(7)}
+    levels = graph.waves(nodes, edges, ["g"], "node", most_edges=0)
+    assert {r["node"]: r["wave"] for r in levels.collect()} == {i: i for i in range(7)}
+    hits = nodes.where("node > 0")
+    status = {r["node"]: r["status"] for r in graph.cached_status(levels, edges, hits, ["g"]).collect()}
+    assert status == {0: "will_run", **dict.fromkeys(range(1, 7), "unknown")}
