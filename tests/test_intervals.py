@@ -68,18 +68,40 @@ def test_random(spark):
     assert both(spark, rows) == brute(rows)
 
 
-def test_blocks_are_canonical(spark):
+def cover(group, a, b):
+    """group -> sorted blocks (lo, hi)."""
+    import numpy as np
+
+    out = {}
+    for r, (words, masks) in enumerate(intervals.blocks(np.array(group), np.array(a), np.array(b))):
+        for w, mask in zip(words.tolist(), masks.tolist(), strict=True):
+            for slot in range(64):
+                if mask >> slot & 1:
+                    lo = (((w % 2**30) << 6) + slot) << (6 * r)
+                    out.setdefault(w >> 30, []).append((lo, lo + (1 << 6 * r)))
+    return {g: sorted(v) for g, v in out.items()}
+
+
+def test_blocks_of_one_interval():
     rng = random.Random(2)
-    rows = [("a", i, s, s + n) for i, (s, n) in enumerate((rng.randint(0, 10**6), rng.randint(1, 10**6)) for _ in range(200))]
-    words = intervals.dyadic_words(frame(spark, rows), ["node"], "s", "e").collect()
-    cover = {}
-    for w in words:
-        mask = w["mask"] % 2**64
-        for slot in range(64):
-            if mask >> slot & 1:
-                lo = ((w["word"] << 6) + slot) << (6 * w["radix"])
-                cover.setdefault(w["node"], []).append((lo - intervals.BIAS, lo - intervals.BIAS + (1 << 6 * w["radix"])))
-    for _, i, s, e in rows:
-        blocks = sorted(cover[i])
-        assert blocks[0][0] == s and blocks[-1][1] == e and all(a[1] == b[0] for a, b in zip(blocks, blocks[1:]))
-        assert len(blocks) <= 2 * 64 * 4
+    rows = [(i, s, min(s + n, 2**36)) for i, (s, n) in enumerate((rng.randint(0, 2**35), rng.randint(1, 2 ** rng.choice([4, 20, 35]))) for _ in range(200))]
+    got = cover(*zip(*rows, strict=True))
+    for i, s, e in rows:
+        found = got[i]
+        assert found[0][0] == s and found[-1][1] == e and all(x[1] == y[0] for x, y in zip(found, found[1:]))
+        assert len(found) <= 2 * 64 * 6
+
+
+def test_siblings_merge_upward_and_covered_blocks_go():
+    assert cover([0, 0], [0, 30], [30, 64]) == {0: [(0, 64)]}
+    assert cover([0] * 64, [64 * i for i in range(64)], [64 * i + 64 for i in range(64)]) == {0: [(0, 4096)]}
+    assert cover([0] * 3, [0, 1, 70], [4096, 2, 130]) == {0: [(0, 4096)]}
+    # filled level by level, up to the whole cell
+    assert cover([3] * 4, [0, 1, 2**20 + 5, 2**35], [1, 2**20 + 5, 2**35, 2**36]) == {3: [(i << 30, (i + 1) << 30) for i in range(64)]}
+    assert cover([0, 1], [0, 5], [5, 9]) == {0: [(i, i + 1) for i in range(5)], 1: [(i, i + 1) for i in range(5, 9)]}
+
+
+def test_one_cell_over_many_batches(spark):
+    rng = random.Random(6)
+    rows = [("hot", 1, s, s + rng.randint(1, 9000)) for s in (rng.randint(0, 2**33) for _ in range(25_000))] + [("hot", 1, 5, 2**32), ("hot", 1, 2**36 - 7, 2**38 + 9)]
+    assert both(spark, rows) == brute(rows)
