@@ -16,7 +16,7 @@ import gc
 import os
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -143,6 +143,7 @@ class Encoder:
         self.runs, self.ascii_pieces, self.any_pieces = _patterns()
         self.pieces: dict[str, bytes] = {}
         self.seen = _Runs(self)
+        self.ids_of_run = self.seen.__getitem__
 
     def piece(self, piece: str) -> bytes:
         """Ids of one piece of the pattern, as native 32-bit integers."""
@@ -167,8 +168,6 @@ class Encoder:
         """Ids of a whole text as native 32-bit integers; nothing for null and empty texts."""
         if not text:
             return b""
-        if len(self.seen) >= REMEMBERED:
-            self.seen.clear()
         return b"".join(map(self.seen.__getitem__, self.runs.findall(text)))
 
     def encode(self, text: str | None) -> list[int]:
@@ -190,6 +189,8 @@ class _Runs(dict):
     def __missing__(self, run: str) -> bytes:
         ids = self.encoder.run(run)
         if len(run) <= LONGEST_REMEMBERED:
+            if len(self) >= REMEMBERED:
+                self.clear()
             self[run] = ids
         return ids
 
@@ -197,11 +198,24 @@ class _Runs(dict):
 @functools.cache
 def encoder(rank_file: str = RANK_FILE) -> Encoder:
     """The encoder of this worker; it lives as long as the worker, so its memory serves all its tasks."""
-    gc.freeze()
-    gc.disable()  # nothing here makes reference cycles, and the remembered dictionaries are costly to scan
     return Encoder(rank_file)
 
 
+def without_gc(run: Callable) -> Callable:
+    """A batch function during which cycles are not looked for: nothing here makes any, and what is remembered is costly to scan."""
+
+    def quiet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        was = gc.isenabled()
+        gc.disable()
+        try:
+            yield from run(batches)
+        finally:
+            if was:
+                gc.enable()
+
+    return quiet
+
+
 def encode_corpus(docs: DataFrame, key: str = "doc_id", text: str = "text", rank_file: str = RANK_FILE) -> DataFrame:
     """(key, ids) of every row: ids is an array of integers, empty for null and empty texts.
 
@@ -231,7 +245,7 @@ def encode_corpus(docs: DataFrame, key: str = "doc_id", text: str = "text", rank
 
     ship(docs.sparkSession)
     rows = spread(docs.select(F.col(key).alias("__key"), F.col(text).alias("__text")), "__key")
-    return rows.mapInArrow(run, T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+    return rows.mapInArrow(without_gc(run), T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))]))
 
 
 def count_tokens(docs: DataFrame, keep: list[str], text: str = "text", rank_file: str = RANK_FILE, source: DataFrame | None = None) -> DataFrame:
@@ -245,4 +259,4 @@ def count_tokens(docs: DataFrame, keep: list[str], text: str = "text", rank_file
 
     ship(docs.sparkSession)
     rows = spread(docs.select(*keep, F.col(text).alias("__text")), keep[0], source=source)
-    return rows.mapInArrow(run, T.StructType([*(docs.schema[k] for k in keep), T.StructField("n_tokens", T.LongType())]))
+    return rows.mapInArrow(without_gc(run), T.StructType([*(docs.schema[k] for k in keep), T.StructField("n_tokens", T.LongType())]))

@@ -46,6 +46,46 @@ def test_nested_lists_stay_together():
     assert all((block * 8)[p[0] :].startswith("- parent") for p in found)
 
 
+def test_packs_of_an_oversized_section_stand_for_themselves():
+    big = "# A\n" + "".join(f"Paragraph {i} of the first section has some words.\n\n" for i in range(14))
+    small = ["# B\nshort text\n\n", "# C\nshort text as well\n"]
+    text = big + "".join(small)
+    found = check(text, 100, 0)
+    cut = len(big)
+    assert any(p[0] == cut for p in found), "no piece holds the end of A with B"
+    assert [text[p[0] : p[2]] for p in found if p[0] >= cut] == ["".join(small)]
+
+
+def test_fences_are_no_headings():
+    code = "```python\n# comment\nx = 1\n\n# another\ny = 2\n```\n"
+    assert splitting.outline("# T\n" + code + "after\n")[:2] == [(0, 1), (4, 7)]
+    assert all(d >= 7 for _, d in splitting.outline("# T\n" + code + "after\n")[1:])
+    assert [d for _, d in splitting.outline("~~~\n# a\n~~~\n# b\n")] == [7, 40, 40, 1]
+
+
+def test_underlined_headings_tables_and_markup():
+    nodes = splitting.outline("Title\n=====\n\ntext\n\nSub\n---\n\n| a | b |\n| 1 | 2 |\ntail\n")
+    assert [d for _, d in nodes] == [1, 7, 2, 7, 40, 7]
+    nodes = splitting.outline("<div>one</div><p>two</p><h2>three</h2><ul><li>x</li><li>y</li></ul>")
+    assert [d for _, d in nodes].count(7) >= 3 and 2 in [d for _, d in nodes]
+    assert splitting.outline(" \n\n") == [(0, 7)] and splitting.outline("") == [(0, 7)]
+
+
+def test_rows_of_a_table_are_not_cut():
+    table = "".join(f"| row {i} | some value {i} | more |\n" for i in range(60))
+    assert all(table[p[0]] == "|" for p in check(table, 80, 0))
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet=st.sampled_from("ab1 '\n\té中😀.-#|<p>`~="), max_size=80), st.data())
+def test_counts_by_difference(text, data):
+    enc = bpe.encoder()
+    m = splitting.Measured(enc, text)
+    a = data.draw(st.integers(0, len(text)))
+    b = data.draw(st.integers(a, len(text)))
+    assert m.count(a, b) == enc.count(text[a:b])
+
+
 def test_sentences_in_one_line():
     text = " ".join(f"Sentence number {i} ends here." for i in range(60))
     found = check(text, 50, 0)
