@@ -6,13 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from braidframe.functions.time import epoch_micros
-from braidframe.operators.ordered import running_max
-from braidframe.session import cut
 
 #: A parent that was never deleted lives until here (microseconds).
 FOREVER = (1 << 63) - 1
-#: Hot ids are cut along time in pieces of this length.
-PIECE_US = 86_400_000_000
+#: Lives that ended are cut along time in units of 2**UNIT_BITS microseconds, 3.2 days.
+UNIT_BITS = 38
+
+_ID = ["parent", "target_id"]
 
 
 def normal_id(c: Column | str) -> Column:
@@ -42,49 +42,79 @@ def parents(df: DataFrame, parent: str, key: str, created: str, deleted: str) ->
     )
 
 
-def orphan_keys(refs: DataFrame, targets: DataFrame) -> DataFrame:
-    """Distinct (parent, target_id, at, reason) that no live record answers.
+def _whole_units(mortal: DataFrame) -> DataFrame:
+    """(parent, target_id, word, mask): the whole units that some life covers, 64 to a word."""
+    first, behind = F.col("lo"), F.col("hi")
+    d = mortal.where(first < behind).select(*_ID, "lo", "hi", F.explode(F.sequence(F.shiftright(first, 6), F.shiftright(behind - 1, 6))).alias("word"))
+    low, high = F.greatest(first - F.shiftleft("word", 6), F.lit(0)), F.least(behind - F.shiftleft("word", 6), F.lit(64))
+    ones = F.call_function("shiftrightunsigned", F.lit(-1).cast("bigint"), (F.lit(64) - (high - low)).cast("int"))
+    return d.groupBy(*_ID, "word").agg(F.bit_or(F.call_function("shiftleft", ones, low.cast("int"))).alias("mask"))
+
+
+def _part_units(mortal: DataFrame) -> DataFrame:
+    """(parent, target_id, unit, since, until): what lives cover of units that they do not fill."""
+    piece = lambda unit, since, until: F.struct(unit.alias("unit"), since.alias("since"), until.alias("until"))
+    lo, hi, born, died = (F.col(c) for c in ("lo", "hi", "born", "died"))
+    start, stop = F.shiftleft(lo, UNIT_BITS), F.shiftleft(hi, UNIT_BITS)
+    pieces = F.array_compact(
+        F.array(
+            F.when((lo <= hi) & (born < start), piece(lo - 1, born, start)),
+            F.when((lo <= hi) & (stop < died), piece(hi, stop, died)),
+            F.when(lo > hi, piece(hi, born, died)),
+        )
+    )
+    return mortal.select(*_ID, F.inline(pieces)).groupBy(*_ID, "unit", "since").agg(F.max("until").alias("until"))
 
-    1. The distinct non-null ids are left-anti-joined to the distinct parent ids: what remains was
-       never registered (``reason`` = missing). One row per id stands on either side, so a hot id
-       weighs as much as any other.
-    2. Ids that do exist are judged at each distinct moment: parents and moments of an id are ordered
-       by time, and the latest end among the parents born so far tells whether one is alive. The order
-       is cut by day, so a hot id spreads over its days (``reason`` = not_live: deleted or later).
 
-    Null or blank ids are no references. A reference without time finds no live record. A parent
-    without birth time is never alive; equal times count as born (``born <= at < died``).
-    """
-    keys = cut(refs.where(F.col("target_id").isNotNull()).select("parent", "target_id", "at").distinct(), "keys")
-    kept = targets.where(F.col("target_id").isNotNull())
-    ids = keys.select("parent", "target_id").distinct()
-    known = kept.select("parent", "target_id").distinct()
-    missing = ids.join(known, ["parent", "target_id"], "left_anti")
-    existing = ids.join(known, ["parent", "target_id"], "left_semi")
-
-    never = keys.join(missing, ["parent", "target_id"], "left_semi").withColumn("reason", F.lit("missing"))
-    asked = keys.join(existing, ["parent", "target_id"], "left_semi").withColumn("t", epoch_micros("at"))
-    lives = kept.where(F.col("born").isNotNull()).groupBy("parent", "target_id", "born").agg(F.max("died").alias("died"))
-    line = lives.select("parent", "target_id", F.col("born").alias("t"), "died", F.lit(None).cast(keys.schema["at"].dataType).alias("at"), F.lit(0).alias("is_key")).unionByName(
-        asked.select("parent", "target_id", "t", F.lit(None).cast("bigint").alias("died"), "at", F.lit(1).alias("is_key"))
-    )
-    scanned = running_max(
-        line,
-        ["parent", "target_id"],
-        F.floor(F.col("t") / PIECE_US),
-        [F.col("t").asc_nulls_first(), F.col("is_key")],
-        F.col("died"),
-        "lives_until",
-    )
-    dead = scanned.where((F.col("is_key") == 1) & (F.col("t").isNull() | F.col("lives_until").isNull() | (F.col("lives_until") <= F.col("t"))))
-    return never.unionByName(dead.select("parent", "target_id", "at", F.lit("not_live").alias("reason")))
+def _without(keys: DataFrame, lives: DataFrame, on: list[str], alive) -> DataFrame:
+    """Left anti-join on ``on`` and the condition ``alive``, which names columns of ``lives`` with ``__`` before them."""
+    right = lives.select(*[F.col(c).alias(f"__{c}") for c in lives.columns])
+    condition = alive
+    for c in on:
+        condition = condition & (keys[c] == right[f"__{c}"])
+    return keys.join(right, condition, "left_anti")
 
 
-def orphan_rows(refs: DataFrame, targets: DataFrame) -> DataFrame:
-    """The referring rows behind :func:`orphan_keys`, each distinct row once."""
-    bad = orphan_keys(refs, targets).select(F.col("parent").alias("p"), F.col("target_id").alias("i"), F.col("at").alias("a"), "reason")
+def orphan_keys(refs: DataFrame, targets: DataFrame) -> DataFrame:
+    """Distinct (parent, target_id, at) that no live record answers.
+
+    The distinct non-null keys are left-anti-joined to the parents' lives three times, each time to a
+    table with few rows for a key, so no join multiplies a hot id's references by its records:
+
+    1. ids whose records include one never deleted, by the birth of the earliest such (one row per id);
+    2. lives that ended, in whole units of 2**UNIT_BITS microseconds (a bit of a word each);
+    3. the rest of those lives, by unit.
+
+    Whatever remains was never registered, came later or was deleted. Null or blank ids are no
+    references. A reference without time finds no live record. A parent without birth time is never
+    alive; equal times count as born (``born <= at < died``).
+    """
+    keys = refs.where(F.col("target_id").isNotNull()).select("parent", "target_id", "at").distinct()
+    keys = keys.withColumn("t", epoch_micros("at")).withColumn("unit", F.shiftright("t", UNIT_BITS)).withColumn("word", F.shiftright("unit", 6))
+    lives = targets.where(F.col("target_id").isNotNull() & (F.col("born") < F.col("died")))
+    undying = lives.where(F.col("died") == FOREVER).groupBy(*_ID).agg(F.min("born").alias("since"))
+    mortal = lives.where(F.col("died") < FOREVER).select("*", F.shiftright(F.col("born") + ((1 << UNIT_BITS) - 1), UNIT_BITS).alias("lo"), F.shiftright("died", UNIT_BITS).alias("hi"))
+    left = _without(keys, undying, _ID, F.col("t") >= F.col("__since"))
+    left = _without(left, _whole_units(mortal), [*_ID, "word"], F.getbit("__mask", F.pmod("unit", F.lit(64)).cast("int")) == 1)
+    left = _without(left, _part_units(mortal), [*_ID, "unit"], (F.col("t") >= F.col("__since")) & (F.col("t") < F.col("__until")))
+    return left.select("parent", "target_id", "at")
+
+
+def with_reasons(keys: DataFrame, targets: DataFrame) -> DataFrame:
+    """``reason`` of each key: ``missing`` if its id was never registered, else ``not_live`` (deleted or later)."""
+    known = targets.where(F.col("target_id").isNotNull()).select(*[F.col(c).alias(f"__{c}") for c in _ID]).distinct()
+    joined = keys.join(known, (keys["parent"] == known["__parent"]) & (keys["target_id"] == known["__target_id"]), "left")
+    return joined.select(*keys.columns, F.when(F.col("__target_id").isNull(), "missing").otherwise("not_live").alias("reason"))
+
+
+def orphan_rows(refs: DataFrame, targets: DataFrame, *, reasons: bool = False) -> DataFrame:
+    """The referring rows behind :func:`orphan_keys`, joined back, with their reason where asked for."""
+    bad = orphan_keys(refs, targets)
+    if reasons:
+        bad = with_reasons(bad, targets)
+    bad = bad.withColumnsRenamed({"parent": "p", "target_id": "i", "at": "a"})
     joined = refs.join(bad, (refs["parent"] == bad["p"]) & (refs["target_id"] == bad["i"]) & refs["at"].eqNullSafe(bad["a"]))
-    return joined.select("ref_table", "ref_id", "target_id", "at", "reason")
+    return joined.select("ref_table", "ref_id", "target_id", "at", *(["reason"] if reasons else []))
 
 
 def orphan_report(refs: DataFrame, targets: DataFrame) -> DataFrame:
@@ -93,7 +123,7 @@ def orphan_report(refs: DataFrame, targets: DataFrame) -> DataFrame:
     rows = refs.where(F.col("target_id").isNotNull()).select("ref_table", "ref_id", "target_id", period).distinct()
     total = rows.groupBy("ref_table", "period").agg(F.count(F.lit(1)).alias("n_refs"))
     bad = (
-        orphan_rows(refs, targets)
+        orphan_rows(refs, targets, reasons=True)
         .groupBy("ref_table", "ref_id", "target_id", period)
         .agg(F.min("reason").alias("reason"))
         .groupBy("ref_table", "period")

@@ -19,7 +19,7 @@ def run(spark, refs, parents):
 
 
 def found(spark, refs, parents):
-    return {(r["ref_id"], r["reason"]) for r in integrity.orphan_rows(*run(spark, refs, parents)).collect()}
+    return {(r["ref_id"], r["reason"]) for r in integrity.orphan_rows(*run(spark, refs, parents), reasons=True).collect()}
 
 
 def test_missing_deleted_and_later(spark):
@@ -50,6 +50,18 @@ def test_hot_id_against_brute_force(spark):
     assert {i for i, _ in found(spark, refs, parents)} == want
 
 
+def test_lives_of_any_length_against_brute_force(spark):
+    import random
+    from datetime import timedelta
+
+    rng, origin = random.Random(8), datetime(1969, 12, 1)
+    moment = lambda: origin + timedelta(microseconds=rng.choice([rng.randrange(2**45), rng.randrange(2**20), 2**38 * rng.randint(-2, 90)]))
+    parents = [(f"i{rng.randint(0, 12)}", b, rng.choice([b + timedelta(microseconds=rng.randint(-5, 2 ** rng.choice([3, 20, 38, 40, 44]))), moment()])) for b in (moment() for _ in range(80))]
+    refs = [(i, f"I{rng.randint(0, 13)}", moment()) for i in range(3000)] + [(5000 + i, v, at) for i, (v, b, e) in enumerate(parents) for at in (b, e)]
+    want = {i for i, v, at in refs if not any(p == v.lower() and b <= at < e for p, b, e in parents)}
+    assert 100 < len(want) < 3100 and {i for i, _ in found(spark, refs, parents)} == want
+
+
 def test_repeated_rows_and_report(spark):
     refs = [(1, "a", t(1)), (1, "a", t(1)), (2, "b", t(1))]
     report = integrity.orphan_report(*run(spark, refs, [("b", t(1), None)])).collect()
