@@ -1,4 +1,4 @@
-"""Queries p1 to p5: the general problems on the domain tables."""
+"""Queries p1, p2, p4 and p5: the general problems on the domain tables."""
 
 from __future__ import annotations
 
@@ -6,9 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from braidframe.functions.time import epoch_micros
-from braidframe.operators import drift, integrity, intervals, shred, sketch
+from braidframe.operators import drift, integrity, intervals, shred
 from braidframe.plans.tables import table
-from braidframe.session import cut
 
 #: Entities of a run manifest.
 MANIFEST = (
@@ -106,53 +105,6 @@ def p2_items(spark: SparkSession, d: str) -> DataFrame:
     return shred.entity_table(_nodes(spark, d), "manifest_id", "item", ITEM_FIELDS)
 
 
-# --- p3 -------------------------------------------------------------------------------------------
-
-
-def _measures(spark: SparkSession, d: str) -> DataFrame:
-    """(metric, base_name, at, value) of both tables; each delivered row counts."""
-    runs = table(spark, d, "task_runs").select(F.lit("duration_s").alias("metric"), "base_name", F.col("started_at").alias("at"), F.col("duration_s").alias("value"))
-    samples = table(spark, d, "resource_samples").select(F.lit("rss_bytes").alias("metric"), "base_name", F.col("sampled_at").alias("at"), F.col("rss_bytes").cast("double").alias("value"))
-    return runs.unionByName(samples)
-
-
-_P3_KEYS = ["metric", "base_name"]
-
-
-def _day_sketches(spark: SparkSession, d: str) -> DataFrame:
-    """One sketch per metric, base_name and day, written to the shared folder and read back, as a daily job would keep them."""
-    by_day = _measures(spark, d).withColumn("day", F.to_date("at"))
-    return cut(sketch.build(by_day, [*_P3_KEYS, "day"], "value"), "sketches")
-
-
-def p3_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    """Percentiles of duration_s and rss_bytes per base_name."""
-    return sketch.percentiles(sketch.build(_measures(spark, d), _P3_KEYS, "value"), _P3_KEYS)
-
-
-def p3_merge_check(spark: SparkSession, d: str) -> DataFrame:
-    """Percentiles from the merged sketches of days against those from one sketch of all rows: they are the same."""
-    merged = sketch.percentiles(sketch.merge(_day_sketches(spark, d), _P3_KEYS), _P3_KEYS)
-    direct = sketch.percentiles(sketch.build(_measures(spark, d), _P3_KEYS, "value"), _P3_KEYS)
-    tag = lambda t, name: t.select(*_P3_KEYS, "q", F.struct("n", "code").alias(name))
-    both = tag(merged, "m").unionByName(tag(direct, "d"), allowMissingColumns=True).groupBy(*_P3_KEYS, "q").agg(F.max("m").alias("m"), F.max("d").alias("d"))
-    return both.select(*_P3_KEYS, "q", F.col("m.n").alias("n"), F.col("m").eqNullSafe(F.col("d")).alias("same"))
-
-
-def p3_rank_check(spark: SparkSession, d: str) -> DataFrame:
-    """For each percentile: the number of measurements, and whether its rank is within the bound."""
-    measures = _measures(spark, d)
-    return sketch.rank_check(measures, _P3_KEYS, "value", sketch.percentiles(sketch.build(measures, _P3_KEYS, "value"), _P3_KEYS))
-
-
-P3_RANK_CHECK_SQL = f"""
-WITH m AS (
-  SELECT 'duration_s' AS metric, base_name, duration_s AS value FROM task_runs
-  UNION ALL SELECT 'rss_bytes', base_name, CAST(rss_bytes AS DOUBLE) FROM resource_samples),
-g AS (SELECT metric, base_name, count(*) AS n FROM m WHERE value >= 0 AND NOT isnan(value) GROUP BY ALL)
-SELECT metric, base_name, q, n, TRUE AS within FROM g, (SELECT unnest([{", ".join(map(str, sketch.PERCENTILES))}])::DOUBLE AS q)"""
-
-
 # --- p4 -------------------------------------------------------------------------------------------
 
 
@@ -220,9 +172,6 @@ QUERIES = {
     "p2_tasks": p2_tasks,
     "p2_assets": p2_assets,
     "p2_items": p2_items,
-    "p3_percentiles": p3_percentiles,
-    "p3_merge_check": p3_merge_check,
-    "p3_rank_check": p3_rank_check,
     "p4_found": p4_found,
     "p4_changes": p4_changes,
     "p4_schema": p4_schema,
@@ -234,8 +183,6 @@ QUERIES = {
 ORACLE = {
     "p1_found": P1_FOUND_SQL,
     "p1_report": P1_REPORT_SQL,
-    "p3_merge_check": P3_RANK_CHECK_SQL.replace("TRUE AS within", "TRUE AS same"),
-    "p3_rank_check": P3_RANK_CHECK_SQL,
     "p5_found": P5_FOUND_SQL,
     "p5_periods": P5_PERIODS_SQL,
 }
