@@ -8,7 +8,7 @@ conversion to text; alternatives that appear or vanish from file to file are rep
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -25,8 +25,8 @@ MOST_ALIASES = 100_000
 FILES_A_BUCKET = 4096
 #: Separates keys in a canonical path; it cannot occur in a JSON key that was written unescaped.
 _SEP = "\x00"
-#: Objects whose keys are fields too: the canonical key path that leads to each.
-NESTED = (("meta",), ("meta", "env_hash"))
+#: Which objects have keys that are fields too: None for all of them, else the canonical key paths that lead to them.
+Nested = Sequence[tuple[str, ...]] | None
 
 BRANCHES = {"string": "string", "whole": "decimal(38,0)", "fraction": "double", "boolean": "boolean", "object": "string", "array": "string"}
 
@@ -37,7 +37,7 @@ def alias_map(aliases: DataFrame) -> dict[str, str]:
     return {r["alias"]: r["field"] for r in bounded_rows(rows, MOST_ALIASES, "field_aliases")}
 
 
-def _fields(record: dict, names: dict[str, str]) -> Iterator[tuple[tuple[str, ...], tuple[str, ...], object]]:
+def _fields(record: dict, names: dict[str, str], nested: Nested) -> Iterator[tuple[tuple[str, ...], tuple[str, ...], object]]:
     """(canonical keys, spelled keys, value) of each field with a non-null value."""
     todo: list[tuple[tuple, tuple, dict]] = [((), (), record)]
     while todo:
@@ -47,7 +47,7 @@ def _fields(record: dict, names: dict[str, str]) -> Iterator[tuple[tuple[str, ..
                 continue
             c, s = (*canon, names.get(key, key)), (*spelled, key)
             yield c, s, value
-            if type(value) is dict and c in NESTED:
+            if type(value) is dict and (nested is None or c in nested):
                 todo.append((c, s, value))
 
 
@@ -59,7 +59,7 @@ def _record(text: str | None) -> dict | None:
     return value if type(value) is dict else None
 
 
-def file_facts(raw: DataFrame, names: dict[str, str]) -> DataFrame:
+def file_facts(raw: DataFrame, names: dict[str, str], nested: Nested = None) -> DataFrame:
     """Distinct (file_id, field, spelled, kind) of all lines; ``field`` is the canonical path.
 
     Lines that are null or no JSON object have no facts, null values neither. Facts repeat from line to
@@ -72,7 +72,7 @@ def file_facts(raw: DataFrame, names: dict[str, str]) -> DataFrame:
             for file_id, text in zip(batch.column("file_id").to_pylist(), batch.column("record").to_pylist(), strict=True):
                 record = _record(text)
                 if record is not None:
-                    for c, s, v in _fields(record, names):
+                    for c, s, v in _fields(record, names, nested):
                         facts[(file_id, c, s, jsontext.kind(v))] = None
             if facts:
                 ids, cs, ss, ks = zip(*facts, strict=True)
@@ -104,16 +104,17 @@ def predecessors(raw: DataFrame) -> DataFrame:
     return seen.select("file_id", "previous_id")
 
 
-def changes(raw: DataFrame, names: dict[str, str]) -> DataFrame:
+def changes(raw: DataFrame, names: dict[str, str], nested: Nested = None) -> DataFrame:
     """Every change of a field between a producer's consecutive files.
 
     Columns file_id, change, old_path, new_path, old_kinds, new_kinds. ``added``, ``removed``,
     ``renamed`` (spelled differently) and ``retyped`` (another set of types); a field can be renamed
-    and retyped at once. Of a field that one file spells in several ways, the spellings that the other
-    file lacks are paired in sorted order (the first stands in where one side has none).
+    and retyped at once. Of a field that one file spells in several ways, each spelling is added or
+    removed; the spellings that the other file lacks are paired in sorted order (the first stands in
+    where one side has none), and a change of type names the first.
     """
     pairs = predecessors(raw).where(F.col("previous_id").isNotNull())
-    schemas = file_schemas(file_facts(raw, names))
+    schemas = file_schemas(file_facts(raw, names, nested))
     side = F.struct("spellings", "kinds")
     none = F.lit(None).cast("struct<spellings:array<string>,kinds:array<string>>")
     new = schemas.join(pairs, "file_id").select("file_id", "field", none.alias("old"), side.alias("new"))
@@ -131,8 +132,8 @@ def changes(raw: DataFrame, names: dict[str, str]) -> DataFrame:
     )
     found = F.array_compact(
         F.array(
-            one(F.col("old").isNull(), "added", empty, first("new")),
-            one(F.col("new").isNull(), "removed", first("old"), empty),
+            F.when(F.col("old").isNull(), F.transform("new.spellings", lambda x: row("added", empty, x))),
+            F.when(F.col("new").isNull(), F.transform("old.spellings", lambda x: row("removed", x, empty))),
             renamed,
             one(in_both & (F.col("old.kinds") != F.col("new.kinds")), "retyped", first("old"), first("new")),
         )
@@ -141,21 +142,65 @@ def changes(raw: DataFrame, names: dict[str, str]) -> DataFrame:
     return listed.select("file_id", "c.change", "c.old_path", "c.new_path", "old_kinds", "new_kinds").distinct()
 
 
-def fused_schema(raw: DataFrame, names: dict[str, str]) -> DataFrame:
+def fused_schema(raw: DataFrame, names: dict[str, str], nested: Nested = None) -> DataFrame:
     """One row per field over all files: its alternatives, its spellings and in how many files it occurs."""
-    per_file = file_schemas(file_facts(raw, names))
+    per_file = file_schemas(file_facts(raw, names, nested))
     kinds = per_file.groupBy("field").agg(F.count(F.lit(1)).alias("n_files"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("kinds")))).alias("kinds"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("spellings")))).alias("spellings"))
     return kinds.select(F.translate("field", _SEP, ".").alias("field"), "n_files", "kinds", "spellings")
 
 
-def entries(raw: DataFrame, names: dict[str, str], fields: dict[str, list[str]]) -> DataFrame:
+_IDS = ["raw_id", "file_id", "producer", "file_seq", "line_no"]
+
+
+def values(raw: DataFrame, names: dict[str, str], nested: Nested = None) -> DataFrame:
+    """All entries in long form, exact whatever the number of fields: the ids and one row per spelled field.
+
+    ``path`` is canonical, ``spelled`` as in the line; ``kind`` tags which of the typed branches
+    ``as_string``, ``as_whole``, ``as_fraction``, ``as_boolean`` and ``as_json`` holds the value; ``value``
+    is its canonical text. Whole numbers beyond 38 digits are in ``value`` only. Repeated rows count
+    once; null values and lines that are no JSON object give no rows.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep, found = [], []
+            for i, text in enumerate(batch.column("record").to_pylist()):
+                for c, s, v in _fields(_record(text) or {}, names, nested):
+                    keep.append(i)
+                    found.append((jsontext.clean(".".join(c)), jsontext.clean(".".join(s)), jsontext.kind(v), _text(v)))
+            if keep:
+                take = pa.array(keep, pa.int64())
+                yield pa.RecordBatch.from_arrays([*(batch.column(n).take(take) for n in _IDS), *(pa.array(x) for x in zip(*found, strict=True))], names=[*_IDS, "path", "spelled", "kind", "value"])
+
+    ship(raw.sparkSession)
+    rows = raw.where(F.col("record").isNotNull()).select(*_IDS, "record").distinct()
+    text = [T.StructField(n, T.StringType()) for n in ("path", "spelled", "kind", "value")]
+    long = rows.mapInArrow(run, T.StructType([*(raw.schema[n] for n in _IDS), *text]))
+    branch = lambda *kinds: F.when(F.col("kind").isin(*kinds), F.col("value"))
+    return long.select(
+        "*",
+        branch("string").alias("as_string"),
+        branch("whole").try_cast("decimal(38,0)").alias("as_whole"),
+        branch("fraction").try_cast("double").alias("as_fraction"),
+        branch("boolean").try_cast("boolean").alias("as_boolean"),
+        branch("object", "array").alias("as_json"),
+    )
+
+
+def _text(value: object) -> str:
+    """Canonical conversion to text: compact JSON with sorted keys for objects and arrays, numbers as they are spelled."""
+    return jsontext.dump(value) if jsontext.kind(value) in ("object", "array", "boolean") else jsontext.clean(str(value))
+
+
+def entries(raw: DataFrame, names: dict[str, str], fields: dict[str, list[str]], nested: Nested = None) -> DataFrame:
     """All JSON-object lines as one table.
 
     ``fields`` maps each canonical path to its alternatives (from :func:`fused_schema`). A path becomes
     the column ``path`` (dots as ``__``) with the canonical conversion to text and, where it has several
     alternatives, one typed column ``path__kind`` for each, filled where the line has that type. Keys
-    without a column stay in the map ``rest``. Objects and arrays are compact JSON with sorted keys.
-    Repeated rows count once; two spellings of one field in a line: the first non-null is taken.
+    without a column stay in the map ``rest`` (:func:`values` has their types). Objects and arrays are
+    compact JSON with sorted keys. Repeated rows count once; of two spellings of one field in a line the
+    first non-null is taken and the other is in ``rest`` under its spelling.
     """
     wanted = set(fields)
 
@@ -167,11 +212,12 @@ def entries(raw: DataFrame, names: dict[str, str], fields: dict[str, list[str]])
                 if record is None:
                     continue
                 line: dict[str, dict] = {}
-                for c, _, v in _fields(record, names):
+                for c, s, v in _fields(record, names, nested):
                     path = jsontext.clean(".".join(c))
                     k = jsontext.kind(v)
-                    if path not in line:
-                        line[path] = {"kind": k, "text": jsontext.dump(v) if k in ("object", "array", "boolean") else jsontext.clean(str(v))}
+                    if path in line:  # a second spelling in one line
+                        path = jsontext.clean(".".join(s))
+                    line.setdefault(path, {"kind": k, "text": _text(v)})
                 keep.append(i)
                 values.append(list(line.items()))
             if keep:
@@ -179,7 +225,7 @@ def entries(raw: DataFrame, names: dict[str, str], fields: dict[str, list[str]])
                 kind = pa.map_(pa.string(), pa.struct([("kind", pa.string()), ("text", pa.string())]))
                 yield pa.RecordBatch.from_arrays([*(batch.column(n).take(take) for n in ids), pa.array(values, kind)], names=[*ids, "f"])
 
-    ids = ["raw_id", "file_id", "producer", "file_seq", "line_no"]
+    ids = _IDS
     ship(raw.sparkSession)
     rows = raw.where(F.col("record").isNotNull()).select(*ids, "record").distinct()
     schema = T.StructType([*(raw.schema[n] for n in ids), T.StructField("f", T.MapType(T.StringType(), T.StructType([T.StructField("kind", T.StringType()), T.StructField("text", T.StringType())])))])

@@ -80,14 +80,27 @@ FROM n LEFT JOIN b ON n.ref_table = b.ref_table AND n.period = b.period"""
 # --- p2 -------------------------------------------------------------------------------------------
 
 
-def _nodes(spark: SparkSession, d: str, *, every: bool = True) -> DataFrame:
-    return shred.shred(table(spark, d, "run_manifests"), "manifest_id", "manifest", MANIFEST, every=every)
+def _nodes(spark: SparkSession, d: str, *, content: bool = True) -> DataFrame:
+    return shred.shred(table(spark, d, "run_manifests"), "manifest_id", "manifest", MANIFEST, content=content)
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Tasks, assets and items of all manifests with their own and their parent's path."""
-    nodes = _nodes(spark, d, every=False).where(F.col("entity").isNotNull())
-    return nodes.select("manifest_id", F.col("path").alias("node_path"), F.col("owner").alias("parent_path")).distinct()
+    return shred.parent_links(_nodes(spark, d, content=False), "manifest_id").select("manifest_id", "node_path", "parent_path").distinct()
+
+
+P2_FOUND_SQL = """
+WITH RECURSIVE m AS (SELECT DISTINCT manifest_id, CAST(manifest AS JSON) AS j FROM run_manifests WHERE json_valid(manifest)),
+t0 AS (SELECT manifest_id, json_extract(j, '$.tasks') AS tasks FROM m WHERE json_type(j, '$.tasks') = 'OBJECT'),
+t AS (SELECT manifest_id, 'tasks/' || e.key AS np, e.value AS v FROM t0, json_each(tasks) AS e WHERE json_type(e.value) = 'OBJECT'),
+a0 AS (SELECT manifest_id, np, json_extract(v, '$.assets') AS assets FROM t WHERE json_type(v, '$.assets') = 'ARRAY'),
+a AS (SELECT manifest_id, np || '/assets/' || e.key AS np, np AS op FROM a0, json_each(assets) AS e WHERE json_type(e.value) = 'OBJECT'),
+w AS (
+  SELECT manifest_id, np || '/inputs' AS np, json_extract(v, '$.inputs') AS v, FALSE AS holds_items, FALSE AS is_item, np AS op FROM t WHERE json_type(v, '$.inputs') = 'OBJECT'
+  UNION ALL
+  SELECT w.manifest_id, w.np || '/' || e.key, e.value, json_type(w.v) = 'OBJECT' AND e.key = 'items' AND json_type(e.value) = 'ARRAY', w.holds_items, CASE WHEN w.is_item THEN w.np ELSE w.op END
+  FROM w, json_each(w.v) AS e WHERE json_type(w.v) IN ('OBJECT', 'ARRAY'))
+SELECT manifest_id, np AS node_path, '' AS parent_path FROM t UNION SELECT * FROM a UNION SELECT manifest_id, np, op FROM w WHERE is_item"""
 
 
 def p2_tasks(spark: SparkSession, d: str) -> DataFrame:
@@ -112,30 +125,60 @@ def _cache_meta(spark: SparkSession, d: str) -> tuple[DataFrame, dict[str, str]]
     return table(spark, d, "cache_meta_raw"), drift.alias_map(table(spark, d, "field_aliases"))
 
 
+#: Only the keys of these objects are fields beside the top-level ones.
+META = (("meta",), ("meta", "env_hash"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Fields added, removed, renamed or retyped between a producer's consecutive files."""
     return p4_changes(spark, d).select("file_id", "change", "old_path", "new_path").distinct()
 
 
 def p4_changes(spark: SparkSession, d: str) -> DataFrame:
-    """The same with the types on either side."""
-    return drift.changes(*_cache_meta(spark, d))
+    """The same with the types on either side, each sorted."""
+    found = drift.changes(*_cache_meta(spark, d), META)
+    return found.select("file_id", "change", "old_path", "new_path", F.array_join("old_kinds", ",").alias("old_kinds"), F.array_join("new_kinds", ",").alias("new_kinds"))
 
 
 def p4_schema(spark: SparkSession, d: str) -> DataFrame:
-    """The fused schema: each field's alternatives and spellings over all files."""
-    return drift.fused_schema(*_cache_meta(spark, d))
+    """The fused schema of all objects at any depth: each field's alternatives and spellings over all files."""
+    return drift.fused_schema(*_cache_meta(spark, d)).select("field", "n_files", F.array_join("kinds", ",").alias("kinds"), F.array_join("spellings", ",").alias("spellings"))
 
 
-#: More fields than this stay in the map column of p4_entries instead of columns of their own.
+#: More fields than this stay in the map column of p4_entries; p4_values has every field of any file with its type.
 MOST_COLUMNS = 500
 
 
 def p4_entries(spark: SparkSession, d: str) -> DataFrame:
     """All entries in one table, conflicting types split into branches."""
     raw, names = _cache_meta(spark, d)
-    common = drift.fused_schema(raw, names).orderBy(F.desc("n_files"), "field").limit(MOST_COLUMNS)
-    return drift.entries(raw, names, {r["field"]: list(r["kinds"]) for r in common.collect()})
+    common = drift.fused_schema(raw, names, META).orderBy(F.desc("n_files"), "field").limit(MOST_COLUMNS)
+    return drift.entries(raw, names, {r["field"]: list(r["kinds"]) for r in common.collect()}, META)
+
+
+def p4_values(spark: SparkSession, d: str) -> DataFrame:
+    """All entries with all their fields at any depth, one row per field, in typed branches."""
+    return drift.values(*_cache_meta(spark, d))
+
+
+_P4_TYPE = "CASE json_type(e.value) WHEN 'VARCHAR' THEN 'string' WHEN 'DOUBLE' THEN 'fraction' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' ELSE 'whole' END"
+_P4 = f"""
+names AS (SELECT alias, min(field) AS field FROM field_aliases WHERE alias IS NOT NULL AND field IS NOT NULL GROUP BY 1),
+r AS (SELECT DISTINCT raw_id, file_id, CAST(record AS JSON) AS j FROM cache_meta_raw WHERE json_valid(record) AND json_type(record) = 'OBJECT'),
+f1 AS (SELECT raw_id, file_id, e.key AS spelled, coalesce(n.field, e.key) AS field, {_P4_TYPE} AS kind, e.value FROM r, json_each(j) AS e LEFT JOIN names n ON n.alias = e.key WHERE json_type(e.value) <> 'NULL'),
+f2 AS (SELECT raw_id, file_id, f.spelled || '.' || e.key AS spelled, f.field || '.' || coalesce(n.field, e.key) AS field, {_P4_TYPE} AS kind, e.value FROM f1 f, json_each(f.value) AS e LEFT JOIN names n ON n.alias = e.key WHERE f.field = 'meta' AND f.kind = 'object' AND json_type(e.value) <> 'NULL'),
+f3 AS (SELECT raw_id, file_id, f.spelled || '.' || e.key AS spelled, f.field || '.' || coalesce(n.field, e.key) AS field, {_P4_TYPE} AS kind, e.value FROM f2 f, json_each(f.value) AS e LEFT JOIN names n ON n.alias = e.key WHERE f.field = 'meta.env_hash' AND f.kind = 'object' AND json_type(e.value) <> 'NULL'),
+facts AS (SELECT file_id, spelled, field, kind FROM f1 UNION SELECT file_id, spelled, field, kind FROM f2 UNION SELECT file_id, spelled, field, kind FROM f3),
+s AS (SELECT file_id, field, min(spelled) AS path, string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds FROM facts GROUP BY ALL),
+files AS (SELECT file_id, min(producer) AS producer, min(file_seq) AS seq FROM cache_meta_raw WHERE file_id IS NOT NULL GROUP BY 1),
+p AS (SELECT file_id, lag(file_id) OVER (PARTITION BY producer ORDER BY seq, file_id) AS before FROM files),
+o AS (SELECT p.file_id, s.field, path, kinds FROM p JOIN s ON s.file_id = p.before), n AS (SELECT p.file_id, s.field, path, kinds FROM p JOIN s ON s.file_id = p.file_id WHERE before IS NOT NULL),
+d AS (SELECT file_id, field, o.path AS old_path, n.path AS new_path, o.kinds AS old_kinds, n.kinds AS new_kinds FROM o FULL JOIN n USING (file_id, field)),
+c AS (SELECT file_id, CASE WHEN old_path IS NULL THEN 'added' WHEN new_path IS NULL THEN 'removed' ELSE 'renamed' END AS change, coalesce(old_path, '') AS old_path, coalesce(new_path, '') AS new_path, old_kinds, new_kinds FROM d WHERE old_path IS DISTINCT FROM new_path
+  UNION ALL SELECT file_id, 'retyped', old_path, new_path, old_kinds, new_kinds FROM d WHERE old_kinds <> new_kinds)"""
+#: For files that spell a field in one way each, as all of the test tables do; tests cover the others.
+P4_FOUND_SQL = f"WITH {_P4} SELECT DISTINCT file_id, change, old_path, new_path FROM c"
+P4_CHANGES_SQL = f"WITH {_P4} SELECT DISTINCT file_id, change, old_path, new_path, old_kinds, new_kinds FROM c"
 
 
 # --- p5 -------------------------------------------------------------------------------------------
@@ -176,6 +219,7 @@ QUERIES = {
     "p4_changes": p4_changes,
     "p4_schema": p4_schema,
     "p4_entries": p4_entries,
+    "p4_values": p4_values,
     "p5_found": p5_found,
     "p5_periods": p5_periods,
 }
@@ -183,6 +227,9 @@ QUERIES = {
 ORACLE = {
     "p1_found": P1_FOUND_SQL,
     "p1_report": P1_REPORT_SQL,
+    "p2_found": P2_FOUND_SQL,
+    "p4_found": P4_FOUND_SQL,
+    "p4_changes": P4_CHANGES_SQL,
     "p5_found": P5_FOUND_SQL,
     "p5_periods": P5_PERIODS_SQL,
 }

@@ -12,8 +12,35 @@ def raw(spark, files):
     return spark.createDataFrame(rows, RAW)
 
 
-def changes(spark, files):
-    return {(r["file_id"], r["change"], r["old_path"], r["new_path"]) for r in drift.changes(raw(spark, files), ALIASES).collect()}
+META = (("meta",), ("meta", "env_hash"))
+
+
+def changes(spark, files, nested=META):
+    return {(r["file_id"], r["change"], r["old_path"], r["new_path"]) for r in drift.changes(raw(spark, files), ALIASES, nested).collect()}
+
+
+def test_any_depth(spark):
+    files = {1: ("p", 1, [{"a": [1]}, {"x": {"y": {"z": 1}}}]), 2: ("p", 2, [{"a": {"b": 1}}, {"x": {"y": {"z": "1"}}}])}
+    assert changes(spark, files, None) == {(2, "retyped", "a", "a"), (2, "added", "", "a.b"), (2, "retyped", "x.y.z", "x.y.z")}
+    assert changes(spark, files) == {(2, "retyped", "a", "a")}
+
+
+def test_every_spelling_comes_and_goes(spark):
+    files = {1: ("p", 1, [{"q": 1}]), 2: ("p", 2, [{"v": 1}, {"ver": 2}]), 3: ("p", 3, [{"q": 1}])}
+    assert changes(spark, files) == {(2, "removed", "q", ""), (2, "added", "", "v"), (2, "added", "", "ver"), (3, "removed", "v", ""), (3, "removed", "ver", ""), (3, "added", "", "q")}
+
+
+def test_long_form(spark):
+    files = {1: ("p", 1, [{"v": 1, "ver": "2", "o": {"p": [True], "n": None}}, {"f": 1.5, "b": False, "w": 10**40}, None, "[]"])}
+    df = raw(spark, files)
+    rows = {(r["line_no"], r["spelled"]): r for r in drift.values(df.union(df), ALIASES).collect()}
+    assert {k: (r["path"], r["kind"], r["value"]) for k, r in rows.items()} == {
+        (0, "v"): ("v", "whole", "1"), (0, "ver"): ("v", "string", "2"), (0, "o"): ("o", "object", '{"n":null,"p":[true]}'), (0, "o.p"): ("o.p", "array", "[true]"),
+        (1, "f"): ("f", "fraction", "1.5"), (1, "b"): ("b", "boolean", "false"), (1, "w"): ("w", "whole", str(10**40)),
+    }
+    assert int(rows[0, "v"]["as_whole"]) == 1 and rows[0, "ver"]["as_string"] == "2" and rows[1, "f"]["as_fraction"] == 1.5
+    assert rows[1, "b"]["as_boolean"] is False and rows[0, "o.p"]["as_json"] == "[true]" and rows[1, "w"]["as_whole"] is None
+    assert drift.values(df.limit(0), ALIASES).count() == 0
 
 
 def test_added_removed_renamed_retyped(spark):

@@ -12,7 +12,7 @@ def nodes(spark, texts, **kw):
 
 
 def paths(df):
-    return {(r["path"], r["owner"]) for r in df.where("entity IS NOT NULL").collect()}
+    return {(r["node_path"], r["parent_path"]) for r in shred.parent_links(df, "manifest_id").collect()}
 
 
 MANIFEST_TEXT = json.dumps(
@@ -35,8 +35,8 @@ def test_entities_and_owners(spark):
         ("tasks/t/1/inputs/g/items/1/value/items/0", "tasks/t/1/inputs/g/items/1"), ("tasks/t/1/inputs/g/items/1/value/items/1", "tasks/t/1/inputs/g/items/1"),
         ("tasks/t/1/inputs/items/0", "tasks/t/1"), ("tasks/t/1/inputs/items/0/items/items/0", "tasks/t/1/inputs/items/0"),
     }
-    for every in (True, False):
-        assert paths(nodes(spark, [MANIFEST_TEXT], every=every)) == want
+    for content in (True, False):
+        assert paths(nodes(spark, [MANIFEST_TEXT], content=content)) == want
 
 
 def test_bad_texts_give_no_rows(spark):
@@ -47,10 +47,16 @@ def test_bad_texts_give_no_rows(spark):
 
 def test_repeated_rows_count_once(spark):
     df = spark.createDataFrame([(1, MANIFEST_TEXT)] * 3 + [(2, MANIFEST_TEXT)], "manifest_id bigint, manifest string")
-    found = shred.shred(df, "manifest_id", "manifest", MANIFEST, every=False)
+    found = shred.parent_links(shred.shred(df, "manifest_id", "manifest", MANIFEST), "manifest_id")
     assert found.count() == 20
 
 
+def test_null_keys_have_parents(spark):
+    df = spark.createDataFrame([(None, MANIFEST_TEXT)], "manifest_id bigint, manifest string")
+    found = shred.parent_links(shred.shred(df, "manifest_id", "manifest", MANIFEST), "manifest_id").collect()
+    assert len(found) == 10 and sum(r["parent_path"] == "" for r in found) == 2
+
+
 def test_adjacency_is_complete(spark):
     rows = nodes(spark, ['{"a": [1.50, null, true], "b": {"c": "x"}}']).collect()
     by = {r["node"]: r for r in rows}
@@ -66,7 +72,7 @@ def test_deep_nesting(spark):
     value = jsontext.read(text)
     assert jsontext.kind(value) == "object"
     small = '{"tasks": {"t": {"inputs": {"x": ' + '{"items": [' * 1500 + "1" + "]}" * 1500 + "}}}}"
-    assert nodes(spark, [small], every=False).count() == 1501
+    assert nodes(spark, [small], content=False).where("entity IS NOT NULL").count() == 1501
 
 
 @pytest.mark.parametrize("text", ['{"a": [1, -2.5e3, "x\\u00e9\\n", {}, [], true, false, null], "b": {"c": {"d": []}}}', " [ ] ", "0", '"a"', "[[[1]]]"])
