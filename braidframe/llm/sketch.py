@@ -206,6 +206,11 @@ def _same(key: tuple) -> tuple:
     return tuple("nan" if isinstance(v, float) and v != v else v for v in key)
 
 
+#: Tasks whose sketches are added first, before those of all tasks meet.
+TASKS_A_GROUP = 64
+_GROUP = "__group"
+
+
 def parts(df: DataFrame, keys: Sequence[str], value: str, weight: Column | None = None, of: Shape | None = None) -> DataFrame:
     """(keys, sketch): the sketches that tasks make of their rows, one or more for a key. No exchange."""
     of = of or shape()
@@ -293,7 +298,9 @@ def build(df: DataFrame, keys: Sequence[str], value: str, weight: Column | None
     one counts nothing. Null keys are a group of their own; a key without measurements has no sketch;
     other columns are ignored. Sketches can only be added if they were made with the same shape.
     """
-    return merge(parts(df, keys, value, weight, of), keys, of)
+    # Two steps, so that no task reads a key's sketches from all tasks of a large job.
+    grouped = parts(df, keys, value, weight, of).withColumn(_GROUP, F.floor(F.spark_partition_id() / TASKS_A_GROUP))
+    return merge(merge(grouped, [*keys, _GROUP], of), keys, of)
 
 
 def _descend(of: Shape, sums: np.ndarray, wanted: Sequence[float]) -> tuple[int, list[int]]:
