@@ -18,9 +18,17 @@ def round_half_even(c: Column | str, digits: int = 0) -> Column:
     return F.rint(_c(c).cast("double") * scale) / scale
 
 
-def divide(a: Column | str, b: Column | str, otherwise: Column | None = None) -> Column:
-    """Quotient; where the divisor is zero or either side null, ``otherwise`` (null by default)."""
+def divide(a: Column | str, b: Column | str, otherwise: Column | None = None, *, by_zero: str = "null") -> Column:
+    """Quotient; where the divisor is zero or either side null, ``otherwise`` (null by default).
+
+    ``by_zero="float"`` divides by zero as data frames do: infinite with the dividend's sign, NaN for 0 / 0.
+    """
     q = F.try_divide(_c(a), _c(b))
+    if by_zero == "float":
+        top = _c(a).cast("double")
+        q = F.when((_c(b) == 0) & top.isNotNull(), F.when((top == 0) | F.isnan(top), F.lit(float("nan"))).otherwise(F.signum(top) * F.lit(float("inf")))).otherwise(q)
+    elif by_zero != "null":
+        raise ValueError(f"by_zero: {by_zero!r}")
     return q if otherwise is None else F.coalesce(q, otherwise)
 
 
@@ -101,9 +109,11 @@ def null_if_nan(c: Column | str) -> Column:
 
 # --- parsing and printing of quantities -----------------------------------------------------------
 
-# Unit letters and what they stand for.
+# Unit letters and what they stand for, and the mark of an unknown quantity.
 BINARY_UNITS = {"": 1, "K": 2**10, "M": 2**20, "G": 2**30, "T": 2**40}
-TIME_UNITS = {"s": 1, "m": 60, "h": 3600, "d": 86400}
+TIME_UNITS = {"m": 60, "h": 3600, "d": 86400}
+MEMORY_UNITS = {"Ki": 2**10, "Mi": 2**20, "Gi": 2**30, "Ti": 2**40, "M": 10**6, "G": 10**9}
+UNKNOWN = "—"
 
 
 def _unit(c: Column, table: Mapping[str, int]) -> Column:
@@ -111,48 +121,116 @@ def _unit(c: Column, table: Mapping[str, int]) -> Column:
 
 
 def parse_size(c: Column | str) -> Column:
-    """Bytes of ``10``, ``4 KB``, ``1.5GiB``, ``2g`` (binary multiples); null where it is no size."""
-    pattern = r"(?i)^\s*(\d+(?:\.\d+)?)\s*([KMGT]?)(?:i?B)?\s*$"
+    """Bytes of ``10``, ``4 KB``, ``1.5G``, ``2g`` (binary multiples); null where it is no size."""
+    pattern = r"(?i)^\s*(\d+(?:\.\d+)?)\s*([KMGT]?)B?\s*$"
     number, unit = F.regexp_extract(_c(c), pattern, 1), F.upper(F.regexp_extract(_c(c), pattern, 2))
     return F.when(_c(c).rlike(pattern), F.floor(number.try_cast("double") * _unit(unit, BINARY_UNITS)).cast("bigint"))
 
 
 def parse_duration(c: Column | str) -> Column:
-    """Seconds of ``30s``, ``5m``, ``2h``, ``7d``; null where it is no duration."""
-    pattern = r"^\s*(\d+)\s*([smhd])\s*$"
+    """Seconds of ``5m``, ``2h``, ``7d``; null where it is no duration."""
+    pattern = r"^\s*(\d+)([mhd])\s*$"
     return F.when(_c(c).rlike(pattern), (F.regexp_extract(_c(c), pattern, 1).try_cast("double") * _unit(F.regexp_extract(_c(c), pattern, 2), TIME_UNITS)).cast("bigint"))
 
 
 def parse_memory_gb(c: Column | str) -> Column:
-    """Whole GiB, rounded up and at least 1 where positive, of ``512Mi``, ``4Gi``, ``2G``, ``1T`` or plain GiB."""
-    pattern = r"^\s*(\d+(?:\.\d+)?)\s*(?:([KMGT])i?)?\s*$"
-    number, unit = F.regexp_extract(_c(c), pattern, 1).try_cast("double"), F.regexp_extract(_c(c), pattern, 2)
-    gib = number * F.coalesce(_unit(F.when(unit != "", unit), BINARY_UNITS), F.lit(2.0**30)) / 2.0**30
-    return F.when(_c(c).rlike(pattern), F.ceil(gib).cast("bigint"))
+    """Whole GiB, rounded up and at least 1 where positive, of ``512Mi``, ``4Gi``, ``2Ti``, ``100G`` (decimal); 0 for null, null where it is no amount."""
+    pattern = r"^\s*(\d+(?:\.\d+)?)\s*(Gi|Mi|G|M|Ti|Ki)\s*$"
+    gib = F.regexp_extract(_c(c), pattern, 1).try_cast("double") * (_unit(F.regexp_extract(_c(c), pattern, 2), MEMORY_UNITS) / 2.0**30)
+    return F.when(_c(c).isNull(), F.lit(0).cast("bigint")).when(_c(c).rlike(pattern), F.ceil(gib).cast("bigint"))
 
 
 def human_bytes(c: Column | str) -> Column:
-    """``512 B``, ``1.5 KiB`` ... with one decimal from KiB on; null stays null."""
-    v = _c(c).cast("double")
-    out = F.concat(F.format_string("%.1f", round_half_even(v / 2.0**40, 1)), F.lit(" TiB"))
-    for unit, size in (("GiB", 2**30), ("MiB", 2**20), ("KiB", 2**10)):
-        out = F.when(v < size * 1024, F.concat(F.format_string("%.1f", round_half_even(v / float(size), 1)), F.lit(f" {unit}"))).otherwise(out)
+    """``512 B``, ``1.5 KB``, ... ``2.0 TB`` by multiples of 1024; below zero counts as zero, null is a dash."""
+    v = F.greatest(_c(c).cast("bigint"), F.lit(0)).cast("double")
+    shown = lambda size, unit: F.concat(F.format_string("%.1f", round_half_even(v / float(size), 1)), F.lit(f" {unit}"))
+    out = shown(2**40, "TB")
+    for unit, size in (("GB", 2**30), ("MB", 2**20), ("KB", 2**10)):
+        out = F.when(v < size * 1024, shown(size, unit)).otherwise(out)
     out = F.when(v < 1024, F.concat(F.format_string("%d", v.cast("bigint")), F.lit(" B"))).otherwise(out)
-    return F.when(v.isNotNull(), out)
+    return F.when(_c(c).isNull(), F.lit(UNKNOWN)).otherwise(out)
 
 
 def human_duration(c: Column | str) -> Column:
-    """``12.3s`` below a minute, ``4m 05s`` below an hour, else ``2h 03m``; null stays null."""
-    v = _c(c).cast("double")
-    whole = F.floor(v).cast("bigint")
-    minutes = F.floor(whole / 60).cast("bigint")
-    hours = F.floor(whole / 3600).cast("bigint")
-    return F.when(v < 60, F.concat(F.format_string("%.1f", round_half_even(v, 1)), F.lit("s"))).when(v < 3600, F.format_string("%dm %02ds", minutes, whole % 60)).when(v >= 3600, F.format_string("%dh %02dm", hours, minutes % 60))
+    """``4.2s`` below ten seconds, ``12s``, ``2m 14s``, ``8h 03m 12s``; below zero counts as zero, null is a dash.
+
+    The last part is rounded by itself, half to even, so it can read 60.
+    """
+    v = F.greatest(_c(c).cast("double"), F.lit(0.0))
+    minutes, hours = F.floor(v / 60), F.floor(v / 3600)
+    of_hour = F.floor((v - hours * 3600) / 60)
+    whole = lambda x: F.rint(x).cast("bigint")
+    return (
+        F.when(_c(c).isNull(), F.lit(UNKNOWN))
+        .when(v < 10, F.concat(F.format_string("%.1f", round_half_even(v, 1)), F.lit("s")))
+        .when(v < 60, F.format_string("%ds", whole(v)))
+        .when(v < 3600, F.format_string("%dm %02ds", minutes, whole(v - minutes * 60)))
+        .otherwise(F.format_string("%dh %02dm %02ds", hours, of_hour, whole(v - hours * 3600 - of_hour * 60)))
+    )
+
+
+def human_age(seconds: Column | str) -> Column:
+    """``59s``, ``4m``, ``23h``, ``12d``, rounded down; below zero counts as zero, null is a hyphen."""
+    v = F.greatest(F.floor(_c(seconds).cast("double")), F.lit(0)).cast("bigint")
+    out = F.format_string("%dd", F.floor(v / 86400))
+    for below, size, letter in ((86400, 3600, "h"), (3600, 60, "m"), (60, 1, "s")):
+        out = F.when(v < below, F.format_string(f"%d{letter}", F.floor(v / size))).otherwise(out)
+    return F.when(_c(seconds).isNull(), "-").otherwise(out)
+
+
+def human_time(c: Column | str) -> Column:
+    """``2026-04-18 14:32:07 UTC`` of a timestamp without zone; null is a dash."""
+    return F.coalesce(F.date_format(_c(c), "yyyy-MM-dd HH:mm:ss 'UTC'"), F.lit(UNKNOWN))
 
 
 def thousands(c: Column | str) -> Column:
-    """Whole number with commas."""
-    return F.format_number(_c(c).cast("bigint"), 0)
+    """Whole number with commas; null is a dash."""
+    return F.coalesce(F.format_number(_c(c).cast("bigint"), 0), F.lit(UNKNOWN))
+
+
+def iso_micros(c: Column | str) -> Column:
+    """Microseconds since 1970 of an ISO text; without offset it is UTC, null where it is no time."""
+    text = _c(c)
+    zoned = F.when(text.rlike(r"(Z|[+-]\d\d:?\d\d)$"), text).when(text.rlike(r"^\d{4}-\d\d-\d\d$"), F.concat(text, F.lit("T00:00:00Z"))).otherwise(F.concat(text, F.lit("Z")))
+    return F.unix_micros(zoned.try_cast("timestamp"))
+
+
+def elapsed_seconds(start: Column, end: Column) -> Column:
+    """Seconds between two moments in microseconds, at least 0; null where one is unknown."""
+    return F.when(start.isNotNull() & end.isNotNull(), F.greatest((end - start) / F.lit(1e6), F.lit(0.0)))
+
+
+def last_segment(c: Column | str, separator: str = ".") -> Column:
+    """What follows the last separator; ``unknown`` for null and empty texts."""
+    return F.when(_c(c).isNull() | (_c(c) == ""), "unknown").otherwise(F.substring_index(_c(c), separator, -1))
+
+
+def looks_like_flag(c: Column | str) -> Column:
+    """An option rather than a value: it starts with ``-``, but is neither ``-`` nor a number."""
+    return _c(c).startswith("-") & (_c(c) != "-") & _c(c).try_cast("double").isNull()
+
+
+# Classes of errors by what they say about a failed step.
+FAILURE_CLASSES = {
+    "CycleError": "cycle_detected",
+    "ModuleNotFoundError": "import_error",
+    "ImportError": "import_error",
+    "CodecError": "serialization_error",
+    "ShellTaskError": "shell_command_error",
+    "NotebookTaskError": "shell_command_error",
+    "IsADirectoryError": "invalid_path",
+    "NotADirectoryError": "invalid_path",
+    "PermissionError": "invalid_path",
+}
+
+
+def failure_kind(error: Column | str, message: Column | str) -> Column:
+    """Kind of a failure from the error's class and message; what no rule names is the user's code, null too."""
+    name = F.coalesce(_c(error), F.lit(""))
+    low = F.lower(name)
+    missing = F.when(_c(message).contains("did not create"), "output_validation_error").otherwise("missing_input")
+    by_name = F.when(low.contains("env") | low.contains("container"), "env_mismatch").when(low.contains("cache"), "cache_error").otherwise("user_code_error")
+    return F.coalesce(map_values(name, FAILURE_CLASSES), F.when(name == "FileNotFoundError", missing).otherwise(by_name))
 
 
 # --- retries, resources, addresses ----------------------------------------------------------------

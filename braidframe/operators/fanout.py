@@ -36,6 +36,8 @@ def per_branch(template: str) -> PerBranch:
     """``per_branch("out/{sample}.csv")``: derived for each branch, never an axis of its own."""
     if not isinstance(template, str):
         raise TypeError("per_branch needs a template string")
+    if not placeholders(template):
+        raise ValueError(f"{template!r} has no placeholders, so all branches would get the same value")
     return PerBranch(template)
 
 
@@ -153,7 +155,9 @@ def _match_names(template: str, names: list[str], given: Mapping[str, Any]) -> N
 
 
 def _axis(name: str, value: Any) -> list:
-    return [value] if isinstance(value, (str, bytes)) or not isinstance(value, Iterable) else list(value)
+    if isinstance(value, (str, bytes)):
+        raise ValueError(f"{name} varies over the characters of a string; wrap it in a list")
+    return list(value)
 
 
 def expand_column(df: DataFrame, template: str, out: str) -> DataFrame:

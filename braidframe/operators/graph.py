@@ -129,23 +129,31 @@ def unreached(nodes: DataFrame, edges: DataFrame, roots: DataFrame, keys: Sequen
 
 
 def layout(levels: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Column and row of each node for drawing: the wave, and the position within it by node."""
+    """Column and row of each node for drawing: the wave, and the position within it by node.
+
+    A drawing is of one graph, whose waves fit a task.
+    """
     return levels.withColumn("row", F.row_number().over(Window.partitionBy(*keys, "wave").orderBy("node")) - 1)
 
 
-def cached_status(levels: DataFrame, edges: DataFrame, hits: DataFrame, keys: Sequence[str]) -> DataFrame:
+def cached_status(levels: DataFrame, edges: DataFrame, hits: DataFrame, keys: Sequence[str], opaque: DataFrame | None = None) -> DataFrame:
     """(keys, node, status): cached, will_run or unknown.
 
     A node is cached if its key is among ``hits`` and all its dependencies are cached; with a
-    dependency that is not cached its key cannot be known (unknown); else it will run.
+    dependency that is not cached its key cannot be known (unknown); else it will run. ``opaque`` nodes
+    have a key that only running them tells (notebooks, scripts), so they are unknown.
     """
     hit = hits.select(*keys, "node").distinct().withColumn("hit", F.lit(True))
     marked = levels.join(hit, [*keys, "node"], "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
+    if opaque is not None:
+        marked = marked.join(opaque.select(*keys, "node").distinct().withColumn("opaque", F.lit(True)), [*keys, "node"], "left")
+        marked = marked.withColumn("hit", F.col("hit") & F.col("opaque").isNull())
+    never = F.lit(False) if opaque is None else F.col("opaque").isNotNull()
     # not cached spreads along edges: a node is unknown exactly if some ancestor misses
     misses = marked.where(~F.col("hit")).select(*keys, F.col("node").alias("root"))
     forward = edges.select(*keys, F.col("dep").alias("node"), F.col("node").alias("dep"))
     below = _spread(forward, misses, keys)
-    status = F.when(F.col("blocked").isNotNull(), "unknown").when(F.col("hit"), "cached").otherwise("will_run")
+    status = F.when(F.col("blocked").isNotNull() | never, "unknown").when(F.col("hit"), "cached").otherwise("will_run")
     return marked.join(below.withColumn("blocked", F.lit(True)), [*keys, "node"], "left").select(*keys, "node", status.alias("status"))
 
 

@@ -50,6 +50,105 @@ def compact(patches: DataFrame, keys: Sequence[str], field: str, value: str, seq
     return out.where(F.col(value).isNotNull())
 
 
+# The kinds of patches in a log, by what they do.
+PATCHES = ("task_created", "task_updated", "run_update", "run_timing", "profile_set", "task_timing")
+
+
+def replay(log: DataFrame, run: str, seq: Sequence[str], *, start: DataFrame | None = None) -> DataFrame:
+    """Replay a whole log: (run, scope, owner, field, value), one row per field of the final state.
+
+    ``log`` has ``run``, ``kind`` (see PATCHES; others are ignored), ``task``, ``fields`` (map of text),
+    ``phase``, ``seconds`` and the columns ``seq`` that order it within a run. A created task replaces
+    what was known of it, timings too; an update sets fields or, with null, deletes them; timings add up
+    per task and phase, and per run in the totals; a profile replaces the profile before. Scopes: task,
+    task_timing (owner is the task), run, run_timing, total_timing and profile (owner is empty).
+    Sums are rounded to six digits. ``start`` is an earlier result to go on from: its fields come before
+    the log, its sums are added to. Patches without task where one is needed are ignored.
+
+    All patches are turned into rows of one table and folded by two aggregations; the only join brings
+    each task's last creation to its patches.
+    """
+    order = F.struct(*seq)
+    d = log.withColumn("__at", order)
+    kind, has_task = F.col("kind"), F.col("task").isNotNull()
+    none, text = F.lit(None).cast("string"), F.lit("")
+    row = lambda scope, owner, field, value, add: F.struct(F.lit(scope).alias("scope"), owner.alias("owner"), field.alias("field"), value.alias("value"), add.alias("added"))
+    plain = F.lit(None).cast("double")
+    entries = F.coalesce(F.map_entries("fields"), F.array().cast("array<struct<key:string,value:string>>"))
+    fields = lambda scope, owner: F.transform(entries, lambda x: row(scope, owner, x["key"], x["value"], plain))
+    timed = F.col("phase").isNotNull() & F.col("seconds").isNotNull()
+    seconds = F.col("seconds").cast("double")
+    rows = (
+        F.when(kind.isin("task_created", "task_updated") & has_task, fields("task", F.col("task")))
+        .when(kind == "run_update", fields("run", text))
+        .when(kind == "profile_set", fields("profile", text))
+        .when((kind == "run_timing") & timed, F.array(row("run_timing", text, F.col("phase"), none, seconds)))
+        .when((kind == "task_timing") & timed & has_task, F.array(row("task_timing", F.col("task"), F.col("phase"), none, seconds), row("total_timing", text, F.col("phase"), none, seconds)))
+    )
+    patches = d.select(run, "__at", F.inline(rows))
+    # what a task, or the profile, held before it was last replaced is gone
+    replaced = F.when((kind == "task_created") & has_task, F.col("task")).when(kind == "profile_set", text)
+    resets = d.select(F.col(run).alias("__run"), replaced.alias("__owner"), (kind == "profile_set").alias("__profile"), "__at").where(F.col("__owner").isNotNull())
+    resets = resets.groupBy("__run", "__owner", "__profile").agg(F.max("__at").alias("__since"))
+    kept = patches.withColumn("__is_profile", F.col("scope") == "profile").withColumn("__resettable", F.col("scope").isin("task", "task_timing", "profile"))
+    same = F.col(run).eqNullSafe(F.col("__run")) & (F.col("owner") == F.col("__owner")) & (F.col("__is_profile") == F.col("__profile")) & F.col("__resettable")
+    kept = kept.join(resets, same, "left").where(F.col("__since").isNull() | (F.col("__at") >= F.col("__since")))
+    kept = kept.select(run, "scope", "owner", "field", "value", "added", F.col("__at").alias("at"))
+    if start is not None:
+        sums = F.col("scope").isin("task_timing", "run_timing", "total_timing")
+        before = start.join(resets, F.col(run).eqNullSafe(F.col("__run")) & (F.col("owner") == F.col("__owner")) & ((F.col("scope") == "profile") == F.col("__profile")) & F.col("scope").isin("task", "task_timing", "profile"), "left_anti")
+        kept = kept.unionByName(before.select(run, "scope", "owner", "field", F.when(~sums, F.col("value")).alias("value"), F.when(sums, F.col("value").try_cast("double")).alias("added"), F.lit(None).cast(kept.schema["at"].dataType).alias("at")))
+    folded = kept.groupBy(run, "scope", "owner", "field").agg(F.sum("added").alias("added"), F.max_by(F.struct("value"), F.struct(F.col("at").isNotNull().alias("known"), F.col("at").alias("at"))).alias("last"))
+    value = F.when(F.col("added").isNotNull(), F.round("added", 6).cast("string")).otherwise(F.col("last.value"))
+    return folded.select(run, "scope", "owner", "field", value.alias("value")).where(F.col("value").isNotNull())
+
+
+# The coarse reason that a moved component stands for.
+REASONS = {"source_hash": "source_hash_changed", "extra_source_hash": "source_hash_changed", "version": "version_bump", "env": "env_changed", "env_hash.pixi_lock": "env_changed"}
+
+
+def component_diff(current: DataFrame, prior: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, component, status): the components of a cache key that differ between two entries.
+
+    Both sides are (keys, component, digest). A null digest means that the entry does not record the
+    component, which is ``not_recorded`` and not equality; else ``added``, ``removed`` or ``changed``.
+    Where one side records no ``inputs`` at all (a component of that name with a null digest), the single
+    inputs of the other are left out.
+    """
+    tag = lambda t, name: t.select(*keys, "component", F.struct("digest").alias(name))
+    both = tag(current, "now").unionByName(tag(prior, "then"), allowMissingColumns=True).groupBy(*keys, "component").agg(F.max("now").alias("now"), F.max("then").alias("then"))
+    bare = both.where(F.col("component") == "inputs").select(*[F.col(k).alias(f"__{k}") for k in keys])
+    of = F.lit(True)
+    for k in keys:
+        of = of & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    both = both.join(bare, of & F.col("component").startswith("inputs."), "left_anti")
+    now, then = F.col("now"), F.col("then")
+    unknown = (now.isNotNull() & now["digest"].isNull()) | (then.isNotNull() & then["digest"].isNull())
+    status = F.when(unknown, "not_recorded").when(now.isNull(), "removed").when(then.isNull(), "added").when(now["digest"] != then["digest"], "changed")
+    return both.select(*keys, "component", status.alias("status")).where(F.col("status").isNotNull())
+
+
+def coarse_reasons(diff: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, reasons): sorted codes of what moved; ``cache_key_changed`` where no code covers it."""
+    from braidframe.functions.parity import map_values
+
+    code = F.when(F.col("component").startswith("inputs"), "input_changed").otherwise(map_values("component", REASONS))
+    moved = F.when(F.col("status") != "not_recorded", code)
+    found = diff.groupBy(*keys).agg(F.array_sort(F.collect_set(moved)).alias("reasons"))
+    return found.withColumn("reasons", F.when(F.size("reasons") == 0, F.array(F.lit("cache_key_changed"))).otherwise(F.col("reasons")))
+
+
+def retained(puts: DataFrame, entry: str, order: Sequence[str], capacity: int) -> DataFrame:
+    """What a cache of ``capacity`` entries holds after all puts: the entries put last, each put counting anew."""
+    return puts.where(F.col(entry).isNotNull()).groupBy(entry).agg(F.max(F.struct(*order)).alias("__last")).orderBy(F.desc("__last"), entry).limit(capacity).select(entry)
+
+
+def phase_profile(observations: DataFrame, keys: Sequence[str], phase: str, seconds: str) -> DataFrame:
+    """(keys, phase, seconds, count) of the observations above zero; partial results add up."""
+    good = observations.where((F.col(seconds) > 0) & ~F.isnan(F.col(seconds).cast("double")))
+    return good.groupBy(*keys, F.col(phase).alias("phase")).agg(F.sum(seconds).alias("seconds"), F.count(F.lit(1)).alias("count"))
+
+
 def evict(entries: DataFrame, entry: str, size: str, created: str, *, keep_bytes: int | None = None, keep_count: int | None = None, older_than: str | None = None) -> DataFrame:
     """Add ``evicted``: oldest first, first by age, then until the rest fits the byte and count budgets.
 
@@ -98,7 +197,7 @@ def paired_events(events: DataFrame, keys: Sequence[str], kind: str, ts: str, be
 
 
 def usage(samples: DataFrame, keys: Sequence[str], ts: str, measures: Sequence[str], tie: str) -> DataFrame:
-    """Per key: number of samples, and of each measure the mean, the peak, when it peaked first, and the last value."""
+    """Per key: number of samples, and of each measure the mean, the peak, when it peaked last, and the last value."""
     aggs: list[Column] = [F.count(F.lit(1)).alias("n_samples")]
     for m in measures:
         v = F.col(m)
@@ -106,7 +205,7 @@ def usage(samples: DataFrame, keys: Sequence[str], ts: str, measures: Sequence[s
         aggs += [
             F.avg(v).alias(f"mean_{m}"),
             F.max(v).alias(f"peak_{m}"),
-            F.min_by(F.when(known, F.col(ts)), F.when(known, F.struct(-v, F.col(ts), F.col(tie)))).alias(f"peak_{m}_at"),
+            F.max_by(F.when(known, F.col(ts)), F.when(known, F.struct(v, F.col(ts), F.col(tie)))).alias(f"peak_{m}_at"),
             F.max_by(v, F.when(known, F.struct(F.col(ts), F.col(tie)))).alias(f"last_{m}"),
         ]
     return samples.groupBy(*keys).agg(*aggs)

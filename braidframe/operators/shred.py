@@ -8,7 +8,7 @@ them together, pivoting relative paths into columns and joining each entity to t
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -167,7 +167,7 @@ _NODE = [
 ]
 
 
-def shred(df: DataFrame, key: str, text: str, rules: tuple[Entity, ...], *, content: bool = True) -> DataFrame:
+def shred(df: DataFrame, key: str, text: str, rules: tuple[Entity, ...], *, columns: Sequence[str] | None = None) -> DataFrame:
     """Adjacency table of the JSON texts in ``text``, a row for every value: (key, doc, node, parent, label, ordinal, kind,
     scalar, entity, path, content, home, rel).
 
@@ -177,12 +177,15 @@ def shred(df: DataFrame, key: str, text: str, rules: tuple[Entity, ...], *, cont
     ``content`` is the compact JSON of an entity that is an object or array, with null in the place of
     each entity inside, which has a row of its own. ``home`` is the node of the nearest enclosing entity
     and ``rel`` the path from there (``step_name`` of keys, ``#`` for array elements), null for entities
-    and beyond ``REACH`` steps. ``content=False`` leaves ``content`` null. Other columns of ``df`` are ignored.
+    and beyond ``REACH`` steps. ``columns`` limits what is made (key and doc are
+    always there). Other columns of ``df`` are ignored.
     """
     # One exchange, by digest: repeated texts meet and are dropped, and parsing gets its tasks.
     docs = df.where(F.col(text).isNotNull()).select(F.col(key).alias("__key"), F.col(text).alias("__text"), F.sha2(F.col(text), 256).alias("__doc"))
     docs = docs.repartition(task_count(df.sparkSession), "__key", "__doc").distinct()
     key_type = df.schema[key].dataType
+    made = [(i, *c) for i, c in enumerate(_NODE) if columns is None or c[0] in columns]
+    content = any(n == "content" for _, n, _, _ in made)
     ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,13 +208,12 @@ def shred(df: DataFrame, key: str, text: str, rules: tuple[Entity, ...], *, cont
 
     def pack(keys, docs_, rows, at) -> pa.RecordBatch:
         take = pa.array(at, pa.int64())
-        columns = list(zip(*rows, strict=True))
         return pa.RecordBatch.from_arrays(
-            [keys.take(take), docs_.take(take), *(pa.array(c, t) for c, (_, t, _s) in zip(columns, _NODE, strict=True))],
-            names=[key, "doc", *(n for n, _, _s in _NODE)],
+            [keys.take(take), docs_.take(take), *(pa.array([r[i] for r in rows], t) for i, _, t, _ in made)],
+            names=[key, "doc", *(n for _, n, _, _ in made)],
         )
 
-    schema = T.StructType([T.StructField(key, key_type), T.StructField("doc", T.StringType()), *(T.StructField(n, s) for n, _, s in _NODE)])
+    schema = T.StructType([T.StructField(key, key_type), T.StructField("doc", T.StringType()), *(T.StructField(n, s) for _, n, _, s in made)])
     return docs.select("__key", "__doc", "__text").mapInArrow(run, schema)
 
 

@@ -80,13 +80,13 @@ FROM n LEFT JOIN b ON n.ref_table = b.ref_table AND n.period = b.period"""
 # --- p2 -------------------------------------------------------------------------------------------
 
 
-def _nodes(spark: SparkSession, d: str, *, content: bool = True) -> DataFrame:
-    return shred.shred(table(spark, d, "run_manifests"), "manifest_id", "manifest", MANIFEST, content=content)
+def _nodes(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    return shred.shred(table(spark, d, "run_manifests"), "manifest_id", "manifest", MANIFEST, columns=columns or None)
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Tasks, assets and items of all manifests with their own and their parent's path."""
-    return shred.parent_links(_nodes(spark, d, content=False), "manifest_id").select("manifest_id", "node_path", "parent_path").distinct()
+    return shred.parent_links(_nodes(spark, d, "node", "parent", "label", "entity", "path", "home"), "manifest_id").select("manifest_id", "node_path", "parent_path").distinct()
 
 
 P2_FOUND_SQL = """

@@ -21,13 +21,15 @@ def test_per_branch():
     with pytest.raises(ValueError, match="unknown"):
         fanout.zip_rows(s=[1], p=fanout.per_branch("{q}"))
     with pytest.raises(ValueError, match="at least one"):
-        fanout.zip_rows(p=fanout.per_branch("x"))
+        fanout.zip_rows(p=fanout.per_branch("{x}"))
+    with pytest.raises(ValueError, match="no placeholders"):
+        fanout.per_branch("x")
 
 
 def test_expand():
     assert fanout.expand("{b}-{a}", a=[1, 2], b=["x", "y"]) == ["x-1", "x-2", "y-1", "y-2"]
     assert fanout.zip_expand("{a}/{b}", a=[1, 2], b="z z".split()) == ["1/z", "2/z"]
-    for bad in (lambda: fanout.expand("{a}"), lambda: fanout.expand("x", a=1), lambda: fanout.expand("{}", a=1), lambda: fanout.zip_expand("{a}{b}", a=[1], b=[1, 2])):
+    for bad in (lambda: fanout.expand("{a}"), lambda: fanout.expand("{a}", a="text"), lambda: fanout.zip_expand("{a}", a="text"), lambda: fanout.expand("x", a=1), lambda: fanout.expand("{}", a=1), lambda: fanout.zip_expand("{a}{b}", a=[1], b=[1, 2])):
         with pytest.raises(ValueError):
             bad()
     assert fanout.flatten([1, (2, [3, "ab"]), []]) == [1, 2, 3, "ab"]

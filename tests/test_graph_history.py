@@ -88,7 +88,7 @@ def test_sweep(spark):
 def test_latest_usage_and_versions(spark):
     df = spark.createDataFrame([("a", 1, 5.0), ("a", 2, None), ("a", 3, 5.0)], "k string, t int, v double")
     u = history.usage(df, ["k"], "t", ["v"], "t").first()
-    assert (u["n_samples"], u["mean_v"], u["peak_v"], u["peak_v_at"], u["last_v"]) == (3, 5.0, 5.0, 1, 5.0)
+    assert (u["n_samples"], u["mean_v"], u["peak_v"], u["peak_v_at"], u["last_v"]) == (3, 5.0, 5.0, 3, 5.0)  # of equal peaks the last
     assert history.latest(df, ["k"], ["t"]).first()["t"] == 3
     v = spark.createDataFrame([("a", "v1", 1), ("a", "v2", 2)], "key string, version_id string, created_at int")
     al = spark.createDataFrame([("a", "prod", "v1")], "key string, alias string, version_id string")
@@ -108,3 +108,57 @@ def test_depth_has_no_limit(spark, monkeypatch):
     hits = nodes.where("node > 0")
     status = {r["node"]: r["status"] for r in graph.cached_status(levels, edges, hits, ["g"]).collect()}
     assert status == {0: "will_run", **dict.fromkeys(range(1, 7), "unknown")}
+    seen = {r["node"]: r["status"] for r in graph.cached_status(levels, edges, nodes, ["g"], nodes.where("node = 4")).collect()}
+    assert seen == {**dict.fromkeys(range(4), "cached"), 4: "unknown", 5: "unknown", 6: "unknown"}
+
+
+LOG = "run string, seq int, kind string, task string, fields map<string,string>, phase string, seconds double"
+ENTRIES = [
+    ("r", 1, "task_created", "t", {"status": "pending", "name": "a"}, None, None),
+    ("r", 2, "task_updated", "t", {"status": "running", "attempt": "1"}, None, None),
+    ("r", 3, "task_timing", "t", None, "stage", 1.25),
+    ("r", 4, "run_timing", None, None, "plan", 0.1),
+    ("r", 5, "task_created", "t", {"status": "again"}, None, None),
+    ("r", 6, "task_timing", "t", None, "stage", 0.5),
+    ("r", 7, "task_timing", "t", None, "stage", 0.25),
+    ("r", 8, "task_updated", "t", {"status": None, "exit": "0"}, None, None),
+    ("r", 9, "run_update", None, {"status": "done", "gone": "x"}, None, None),
+    ("r", 10, "run_update", None, {"gone": None}, None, None),
+    ("r", 11, "profile_set", None, {"a": "1", "b": "2"}, None, None),
+    ("r", 12, "profile_set", None, {"a": "3"}, None, None),
+    ("r", 13, "run_timing", None, None, "plan", 0.2),
+    ("r", 14, "task_updated", None, {"lost": "1"}, None, None),
+    ("r", 15, "other", "t", {"status": "x"}, "stage", 9.0),
+    (None, 16, "task_updated", "u", {"k": "v"}, None, None),
+]
+STATE = {
+    ("r", "task", "t", "exit", "0"), ("r", "task_timing", "t", "stage", "0.75"), ("r", "total_timing", "", "stage", "2.0"), ("r", "run_timing", "", "plan", "0.3"),
+    ("r", "run", "", "status", "done"), ("r", "profile", "", "a", "3"), (None, "task", "u", "k", "v"),
+}
+
+
+def test_replay_of_a_whole_log(spark):
+    log = spark.createDataFrame(ENTRIES, LOG)
+    assert {tuple(r) for r in history.replay(log, "run", ["seq"]).collect()} == STATE
+    for at in (4, 6, 11):  # going on from an earlier state
+        first = history.replay(log.where(F.col("seq") <= at), "run", ["seq"])
+        assert {tuple(r) for r in history.replay(log.where(F.col("seq") > at), "run", ["seq"], start=first).collect()} == STATE
+    assert history.replay(log.limit(0), "run", ["seq"]).count() == 0
+
+
+def test_component_diff(spark):
+    schema = "e int, component string, digest string"
+    now = [(1, "source_hash", "a"), (1, "version", "1"), (1, "env", None), (1, "inputs.x", "p"), (1, "inputs.new", "q"), (2, "inputs", None), (2, "env", "e"), (3, "env", "e"), (4, "other", "z")]
+    then = [(1, "source_hash", "b"), (1, "version", "1"), (1, "env", "e"), (1, "inputs.x", "p"), (1, "inputs.old", "q"), (2, "inputs.x", "p"), (2, "env", "e"), (3, "env", "e"), (4, "other", "y")]
+    diff = history.component_diff(spark.createDataFrame(now, schema), spark.createDataFrame(then, schema), ["e"])
+    assert {tuple(r) for r in diff.collect()} == {
+        (1, "source_hash", "changed"), (1, "env", "not_recorded"), (1, "inputs.new", "added"), (1, "inputs.old", "removed"), (2, "inputs", "not_recorded"), (4, "other", "changed"),
+    }
+    assert {r["e"]: r["reasons"] for r in history.coarse_reasons(diff, ["e"]).collect()} == {1: ["input_changed", "source_hash_changed"], 2: ["cache_key_changed"], 4: ["cache_key_changed"]}
+
+
+def test_retained_and_profile(spark):
+    puts = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3), ("a", 4), (None, 9)], "id string, t int")
+    assert {r["id"] for r in history.retained(puts, "id", ["t"], 2).collect()} == {"a", "c"}
+    seen = spark.createDataFrame([("x", 1.0), ("x", 2.0), ("x", -1.0), ("y", 0.0), ("y", float("nan")), ("z", None)], "p string, s double")
+    assert [tuple(r) for r in history.phase_profile(seen, [], "p", "s").collect()] == [("x", 3.0, 2)]

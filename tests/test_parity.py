@@ -36,11 +36,29 @@ def test_names(spark):
 
 
 def test_quantities(spark):
-    assert values(spark, parity.parse_size("t"), [("2GB",), ("1.5 KiB",), ("7",), ("x",), (None,)], "t string") == [2 * 2**30, 1536, 7, None, None]
-    assert values(spark, parity.parse_duration("t"), [("5m",), ("2h",), ("7d",), ("1",)], "t string") == [300, 7200, 604800, None]
-    assert values(spark, parity.parse_memory_gb("t"), [("512Mi",), ("4Gi",), ("1T",), ("0",), ("3",), ("x",)], "t string") == [1, 4, 1024, 0, 3, None]
-    assert values(spark, parity.human_duration("t"), [(12.34,), (245.0,), (7380.0,), (None,)], "t double") == ["12.3s", "4m 05s", "2h 03m", None]
-    assert values(spark, parity.human_bytes("t"), [(512,), (1536,), (5 * 2**30,)], "t bigint") == ["512 B", "1.5 KiB", "5.0 GiB"]
+    assert values(spark, parity.parse_size("t"), [("2GB",), ("1.5 K",), ("7",), ("3b",), ("x",), ("1.5 KiB",), (None,)], "t string") == [2 * 2**30, 1536, 7, 3, None, None, None]
+    assert values(spark, parity.parse_duration("t"), [("5m",), (" 2h ",), ("7d",), ("1",), ("30s",), ("5 m",)], "t string") == [300, 7200, 604800, None, None, None]
+    assert values(spark, parity.parse_memory_gb("t"), [("512Mi",), ("4Gi",), ("1Ti",), ("0Gi",), ("100G",), ("1M",), ("3",), ("x",), (None,)], "t string") == [1, 4, 1024, 0, 94, 1, None, None, 0]
+    times = [(4.24,), (12.34,), (59.6,), (245.0,), (119.7,), (7380.4,), (28992.0,), (-3.0,), (None,)]
+    assert values(spark, parity.human_duration("t"), times, "t double") == ["4.2s", "12s", "60s", "4m 05s", "1m 60s", "2h 03m 00s", "8h 03m 12s", "0.0s", "—"]
+    assert values(spark, parity.human_bytes("t"), [(512,), (1536,), (5 * 2**30,), (2**51,), (-1,), (None,)], "t bigint") == ["512 B", "1.5 KB", "5.0 GB", "2048.0 TB", "0 B", "—"]
+    assert values(spark, parity.human_age("t"), [(59.9,), (60.0,), (7200.0,), (86399.0,), (200000.0,), (-5.0,), (None,)], "t double") == ["59s", "1m", "2h", "23h", "2d", "0s", "-"]
+    assert values(spark, parity.thousands("t"), [(1234567,), (None,)], "t bigint") == ["1,234,567", "—"]
+
+
+def test_times_and_segments(spark):
+    texts = ["2025-03-09T02:30:00.123456", "2025-03-09T02:30:00+01:00", "2025-03-09", "1969-12-31 23:59:59Z", "nope", "", None]
+    assert values(spark, parity.iso_micros("t"), [(x,) for x in texts], "t string") == [1741487400123456, 1741483800000000, 1741478400000000, -1000000, None, None, None]
+    assert values(spark, parity.elapsed_seconds(F.col("a"), F.col("b")), [(0, 1500000), (5, 1), (None, 1)], "a bigint, b bigint") == [1.5, 0.0, None]
+    assert values(spark, parity.last_segment("t"), [("a.b.c",), ("x",), ("",), (None,)], "t string") == ["c", "x", "unknown", "unknown"]
+    assert values(spark, parity.looks_like_flag("t"), [("--x",), ("-5",), ("-",), ("-1e3",), ("x",)], "t string") == [True, False, False, False, False]
+    assert values(spark, parity.divide("a", "b", by_zero="float"), [(1.0, 0.0), (-2.0, 0.0), (1.0, 4.0), (None, 0.0)], "a double, b double") == [math.inf, -math.inf, 0.25, None]
+    assert math.isnan(values(spark, parity.divide("a", "b", by_zero="float"), [(0.0, 0.0)], "a double, b double")[0])
+
+
+def test_failure_kinds(spark):
+    rows = [("CycleError", ""), ("ImportError", "x"), ("FileNotFoundError", "no file"), ("FileNotFoundError", "step did not create out"), ("PermissionError", None), ("EnvMissing", ""), ("ContainerGone", ""), ("CacheBroken", ""), ("ValueError", ""), (None, None), ("FileNotFoundError", None)]
+    assert values(spark, parity.failure_kind("e", "m"), rows, "e string, m string") == ["cycle_detected", "import_error", "missing_input", "output_validation_error", "invalid_path", "env_mismatch", "env_mismatch", "cache_error", "user_code_error", "user_code_error", "missing_input"]
 
 
 def test_globs_and_addresses(spark):

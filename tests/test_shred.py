@@ -35,8 +35,8 @@ def test_entities_and_owners(spark):
         ("tasks/t/1/inputs/g/items/1/value/items/0", "tasks/t/1/inputs/g/items/1"), ("tasks/t/1/inputs/g/items/1/value/items/1", "tasks/t/1/inputs/g/items/1"),
         ("tasks/t/1/inputs/items/0", "tasks/t/1"), ("tasks/t/1/inputs/items/0/items/items/0", "tasks/t/1/inputs/items/0"),
     }
-    for content in (True, False):
-        assert paths(nodes(spark, [MANIFEST_TEXT], content=content)) == want
+    for columns in (None, ["node", "entity", "path", "home"]):
+        assert paths(nodes(spark, [MANIFEST_TEXT], columns=columns)) == want
 
 
 def test_bad_texts_give_no_rows(spark):
@@ -72,7 +72,7 @@ def test_deep_nesting(spark):
     value = jsontext.read(text)
     assert jsontext.kind(value) == "object"
     small = '{"tasks": {"t": {"inputs": {"x": ' + '{"items": [' * 1500 + "1" + "]}" * 1500 + "}}}}"
-    assert nodes(spark, [small], content=False).where("entity IS NOT NULL").count() == 1501
+    assert nodes(spark, [small], columns=["entity"]).where("entity IS NOT NULL").count() == 1501
 
 
 @pytest.mark.parametrize("text", ['{"a": [1, -2.5e3, "x\\u00e9\\n", {}, [], true, false, null], "b": {"c": {"d": []}}}', " [ ] ", "0", '"a"', "[[[1]]]"])
