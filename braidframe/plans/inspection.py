@@ -113,13 +113,33 @@ def positional_access(spark: SparkSession, d: str) -> DataFrame:
     return tabular.top_n_per_group(e, ["user_id"], [F.col("ts"), F.col("event_id")], 2).where("rank = 2").select("user_id", "event_id", "value")
 
 
-@query("""SELECT DISTINCT name, 'file:///' || name || '/' || version_id AS uri, version_id AS bare FROM asset_versions WHERE name IS NOT NULL""")
+_URI = "CASE ref_id % 4 WHEN 0 THEN 's3://' || namespace || '/' || artifact_path WHEN 1 THEN 'gs://' || namespace WHEN 2 THEN 'oci://' || namespace || '@' || kind || '/' || name ELSE artifact_path END"
+
+
+@query(f"""WITH u AS (SELECT DISTINCT ref_id, {_URI} AS uri FROM asset_refs), p AS (SELECT *, regexp_matches(uri, '^(s3|gs|oci)://[^/@]+') AS ok FROM u)
+SELECT ref_id, uri, CASE WHEN ok THEN split_part(uri, '://', 1) END AS scheme, CASE WHEN ok THEN regexp_extract(uri, '^[a-z0-9]+://([^/@]+)', 1) END AS bucket, CASE WHEN ok THEN nullif(regexp_extract(uri, '^[a-z0-9]+://[^/@]+@([^/]+)', 1), '') END AS space, CASE WHEN ok THEN regexp_extract(uri, '^[a-z0-9]+://[^/]+/(.*)$', 1) END AS path FROM p""")
 def uri_parts(spark: SparkSession, d: str) -> DataFrame:
-    """Object-store addresses built and taken apart again."""
-    v = table(spark, d, "asset_versions").where("name IS NOT NULL").select("name", "version_id").distinct()
-    parsed = parity.parse_uri(F.concat(F.lit("s3://"), F.col("name"), F.lit("/"), F.col("version_id")))
-    u = v.withColumn("u", parsed)
-    return u.select("name", F.concat(F.lit("file:///"), F.col("u.bucket"), F.lit("/"), F.col("u.key")).alias("uri"), F.col("u.key").alias("bare"))
+    """Object-store addresses of three kinds, and paths that are none, taken apart."""
+    rest = F.col("ref_id") % 4
+    cat = lambda *parts: F.concat(*[F.lit(p) if i % 2 == 0 else F.col(p) for i, p in enumerate(parts)])
+    uri = F.when(rest == 0, cat("s3://", "namespace", "/", "artifact_path")).when(rest == 1, cat("gs://", "namespace")).when(rest == 2, cat("oci://", "namespace", "@", "kind", "/", "name")).otherwise(F.col("artifact_path"))
+    u = table(spark, d, "asset_refs").select("ref_id", uri.alias("uri")).distinct().withColumn("u", parity.parse_uri("uri"))
+    return u.select("ref_id", "uri", "u.scheme", "u.bucket", F.col("u.namespace").alias("space"), F.col("u.key").alias("path"))
+
+
+_ERRORS = ("CycleError", "ImportError", "CodecError", "ShellTaskError", "PermissionError", "FileNotFoundError", "EnvPrepareError", "CacheReadError", "ValueError")
+_ERROR_OF = "CASE abs(coalesce(exit_code, 0)) % 9 " + " ".join(f"WHEN {i} THEN '{e}'" for i, e in enumerate(_ERRORS)) + " END"
+
+
+@query(f"""SELECT DISTINCT task_run_id, CASE WHEN e = 'CycleError' THEN 'cycle_detected' WHEN e = 'ImportError' THEN 'import_error' WHEN e = 'CodecError' THEN 'serialization_error' WHEN e = 'ShellTaskError' THEN 'shell_command_error' WHEN e = 'PermissionError' THEN 'invalid_path'
+WHEN e = 'FileNotFoundError' THEN CASE WHEN m LIKE '%did not create%' THEN 'output_validation_error' ELSE 'missing_input' END WHEN e LIKE '%Env%' THEN 'env_mismatch' WHEN e LIKE '%Cache%' THEN 'cache_error' ELSE 'user_code_error' END AS kind
+FROM (SELECT task_run_id, {_ERROR_OF} AS e, CASE WHEN attempt > 0 THEN name || ' did not create its output' ELSE name END AS m FROM task_runs)""")
+def failure_classify(spark: SparkSession, d: str) -> DataFrame:
+    """Kinds of failures from class and message by ordered rules."""
+    number = F.abs(F.coalesce("exit_code", F.lit(0))) % 9
+    error = F.get(F.array(*[F.lit(e) for e in _ERRORS]), number)
+    message = F.when(F.col("attempt") > 0, F.concat("name", F.lit(" did not create its output"))).otherwise(F.col("name"))
+    return table(spark, d, "task_runs").select("task_run_id", parity.failure_kind(error, message).alias("kind")).distinct()
 
 
 @query("""SELECT DISTINCT task_run_id, CASE WHEN exit_code IS NULL THEN 'none' WHEN exit_code = 0 THEN 'ok' WHEN exit_code IN (137, 143) THEN 'killed' WHEN exit_code BETWEEN 126 AND 127 THEN 'not runnable' ELSE 'error' END AS kind FROM task_runs""")

@@ -57,14 +57,18 @@ def namespace_counts_desc(spark: SparkSession, d: str) -> DataFrame:
     return sinks.lines_document(counts, line, [-F.col("n"), F.col("namespace")], "line").select(F.replace("line", F.lit("\n"), F.lit(" · ")).alias("line"))
 
 
-@query("""WITH s AS (SELECT DISTINCT * FROM resource_samples WHERE run_id IS NOT NULL)
-SELECT run_id, count(*) AS n_samples, round_even(avg(cpu_percent), 9) AS mean_cpu, max(cpu_percent) AS peak_cpu, arg_min(CASE WHEN cpu_percent IS NOT NULL THEN sampled_at END, CASE WHEN cpu_percent IS NOT NULL THEN {'a': -cpu_percent, 'b': sampled_at, 'c': sample_id} END) AS peak_cpu_at, max(rss_bytes) AS peak_rss,
-arg_max(rss_bytes, CASE WHEN rss_bytes IS NOT NULL THEN {'a': sampled_at, 'b': sample_id} END) AS last_rss FROM s GROUP BY 1""")
+_PEAK = "CASE WHEN {m} IS NOT NULL THEN {{'a': {m}, 'b': sampled_at, 'c': sample_id}} END"
+
+
+@query(f"""WITH s AS (SELECT DISTINCT * FROM resource_samples WHERE run_id IS NOT NULL)
+SELECT run_id, count(*) AS n_samples, round_even(avg(cpu_percent), 9) AS mean_cpu, max(cpu_percent) AS peak_cpu, arg_max(sampled_at, {_PEAK.format(m="cpu_percent")}) AS peak_cpu_at, max(rss_bytes) AS peak_rss,
+arg_max(rss_bytes, CASE WHEN rss_bytes IS NOT NULL THEN {{'a': sampled_at, 'b': sample_id}} END) AS last_rss, max(process_count) AS peak_processes, arg_max(sampled_at, {_PEAK.format(m="process_count")}) AS peak_processes_at FROM s GROUP BY 1""")
 def sampler_peak_average(spark: SparkSession, d: str) -> DataFrame:
-    """Mean, peak, time of the peak and last value of sampled measures."""
+    """Mean, peak, last time of the peak and last value of sampled measures."""
     s = table(spark, d, "resource_samples").where("run_id IS NOT NULL").distinct()
-    u = history.usage(s, ["run_id"], "sampled_at", ["cpu_percent", "rss_bytes"], "sample_id")
-    return u.select("run_id", "n_samples", parity.round_half_even("mean_cpu_percent", 9).alias("mean_cpu"), F.col("peak_cpu_percent").alias("peak_cpu"), F.col("peak_cpu_percent_at").alias("peak_cpu_at"), F.col("peak_rss_bytes").alias("peak_rss"), F.col("last_rss_bytes").alias("last_rss"))
+    u = history.usage(s, ["run_id"], "sampled_at", ["cpu_percent", "rss_bytes", "process_count"], "sample_id")
+    shown = {"peak_cpu": "peak_cpu_percent", "peak_cpu_at": "peak_cpu_percent_at", "peak_rss": "peak_rss_bytes", "last_rss": "last_rss_bytes", "peak_processes": "peak_process_count", "peak_processes_at": "peak_process_count_at"}
+    return u.select("run_id", "n_samples", parity.round_half_even("mean_cpu_percent", 9).alias("mean_cpu"), *[F.col(c).alias(n) for n, c in shown.items()])
 
 
 @query(f"SELECT run_id, workflow, max(attempt) AS attempts, round_even(coalesce(sum(CASE WHEN isnan(duration_s) OR duration_s < 0 THEN 0 ELSE duration_s END), 0), 2) AS seconds FROM {_RUNS} GROUP BY ALL")
@@ -214,16 +218,117 @@ def dead_nodes(spark: SparkSession, d: str) -> DataFrame:
     return graph.unreached(nodes, edges, roots, ["run_id"], "node_id")
 
 
-@query(f"""WITH RECURSIVE {_EDGES}, hit AS (SELECT DISTINCT run_id, node_id AS node FROM task_runs WHERE cached AND node_id IS NOT NULL), miss AS (SELECT * FROM n EXCEPT SELECT * FROM hit),
+@query(f"""WITH RECURSIVE {_EDGES}, opaque AS (SELECT DISTINCT run_id, node_id AS node FROM task_runs WHERE node_id IS NOT NULL AND task_type IN ('notebook', 'script')),
+hit AS (SELECT DISTINCT run_id, node_id AS node FROM task_runs WHERE cached AND node_id IS NOT NULL EXCEPT SELECT * FROM opaque), miss AS (SELECT * FROM n EXCEPT SELECT * FROM hit),
 b AS (SELECT e.run_id, e.node FROM miss JOIN e ON e.run_id = miss.run_id AND e.dep = miss.node UNION SELECT e.run_id, e.node FROM b JOIN e ON e.run_id = b.run_id AND e.dep = b.node)
-SELECT n.run_id, n.node, CASE WHEN b.node IS NOT NULL THEN 'unknown' WHEN hit.node IS NOT NULL THEN 'cached' ELSE 'will_run' END AS status
-FROM n LEFT JOIN b ON n.run_id = b.run_id AND n.node = b.node LEFT JOIN hit ON n.run_id = hit.run_id AND n.node = hit.node""")
+SELECT n.run_id, n.node, CASE WHEN b.node IS NOT NULL OR o.node IS NOT NULL THEN 'unknown' WHEN hit.node IS NOT NULL THEN 'cached' ELSE 'will_run' END AS status
+FROM n LEFT JOIN b ON n.run_id = b.run_id AND n.node = b.node LEFT JOIN hit ON n.run_id = hit.run_id AND n.node = hit.node LEFT JOIN opaque o ON o.run_id = n.run_id AND o.node = n.node""")
 def cached_cascade(spark: SparkSession, d: str) -> DataFrame:
-    """What a repeated run would find cached, given that a miss makes all that follows unknown."""
+    """What a repeated run would find cached, given that a miss, a notebook or a script makes all that follows unknown."""
     runs, edges = _graph(spark, d)
     hits = runs.where("cached AND node_id IS NOT NULL").select("run_id", F.col("node_id").alias("node"))
+    opaque = runs.where("node_id IS NOT NULL AND task_type IN ('notebook', 'script')").select("run_id", F.col("node_id").alias("node"))
     nodes = runs.where("node_id IS NOT NULL").select("run_id", F.col("node_id").alias("node")).distinct()
-    return graph.cached_status(nodes, edges, hits, ["run_id"])
+    return graph.cached_status(nodes, edges, hits, ["run_id"], opaque)
+
+
+@query(f"SELECT run_id, node, wave, CAST(row_number() OVER (PARTITION BY run_id, wave ORDER BY node) - 1 AS INT) AS \"row\" FROM ({_WAVES} SELECT run_id, node, max(wave)::INT AS wave FROM w GROUP BY ALL)")
+def graph_layout(spark: SparkSession, d: str) -> DataFrame:
+    """Columns and rows of every run's graph for drawing."""
+    runs, edges = _graph(spark, d)
+    return graph.layout(graph.waves(runs, edges, ["run_id"], "node_id"), ["run_id"])
+
+
+@query("SELECT run_id, CAST(count(DISTINCT dep) AS BIGINT) AS n_deps, string_agg(DISTINCT CAST(dep AS VARCHAR), ',' ORDER BY CAST(dep AS VARCHAR)) AS deps FROM (SELECT run_id, unnest(dependency_ids) AS dep FROM task_runs) WHERE dep IS NOT NULL GROUP BY 1")
+def dependency_union(spark: SparkSession, d: str) -> DataFrame:
+    """The union of all dependencies of a run's nodes."""
+    deps = table(spark, d, "task_runs").select("run_id", F.explode("dependency_ids").alias("dep")).where("dep IS NOT NULL").select("run_id", F.col("dep").cast("string").alias("dep")).distinct()
+    return deps.groupBy("run_id").agg(F.count(F.lit(1)).alias("n_deps"), F.array_join(F.array_sort(F.collect_list("dep")), ",").alias("deps"))
+
+
+# --- logs, keys and retention ---------------------------------------------------------------------
+
+_LOG_KIND = "CASE event_type WHEN 'view' THEN 'task_created' WHEN 'click' THEN 'task_updated' WHEN 'purchase' THEN 'task_timing' WHEN 'error' THEN 'run_update' WHEN 'signup' THEN 'run_timing' ELSE 'profile_set' END"
+
+
+@query(f"""WITH l AS (SELECT user_id % 50 AS run, event_id, {_LOG_KIND} AS kind, CAST(user_id % 7 AS VARCHAR) AS task, CAST(event_id % 3 AS VARCHAR) AS field, CASE WHEN event_id % 5 > 0 THEN CAST(event_id AS VARCHAR) END AS v, CAST(event_id % 4 AS VARCHAR) AS phase, CAST(event_id % 16 AS DOUBLE) / 16 AS seconds, event_id AS seq FROM events),
+f AS (SELECT run, CASE WHEN kind = 'run_update' THEN 'run' WHEN kind = 'profile_set' THEN 'profile' ELSE 'task' END AS scope, CASE WHEN kind IN ('task_created', 'task_updated') THEN task ELSE '' END AS owner, field, v, seq FROM l WHERE kind IN ('task_created', 'task_updated', 'run_update', 'profile_set')),
+r AS (SELECT run, CASE WHEN kind = 'task_created' THEN task ELSE '' END AS owner, kind = 'profile_set' AS p, max(seq) AS since FROM l WHERE kind IN ('task_created', 'profile_set') GROUP BY ALL),
+k AS (SELECT f.* FROM f LEFT JOIN r ON r.run = f.run AND r.owner = f.owner AND r.p = (f.scope = 'profile') AND f.scope <> 'run' WHERE since IS NULL OR seq >= since),
+s AS (SELECT run, 'task_timing' AS scope, task AS owner, phase, seconds, seq FROM l WHERE kind = 'task_timing' UNION ALL SELECT run, 'total_timing', '', phase, seconds, seq FROM l WHERE kind = 'task_timing' UNION ALL SELECT run, 'run_timing', '', phase, seconds, seq FROM l WHERE kind = 'run_timing'),
+t AS (SELECT s.* FROM s LEFT JOIN r ON r.run = s.run AND r.owner = s.owner AND NOT r.p AND s.scope = 'task_timing' WHERE since IS NULL OR seq >= since)
+SELECT run, scope, owner, field, arg_max({{'v': v}}, seq).v AS value FROM k GROUP BY ALL HAVING arg_max({{'v': v}}, seq).v IS NOT NULL UNION ALL SELECT run, scope, owner, phase, CAST(round(sum(seconds), 6) AS VARCHAR) FROM t GROUP BY ALL""")
+def log_replay(spark: SparkSession, d: str) -> DataFrame:
+    """A whole log of all six patch kinds replayed."""
+    kinds = {"view": "task_created", "click": "task_updated", "purchase": "task_timing", "error": "run_update", "signup": "run_timing"}
+    kind = F.lit("profile_set")
+    for event, name in kinds.items():
+        kind = F.when(F.col("event_type") == event, name).otherwise(kind)
+    i = F.col("event_id")
+    log = table(spark, d, "events").select(
+        (F.col("user_id") % 50).alias("run"), i.alias("seq"), kind.alias("kind"), (F.col("user_id") % 7).cast("string").alias("task"),
+        F.create_map((i % 3).cast("string"), F.when(i % 5 > 0, i.cast("string"))).alias("fields"), (i % 4).cast("string").alias("phase"), ((i % 16).cast("double") / 16).alias("seconds"),
+    )
+    return history.replay(log, "run", ["seq"])
+
+
+_ENTRY = "(SELECT DISTINCT base_name AS function, task_run_id, recorded_at, workflow, env, attempt, task_type, name FROM task_runs WHERE cache_key IS NOT NULL AND base_name IS NOT NULL)"
+
+
+@query(f"""WITH e AS (SELECT *, row_number() OVER (PARTITION BY function ORDER BY recorded_at, task_run_id) AS k FROM {_ENTRY}),
+p AS (SELECT a.task_run_id, a.env IS NULL OR b.env IS NULL AS env_open, a.env <> b.env AS env_moved, a.attempt IS NULL OR b.attempt IS NULL AS v_open, a.attempt <> b.attempt AS v_moved, a.task_type IS NULL OR b.task_type IS NULL AS s_open, a.task_type <> b.task_type AS s_moved,
+  a.workflow IS NULL OR b.workflow IS NULL AS i_open, a.workflow <> b.workflow AS i_moved FROM e a JOIN e b ON a.function = b.function AND b.k = a.k - 1),
+m AS (SELECT task_run_id, concat_ws(',', CASE WHEN env_open THEN 'env=not_recorded' WHEN env_moved THEN 'env=changed' END, CASE WHEN i_open THEN 'inputs.workflow=not_recorded' WHEN i_moved THEN 'inputs.workflow=changed' END, CASE WHEN s_open THEN 'source_hash=not_recorded' WHEN s_moved THEN 'source_hash=changed' END, CASE WHEN v_open THEN 'version=not_recorded' WHEN v_moved THEN 'version=changed' END) AS components,
+  concat_ws(',', CASE WHEN NOT env_open AND env_moved THEN 'env_changed' END, CASE WHEN NOT i_open AND i_moved THEN 'input_changed' END, CASE WHEN NOT s_open AND s_moved THEN 'source_hash_changed' END, CASE WHEN NOT v_open AND v_moved THEN 'version_bump' END) AS reasons FROM p)
+SELECT task_run_id, components, CASE WHEN reasons = '' THEN 'cache_key_changed' ELSE reasons END AS reasons FROM m WHERE components <> ''""")
+def cache_key_components(spark: SparkSession, d: str) -> DataFrame:
+    """For each cache entry and the same function's previous one: the components that differ or are not recorded, and the coarse reasons."""
+    from braidframe.operators.ordered import neighbour
+
+    e = table(spark, d, "task_runs").where("cache_key IS NOT NULL AND base_name IS NOT NULL").select(F.col("base_name").alias("function"), "task_run_id", "recorded_at", "workflow", "env", "attempt", "task_type", "name").distinct()
+    parts = {"env": F.col("env"), "inputs.workflow": F.col("workflow"), "source_hash": F.col("task_type"), "version": F.col("attempt").cast("string")}
+    listed = F.array(*[F.struct(F.lit(k).alias("component"), v.alias("digest")) for k, v in parts.items()])
+    pairs = neighbour(e.withColumn("now", listed), ["function"], F.floor(epoch_micros("recorded_at") / history.DAY_US), ["recorded_at", "task_run_id"], F.col("now"), "then").where("then IS NOT NULL")
+    side = lambda c: pairs.select("task_run_id", F.inline(c))
+    diff = history.component_diff(side("now"), side("then"), ["task_run_id"])
+    shown = F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "component", "status"))), ",").alias("components")
+    reasons = history.coarse_reasons(diff, ["task_run_id"]).select("task_run_id", F.array_join("reasons", ",").alias("reasons"))
+    return diff.groupBy("task_run_id").agg(shown).join(reasons, "task_run_id")
+
+
+@query("SELECT version_id AS entry FROM (SELECT version_id, max({'a': recorded_at, 'b': ref_id}) AS last FROM asset_refs WHERE version_id IS NOT NULL GROUP BY 1) ORDER BY last DESC NULLS LAST, version_id LIMIT 64")
+def lru_retention(spark: SparkSession, d: str) -> DataFrame:
+    """What a cache of 64 payloads holds after all references (the capacity is the feature)."""
+    puts = table(spark, d, "asset_refs").where("version_id IS NOT NULL").select(F.col("version_id").alias("entry"), F.col("recorded_at").alias("a"), F.col("ref_id").alias("b"))
+    return history.retained(puts, "entry", ["a", "b"], 64)
+
+
+@query("SELECT workflow, base_name AS phase, round_even(sum(duration_s), 6) AS seconds, count(*) AS count FROM (SELECT DISTINCT task_run_id, workflow, base_name, duration_s FROM task_runs) WHERE duration_s > 0 AND NOT isnan(duration_s) GROUP BY ALL")
+def phase_profile(spark: SparkSession, d: str) -> DataFrame:
+    """Seconds and observations per phase."""
+    r = table(spark, d, "task_runs").select("task_run_id", "workflow", "base_name", "duration_s").distinct()
+    return history.phase_profile(r, ["workflow"], "base_name", "duration_s").withColumn("seconds", parity.round_half_even("seconds", 6))
+
+
+@query("""SELECT run_id, node_id, task_run_id FROM (SELECT DISTINCT run_id, coalesce(node_id, -1) AS node_id, task_run_id FROM task_runs WHERE status = 'failed' AND run_id IS NOT NULL) QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY node_id, task_run_id) <= 3""")
+def failures_slice(spark: SparkSession, d: str) -> DataFrame:
+    """The first three failures of each run by node (how many is the feature); a missing node counts as -1."""
+    r = table(spark, d, "task_runs").where("status = 'failed' AND run_id IS NOT NULL").select("run_id", F.coalesce("node_id", F.lit(-1).cast("bigint")).alias("node_id"), "task_run_id").distinct()
+    return tabular.top_n_per_group(r, ["run_id"], [F.col("node_id"), F.col("task_run_id")], 3).select("run_id", "node_id", "task_run_id")
+
+
+@query("SELECT workflow, arg_max(run_id, {'a': started_at, 'b': run_id}) AS newest, max(started_at) AS started_at FROM task_runs WHERE started_at IS NOT NULL AND run_id IS NOT NULL GROUP BY 1")
+def newest_run(spark: SparkSession, d: str) -> DataFrame:
+    """The newest run of each workflow."""
+    r = table(spark, d, "task_runs").where("started_at IS NOT NULL AND run_id IS NOT NULL")
+    return r.groupBy("workflow").agg(F.max_by("run_id", F.struct("started_at", "run_id")).alias("newest"), F.max("started_at").alias("started_at"))
+
+
+@query("SELECT namespace, kind, count(*) AS n_versions, max(created_at) AS newest FROM (SELECT DISTINCT namespace, kind, version_id, created_at FROM asset_versions WHERE kind = 'model') GROUP BY ALL")
+def model_listing(spark: SparkSession, d: str) -> DataFrame:
+    """Registered models by namespace."""
+    v = table(spark, d, "asset_versions").where("kind = 'model'").select("namespace", "kind", "version_id", "created_at").distinct()
+    return v.groupBy("namespace", "kind").agg(F.count(F.lit(1)).alias("n_versions"), F.max("created_at").alias("newest"))
 
 
 # --- texts, JSON and quantities -------------------------------------------------------------------
@@ -256,22 +361,51 @@ def text_tail(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", readers.tail_lines("text", 3).alias("tail"))
 
 
-_SIZES = "(VALUES ('10'), ('4 KB'), ('1.5GiB'), ('2g'), ('7x'), (''), (NULL), ('3TB')) v(t)"
+_WRITTEN = "(SELECT DISTINCT size, CASE size % 7 WHEN 0 THEN size || '' WHEN 1 THEN size || ' KB' WHEN 2 THEN (size % 1000) || '.5G' WHEN 3 THEN (size % 50) || 'tb' WHEN 4 THEN size || 'x' WHEN 5 THEN (size % 90) || 'm' ELSE (size % 90) || 'Gi' END AS raw FROM artifacts WHERE size >= 0)"
 
 
-@query(f"""SELECT t AS raw, CASE WHEN regexp_matches(t, '^\\s*[0-9]+(\\.[0-9]+)?\\s*[KMGTkmgt]?([iI]?[bB])?\\s*$') THEN CAST(floor(CAST(regexp_extract(t, '([0-9]+(\\.[0-9]+)?)', 1) AS DOUBLE) *
-CASE upper(regexp_extract(t, '[0-9]\\s*([KMGTkmgt])', 1)) WHEN 'K' THEN 1024.0 WHEN 'M' THEN 1048576.0 WHEN 'G' THEN 1073741824.0 WHEN 'T' THEN 1099511627776.0 ELSE 1.0 END) AS BIGINT) END AS bytes FROM {_SIZES}""")
+@query(f"""WITH r AS (SELECT DISTINCT raw FROM {_WRITTEN})
+SELECT raw, CASE WHEN regexp_full_match(raw, '[0-9]+([.][0-9]+)?\\s*[KMGTkmgt]?[bB]?') THEN CAST(floor(CAST(regexp_extract(raw, '^[0-9.]+') AS DOUBLE) * CASE upper(regexp_extract(raw, '[KMGTkmgt]')) WHEN 'K' THEN 1024.0 WHEN 'M' THEN 1048576.0 WHEN 'G' THEN 1073741824.0 WHEN 'T' THEN 1099511627776.0 ELSE 1.0 END) AS BIGINT) END AS bytes,
+CASE WHEN regexp_full_match(raw, '[0-9]+[mhd]') THEN CAST(regexp_extract(raw, '^[0-9]+') AS BIGINT) * CASE right(raw, 1) WHEN 'm' THEN 60 WHEN 'h' THEN 3600 ELSE 86400 END END AS seconds,
+CASE WHEN regexp_full_match(raw, '[0-9]+([.][0-9]+)?\\s*(Gi|Mi|G|M|Ti|Ki)') THEN CAST(ceil(CAST(regexp_extract(raw, '^[0-9.]+') AS DOUBLE) * CASE regexp_extract(raw, '(Gi|Mi|G|M|Ti|Ki)$') WHEN 'Gi' THEN 1.0 WHEN 'Mi' THEN 1.0 / 1024 WHEN 'G' THEN 1e9 / 1073741824 WHEN 'M' THEN 1e6 / 1073741824 WHEN 'Ti' THEN 1024.0 ELSE 1.0 / 1048576 END::DOUBLE) AS BIGINT) END AS memory_gb FROM r""")
 def parse_sizes_durations(spark: SparkSession, d: str) -> DataFrame:
-    """Sizes written for people as bytes."""
-    raw = spark.createDataFrame([("10",), ("4 KB",), ("1.5GiB",), ("2g",), ("7x",), ("",), (None,), ("3TB",)], "raw string")
-    return raw.select("raw", parity.parse_size("raw").alias("bytes"))
+    """Sizes, durations and memory amounts written for people."""
+    z = F.col("size")
+    text = lambda c, unit: F.concat(c.cast("string"), F.lit(unit))
+    raw = F.lit(None).cast("string")
+    for rest, written in {6: text(z % 90, "Gi"), 5: text(z % 90, "m"), 4: text(z, "x"), 3: text(z % 50, "tb"), 2: text(z % 1000, ".5G"), 1: text(z, " KB"), 0: text(z, "")}.items():
+        raw = F.when(z % 7 == rest, written).otherwise(raw)
+    rows = table(spark, d, "artifacts").where("size >= 0").select(raw.alias("raw")).distinct()
+    return rows.select("raw", parity.parse_size("raw").alias("bytes"), parity.parse_duration("raw").alias("seconds"), parity.parse_memory_gb("raw").alias("memory_gb"))
+
+
+_BYTES = "CASE WHEN size IS NULL THEN '—' WHEN b < 1024 THEN b || ' B' " + " ".join(f"{'ELSE' if u == 'TB' else f'WHEN b < {m * 1024} THEN'} printf('%.1f', round_even(b / {m}.0::DOUBLE, 1)) || ' {u}'" for u, m in (("KB", 2**10), ("MB", 2**20), ("GB", 2**30), ("TB", 2**40))) + " END"
 
 
-@query("""SELECT DISTINCT artifact_id, size, CASE WHEN size < 1024 THEN size || ' B' WHEN size < 1048576 THEN printf('%.1f', round_even(size / 1024.0::DOUBLE, 1)) || ' KiB' WHEN size < 1073741824 THEN printf('%.1f', round_even(size / 1048576.0::DOUBLE, 1)) || ' MiB'
-WHEN size < 1099511627776 THEN printf('%.1f', round_even(size / 1073741824.0::DOUBLE, 1)) || ' GiB' ELSE printf('%.1f', round_even(size / 1099511627776.0::DOUBLE, 1)) || ' TiB' END AS shown FROM artifacts WHERE size >= 0""")
+@query(f"SELECT DISTINCT artifact_id, size, {_BYTES} AS shown FROM (SELECT *, greatest(size, 0) AS b FROM artifacts)")
 def human_format(spark: SparkSession, d: str) -> DataFrame:
     """Sizes as people read them."""
-    return table(spark, d, "artifacts").where("size >= 0").select("artifact_id", "size", parity.human_bytes("size").alias("shown")).distinct()
+    return table(spark, d, "artifacts").select("artifact_id", "size", parity.human_bytes("size").alias("shown")).distinct()
+
+
+@query("""WITH r AS (SELECT DISTINCT task_run_id, CASE WHEN isnan(duration_s) THEN NULL ELSE duration_s END AS s, epoch_us(started_at) AS a, epoch_us(finished_at) AS f, name FROM task_runs),
+v AS (SELECT *, greatest(s, 0) AS v, CAST(floor(greatest(s, 0) / 3600) AS BIGINT) AS h FROM r), w AS (SELECT *, CAST(floor((v - h * 3600) / 60) AS BIGINT) AS m FROM v)
+SELECT task_run_id, CASE WHEN s IS NULL THEN '—' WHEN v < 10 THEN printf('%.1f', round_even(v, 1)) || 's' WHEN v < 60 THEN CAST(round_even(v, 0) AS BIGINT) || 's' WHEN v < 3600 THEN m || 'm ' || lpad(CAST(CAST(round_even(v - m * 60, 0) AS BIGINT) AS VARCHAR), 2, '0') || 's'
+ELSE h || 'h ' || lpad(CAST(m AS VARCHAR), 2, '0') || 'm ' || lpad(CAST(CAST(round_even(v - h * 3600 - m * 60, 0) AS BIGINT) AS VARCHAR), 2, '0') || 's' END AS lasted,
+CASE WHEN a IS NULL THEN '-' WHEN y < 60 THEN y || 's' WHEN y < 3600 THEN y // 60 || 'm' WHEN y < 86400 THEN y // 3600 || 'h' ELSE y // 86400 || 'd' END AS age, CASE WHEN a IS NULL OR f IS NULL THEN NULL ELSE greatest((f - a) / 1e6::DOUBLE, 0.0) END AS elapsed, CASE WHEN name IS NULL OR name = '' THEN 'unknown' ELSE regexp_extract(name, '[^.]*$') END AS base
+FROM (SELECT *, greatest((epoch_us(TIMESTAMP '2026-01-01') - a) // 1000000, 0) AS y FROM w) WHERE v IS NULL OR v < 1e12""")
+def human_times(spark: SparkSession, d: str) -> DataFrame:
+    """Durations, ages at a fixed moment, elapsed seconds and the last part of dotted names."""
+    r = table(spark, d, "task_runs").select("task_run_id", parity.null_if_nan("duration_s").alias("s"), epoch_micros("started_at").alias("a"), epoch_micros("finished_at").alias("f"), "name").distinct()
+    r = r.where("s IS NULL OR s < 1e12")
+    age = F.floor((F.lit(1_767_225_600_000_000) - F.col("a")) / 1_000_000)
+    return r.select("task_run_id", parity.human_duration("s").alias("lasted"), parity.human_age(age).alias("age"), parity.elapsed_seconds(F.col("a"), F.col("f")).alias("elapsed"), parity.last_segment("name").alias("base"))
+
+
+@query("SELECT DISTINCT artifact_id, size, CASE WHEN size IS NULL THEN '—' ELSE format('{:,}', size) END AS shown FROM artifacts")
+def human_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Counts with commas."""
+    return table(spark, d, "artifacts").select("artifact_id", "size", parity.thousands("size").alias("shown")).distinct()
 
 
 @query("""SELECT DISTINCT task_run_id, name, CASE WHEN name = 'core.score_stories' THEN 'exact' WHEN name LIKE 'modules.report.%' THEN 'reports' WHEN name LIKE '%.score\\_%' ESCAPE '\\' THEN 'scores' WHEN name LIKE 'qc.%' THEN 'quality' END AS override FROM task_runs""")
