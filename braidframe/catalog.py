@@ -7,14 +7,18 @@ is the latest fact per key. A version appears only after its data is written and
 from __future__ import annotations
 
 import hashlib
+import json
+import uuid
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from braidframe.sources.sinks import content_digest, write_parquet
+from braidframe.sources.sinks import content_digest, file_system, move_once, write_parquet
 
 #: Kinds of assets and whether consumers get them as live tables.
 KINDS = {"table": True, "array": True, "text": True, "model": True, "file": False, "fig": False}
@@ -26,13 +30,15 @@ _LINEAGE = "version_id string, parent_id string"
 
 @dataclass(frozen=True)
 class Asset:
-    """What is to be registered: a table, its name and boolean checks over all its rows."""
+    """What is to be registered: a table, its name and boolean checks over all its rows; how reports group and caption it."""
 
     frame: DataFrame
     name: str
     kind: str = "table"
     checks: Mapping[str, Callable[[DataFrame], Column]] = field(default_factory=dict)
     metadata: Mapping[str, str] = field(default_factory=dict)
+    group: str = ""
+    caption: str = ""
 
     def __post_init__(self) -> None:
         if self.kind not in KINDS:
@@ -41,6 +47,44 @@ class Asset:
             raise ValueError(f"bad asset name {self.name!r}")
 
 
+def text_asset(spark: SparkSession, name: str, text: str, form: str = "plain", **more: object) -> Asset:
+    """A text as an asset of one row; ``form`` is plain, markdown or json (which must be valid)."""
+    if form not in ("plain", "markdown", "json"):
+        raise ValueError(f"unknown form {form!r}")
+    if form == "json":
+        json.loads(text)
+    return Asset(spark.createDataFrame([(text,)], "text string"), name, "text", metadata={"form": form}, **more)
+
+
+def array_asset(spark: SparkSession, name: str, values: np.ndarray, rows_a_part: int = 100_000, **more: object) -> Asset:
+    """An array as rows of its first axis: (position, values), each a flat list; shape and type are metadata."""
+    flat = np.asarray(values).reshape(values.shape[0] if values.ndim else 1, -1)
+    kind = {"f": "double", "i": "bigint", "u": "bigint", "b": "boolean"}.get(flat.dtype.kind)
+    if kind is None:
+        raise TypeError(f"arrays of {values.dtype} are not kept")
+    rows = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(flat)], f"position bigint, values array<{kind}>")
+    parts = max(1, -(-len(flat) // rows_a_part))
+    return Asset(rows.repartition(parts, "position"), name, "array", metadata={"shape": json.dumps(list(values.shape)), "dtype": str(values.dtype)}, **more)
+
+
+def model_asset(spark: SparkSession, name: str, metrics: Mapping[str, float], path: str = "", **more: object) -> Asset:
+    """A fitted model by the path it was saved to, with its metrics."""
+    rows = spark.createDataFrame([(path, k, float(v)) for k, v in metrics.items()], "path string, metric string, value double")
+    return Asset(rows, name, "model", metadata={"path": path}, **more)
+
+
+def reserve_names(outputs: DataFrame, task: str, kind: str, name: str, order: Sequence[str], out: str = "asset_name") -> DataFrame:
+    """Add ``out``: an output's own name, or ``<task>.<kind>[<index>]`` by order among the unnamed of its task and kind.
+
+    ``duplicate`` is true for every output whose (task, kind, name) another one has too.
+    """
+    w = Window.partitionBy(task, kind, F.col(name).isNull())
+    index = F.row_number().over(w.orderBy(*order)) - 1
+    made = F.format_string("%s.%s[%d]", F.col(task), F.col(kind), index)
+    same = F.count(F.lit(1)).over(Window.partitionBy(task, kind, name)) > 1
+    return outputs.select("*", F.coalesce(F.col(name), made).alias(out), (same & F.col(name).isNotNull()).alias("duplicate"))
+
+
 class CheckFailed(ValueError):
     """A check was false or null; nothing was published."""
 
@@ -84,27 +128,44 @@ class Catalog:
         return self.versions().groupBy("kind", "name").agg(F.max_by("version_id", "seq").alias("latest"), F.count(F.lit(1)).alias("n_versions"))
 
     def register(self, asset: Asset, *, run_id: str, producer: str = "", parents: Sequence[str] = ()) -> str:
-        """Write the data, run the checks over what was written, then publish; returns the version id."""
-        digest = content_digest(asset.frame)
+        """Write the data aside, run the checks over what was written, then publish; returns the version id.
+
+        The table is computed once. Data is kept by content: what is there already is never written
+        again, so a table read from the catalogue can be registered under another name.
+        """
+        aside = f"{self.root}/aside/{uuid.uuid4().hex}"
+        try:
+            stats = write_parquet(asset.frame, aside)
+            written = self.spark.read.schema(asset.frame.schema).parquet(aside)
+            if asset.checks:
+                # each check is one aggregate, such as bool_and of a row condition or a count above 0
+                row = written.agg(*[F.coalesce(c(written), F.lit(False)).alias(k) for k, c in asset.checks.items()]).first()
+                failed = [k for k in asset.checks if not row[k]]
+                if failed:
+                    raise CheckFailed(f"{asset.kind}:{asset.name} fails {', '.join(failed)}")
+            digest = content_digest(written)
+            path = f"{self.root}/data/{digest}"
+            move_once(self.spark, aside, path)
+        finally:
+            fs, p = file_system(self.spark, aside)
+            fs.delete(p, True)
         vid = version_id(asset.kind, asset.name, digest, run_id)
-        path = f"{self.root}/data/{digest}"
-        stats = write_parquet(asset.frame, path, mode="overwrite")
-        written = self.spark.read.schema(asset.frame.schema).parquet(path)
-        if asset.checks:
-            # each check is one aggregate, such as bool_and of a row condition or a count above 0
-            row = written.agg(*[F.coalesce(c(written), F.lit(False)).alias(k) for k, c in asset.checks.items()]).first()
-            failed = [k for k in asset.checks if not row[k]]
-            if failed:
-                raise CheckFailed(f"{asset.kind}:{asset.name} fails {', '.join(failed)}")
         seq = self._next("versions", _VERSIONS)
         now = datetime.now(timezone.utc).replace(tzinfo=None)
-        self._append("versions", [(asset.kind, asset.name, vid, seq, digest, run_id, producer, now, path, asset.frame.schema.json(), stats["row_count"], dict(asset.metadata))], _VERSIONS)
+        about = {**asset.metadata, **{k: v for k, v in (("group", asset.group), ("caption", asset.caption)) if v}}
+        self._append("versions", [(asset.kind, asset.name, vid, seq, digest, run_id, producer, now, path, asset.frame.schema.json(), stats["row_count"], about)], _VERSIONS)
         if parents:
             self._append("lineage", [(vid, p) for p in dict.fromkeys(parents)], _LINEAGE)
         return vid
 
     def _next(self, table: str, schema: str) -> int:
-        return int(self._read(table, schema).agg(F.coalesce(F.max("seq"), F.lit(-1)) + 1).first()[0])
+        """The next number; it is claimed by making a file that only one writer can make."""
+        number = int(self._read(table, schema).agg(F.coalesce(F.max("seq"), F.lit(-1)) + 1).first()[0])
+        while True:
+            fs, claim = file_system(self.spark, f"{self.root}/claims/{table}-{number}")
+            if fs.createNewFile(claim):
+                return number
+            number += 1
 
     def set_alias(self, name: str, alias: str, selector: str | None = None) -> None:
         """Point an alias at a version (the latest by default)."""
@@ -133,15 +194,23 @@ class Catalog:
 
     def read(self, name: str, selector: str | None = None) -> DataFrame:
         """The table of a version."""
-        from pyspark.sql.types import StructType
-        import json
-
         kind, _, vid = self.resolve(name, selector)
         if not KINDS[kind]:
             raise TypeError(f"{name} is kept as bytes, not as a table")
         row = self.versions().where(F.col("version_id") == vid).first()
         return self.spark.read.schema(StructType.fromJson(json.loads(row["schema"]))).parquet(row["path"])
 
+    def read_text(self, name: str, selector: str | None = None) -> str:
+        """The text of a text asset."""
+        return self.read(name, selector).first()["text"]
+
+    def read_array(self, name: str, selector: str | None = None) -> np.ndarray:
+        """The array of an array asset, on the driver: for arrays that one process can hold."""
+        _, _, vid = self.resolve(name, selector)
+        about = self.versions().where(F.col("version_id") == vid).first()["metadata"]
+        rows = self.read(name, selector).orderBy("position").toPandas()
+        return np.array(rows["values"].tolist(), dtype=about["dtype"]).reshape(json.loads(about["shape"]))
+
     def referenced(self) -> DataFrame:
         """Distinct content hashes that some version names."""
         return self.versions().select("content_hash").distinct()

@@ -5,9 +5,11 @@ from __future__ import annotations
 import hashlib
 import inspect
 import json
+import uuid
 from collections.abc import Callable, Mapping
 from datetime import datetime, timezone
 from typing import Any
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +17,7 @@ from pyspark.sql.types import StructType
 
 from braidframe.operators.history import evict
 from braidframe.operators.tabular import key_diff
+from braidframe.sources.sinks import content_digest, file_system, move_once
 
 _ENTRIES = "cache_key string, function string, components map<string,string>, path string, schema string, row_count bigint, size bigint, created_at timestamp_ntz"
 
@@ -22,7 +25,8 @@ _ENTRIES = "cache_key string, function string, components map<string,string>, pa
 def components(function: Callable, version: int, inputs: Mapping[str, Any], env: str = "") -> dict[str, str]:
     """What identifies a call: function, its source, version, environment, and one entry per input.
 
-    Inputs are asset version ids, plain values or tables; a table counts by its analysed plan.
+    Inputs are asset version ids, plain values or tables. A table of files counts by its plan and by the
+    path, size and time of each file; one made in memory, or of other sources, by its content.
     """
     parts = {"function": f"{function.__module__}.{function.__qualname__}", "version": str(version), "env": env}
     try:
@@ -31,10 +35,30 @@ def components(function: Callable, version: int, inputs: Mapping[str, Any], env:
         parts["source"] = ""
     for name in sorted(inputs):
         value = inputs[name]
-        parts[f"input:{name}"] = f"plan:{value.semanticHash()}" if isinstance(value, DataFrame) else f"{type(value).__name__}:{_sha(json.dumps(value, sort_keys=True, default=str))}"
+        parts[f"input:{name}"] = table_identity(value) if isinstance(value, DataFrame) else f"{type(value).__name__}:{_sha(json.dumps(value, sort_keys=True, default=str))}"
     return parts
 
 
+def table_identity(df: DataFrame) -> str:
+    """Text that changes when the table's rows can have changed."""
+    files = sorted(df.inputFiles())
+    plan = df._jdf.queryExecution().analyzed().canonicalized()
+    others = [leaf for leaf in _leaves(plan) if leaf.nodeName() in ("LocalRelation", "LogicalRDD", "Range", "OneRowRelation")]
+    if not files or others:
+        return f"content:{content_digest(df)}"
+    stats = []
+    for f in files:
+        fs, path = file_system(df.sparkSession, unquote(f))
+        status = fs.getFileStatus(path)
+        stats.append([f, int(status.getLen()), int(status.getModificationTime())])
+    return f"files:{_sha(json.dumps([plan.treeString(), df.semanticHash(), stats]))}"
+
+
+def _leaves(plan) -> list:
+    found = plan.collectLeaves()
+    return [found.apply(i) for i in range(found.size())]
+
+
 def _sha(text: str) -> str:
     return hashlib.sha256(text.encode()).hexdigest()
 
@@ -74,8 +98,11 @@ class ResultCache:
             return self.spark.read.schema(StructType.fromJson(json.loads(row["schema"]))).parquet(row["path"])
         self.misses += 1
         result = function(**inputs)
-        path = f"{self.root}/data/{key}"
-        result.write.mode("overwrite").parquet(path)
+        aside, path = f"{self.root}/aside/{uuid.uuid4().hex}", f"{self.root}/data/{key}"
+        result.write.parquet(aside)
+        if self._exists(path) and not self._exists(path + "/_SUCCESS"):
+            self._fs(path).delete(self.spark._jvm.org.apache.hadoop.fs.Path(path), True)
+        move_once(self.spark, aside, path)
         kept = self.spark.read.schema(result.schema).parquet(path)
         self._append([(key, parts["function"], parts, path, result.schema.json(), kept.count(), self._size(path), datetime.now(timezone.utc).replace(tzinfo=None))])
         return kept
@@ -98,6 +125,10 @@ class ResultCache:
             self._fs(path).delete(self.spark._jvm.org.apache.hadoop.fs.Path(path), True)
         return len(dropped)
 
+    def clear(self) -> int:
+        """Drop every entry; returns how many."""
+        return self.prune(keep_count=0)
+
     def _fs(self, path: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(self.spark._jsc.hadoopConfiguration())
 

@@ -1,20 +1,30 @@
-"""Sinks: tables, documents and append-only logs."""
+"""Sinks: tables, documents, append-only logs and content-addressed stores."""
 
 from __future__ import annotations
 
+import hashlib
 import json
-from collections.abc import Sequence
+import uuid
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def file_system(spark: SparkSession, path: str):
+    """(Hadoop file system, path) of an address; every scheme that Spark reads works here."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
 def write_parquet(df: DataFrame, path: str, *, partition_by: Sequence[str] = (), mode: str = "errorifexists") -> dict:
-    """Write a table and return its schema and row count, which is read from the files' footers."""
+    """Write a table and return its schema, row count (read from the files' footers) and size in bytes."""
     writer = df.write.mode(mode)
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    rows = df.sparkSession.read.schema(df.schema).parquet(path).count()
-    return {"path": path, "schema": [{"name": f.name, "dtype": f.dataType.simpleString()} for f in df.schema], "row_count": rows}
+    spark = df.sparkSession
+    rows = spark.read.schema(df.schema).parquet(path).count()
+    fs, p = file_system(spark, path)
+    return {"path": path, "schema": [{"name": f.name, "dtype": f.dataType.simpleString()} for f in df.schema], "row_count": rows, "byte_size": int(fs.getContentSummary(p).getLength())}
 
 
 def write_csv(df: DataFrame, path: str, *, one_file: bool = False, mode: str = "errorifexists") -> None:
@@ -49,24 +59,54 @@ def lines_document(df: DataFrame, line: Column, order: Sequence[Column], out: st
 
 
 def append_events(df: DataFrame, path: str) -> None:
-    """Append rows to a log of JSON lines."""
-    df.write.mode("append").json(path)
+    """Append rows to a log of JSON lines, keys in sorted order."""
+    df.select(*sorted(df.columns)).write.mode("append").json(path)
 
 
 def write_once(df: DataFrame, root: str, digest: str) -> str:
-    """Content-addressed table: written under its digest unless it is there already; returns the path."""
-    path = f"{root.rstrip('/')}/{digest[:2]}/{digest}"
-    spark = df.sparkSession
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(spark._jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")):
-        df.write.mode("overwrite").parquet(path)
+    """Content-addressed table: written under its digest unless it is there already; returns the path.
+
+    The table is written aside and moved, so nobody sees half of it and nothing published is touched.
+    """
+    return publish_once(df.sparkSession, lambda path: df.write.parquet(path), f"{root.rstrip('/')}/{digest[:2]}/{digest}")
+
+
+def publish_once(spark: SparkSession, write: Callable[[str], object], path: str) -> str:
+    """Let ``write`` make a folder and move it to ``path``, unless that exists."""
+    fs, target = file_system(spark, path)
+    if not fs.exists(target):
+        aside = f"{path}.{uuid.uuid4().hex}"
+        write(aside)
+        move_once(spark, aside, path)
     return path
 
 
+def move_once(spark: SparkSession, aside: str, path: str) -> bool:
+    """Move a folder to ``path``; where another is there already, that one stays and ``aside`` goes."""
+    fs, source = file_system(spark, aside)
+    _, target = file_system(spark, path)
+    fs.mkdirs(target.getParent())
+    if fs.exists(target) or not fs.rename(source, target):
+        if not fs.exists(target):
+            raise OSError(f"cannot move {aside} to {path}")
+        fs.delete(source, True)
+        return False
+    # a rename onto a folder that another writer has just made would end up inside it
+    inside = spark._jvm.org.apache.hadoop.fs.Path(target, source.getName())
+    if fs.exists(inside):
+        fs.delete(inside, True)
+        return False
+    return True
+
+
 def content_digest(df: DataFrame) -> str:
-    """Digest of a table's rows regardless of their order: two sums of row hashes, the count and the schema."""
-    h = F.xxhash64(*[F.to_json(F.struct(c)) if df.schema[c].dataType.typeName() in ("map", "variant") else F.col(c) for c in sorted(df.columns)])
-    row = df.select(h.alias("h")).agg(F.sum(F.col("h").cast("decimal(38,0)")).alias("a"), F.sum(F.xxhash64("h").cast("decimal(38,0)")).alias("b"), F.count(F.lit(1)).alias("n")).first()
-    text = json.dumps([str(row["a"]), str(row["b"]), row["n"], sorted(f.simpleString() for f in df.schema)])
-    return df.sparkSession.range(1).select(F.sha2(F.lit(text), 256)).first()[0]
+    """Digest of a table's rows regardless of their order: sums of the parts of each row's SHA-256, the count and the schema.
+
+    Rows are digested as JSON with nulls kept; columns count by name. Map entries are sorted.
+    """
+    as_is = [F.array_sort(F.map_entries(c)).alias(c) if df.schema[c].dataType.typeName() == "map" else F.col(c) for c in sorted(df.columns)]
+    row = F.sha2(F.to_json(F.struct(*as_is), {"ignoreNullFields": "false"}), 256) if as_is else F.sha2(F.lit(""), 256)
+    part = lambda i: F.conv(F.substring("h", 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)")
+    sums = df.select(row.alias("h")).agg(*[F.sum(part(i)).cast("string").alias(f"s{i}") for i in range(4)], F.count(F.lit(1)).alias("n")).first()
+    text = json.dumps([*sums, sorted(f.simpleString() for f in df.schema)])
+    return hashlib.sha256(text.encode()).hexdigest()
