@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from braidframe.plans import aggregates, inspection, metadata, relational, training
+from braidframe.plans import aggregates, connectors, inspection, metadata, relational, training
 
-_MODULES = (training, relational, aggregates, metadata, inspection)
+_MODULES = (training, relational, aggregates, metadata, inspection, connectors)
 
 QUERIES: dict = {}
 ORACLE: dict = {}

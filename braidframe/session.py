@@ -76,11 +76,16 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/braid-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _CUTS.append(path)
+    df.write.parquet(note(path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+def note(path: str) -> str:
+    """Remember an intermediate folder, so that :func:`drop_cuts` deletes it."""
+    _CUTS.append(path)
+    return path
+
+
 def drop_cuts(spark: SparkSession) -> int:
     """Delete the intermediate tables written so far; results that read them must have been taken. Returns their number."""
     paths = spark._jvm.org.apache.hadoop.fs

@@ -35,17 +35,19 @@ def read_json(spark: SparkSession, path: str, schema: str | None = None, *, line
 
 
 def read_tagged(spark: SparkSession, paths: Mapping[str, str], tag: str, schema: str, *, sep: str = ",") -> DataFrame:
-    """Several delimited files as one table with a leading column that names each row's file.
+    """Several delimited files, or folders of them, as one table with a leading column that names each row's.
 
-    One scan of all files; the tag is looked up from the file's path. ``paths`` is the caller's list.
+    One scan of all files; the tag is looked up from the file's path: by its own name, else by its
+    folder's. ``paths`` is the caller's list.
     """
     by_name = {p.rstrip("/").rsplit("/", 1)[-1]: t for t, p in paths.items()}
     if len(by_name) < len(paths):
         raise ValueError("files of equal name cannot be told apart")
     df = read_csv(spark, list(paths.values()), schema, sep=sep)
     pairs = [F.lit(x) for kv in by_name.items() for x in kv]
-    name = F.url_decode(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1))
-    return df.select(F.try_element_at(F.create_map(*pairs), name).alias(tag), "*")
+    part = lambda i: F.url_decode(F.element_at(F.split(F.col("_metadata.file_path"), "/"), i))
+    known = F.create_map(*pairs)
+    return df.select(F.coalesce(F.try_element_at(known, part(-1)), F.try_element_at(known, part(-2))).alias(tag), "*")
 
 
 def read_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
@@ -54,7 +56,7 @@ def read_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
 
 
 def read_blobs(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """Whole files: (path, size, modified, content); content is only read where it is asked for."""
+    """Whole files: (path, size, modified, content); content is only read where it is asked for. Empty files give no rows."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
