@@ -2,8 +2,8 @@
 
 Every use of a text has a virtual finish time: the tokens of its source up to and including it, in
 shuffled order, divided by the source's weight. Served in that order each source has at time v given v
-times its share, so cutting the order at the time that uses up the total budget gives the target shares
-to within one text per source.
+times its share, so the order, sorted over all sources and truncated at the total budget, has the target
+shares to within one text per source.
 """
 
 from __future__ import annotations
@@ -42,7 +42,7 @@ def supply(docs: DataFrame, targets: DataFrame, rank_file: str = bpe.RANK_FILE)
 
 
 def cutoffs(available: dict[str, int], targets: dict[str, tuple[float, int]], budget: int | None) -> tuple[float, dict[str, tuple[float, int]]]:
-    """(virtual time at which to cut, source -> (weight, uses allowed)) for the sources that have tokens.
+    """(virtual time at which the budget is about used up, source -> (weight, uses allowed)) for the sources that have tokens.
 
     Weights are the target shares of those sources, scaled to sum 1. Without a budget the total is the
     greatest at which every source still reaches its share within its repeats. With one, sources that
@@ -69,6 +69,9 @@ def cutoffs(available: dict[str, int], targets: dict[str, tuple[float, int]], bu
 def mix(docs: DataFrame, targets: DataFrame, budget: int | None = None, seed: int = SEED, rank_file: str = bpe.RANK_FILE) -> DataFrame:
     """(source, doc_id, use, n_tokens, finish): each use of a text in the mix, ordered by ``finish``.
 
+    The uses are those from the front of the order whose tokens come to at most ``budget``; without one,
+    to the greatest total at which every source with texts still reaches its share within its repeats.
+
     ``use`` counts from 1 to at most the source's ``max_repeats``; every pass over a source is shuffled
     anew by ``seed``. Targets with a null source, no positive share or no repeats are ignored, of
     several rows for one source the shares add up and the least ``max_repeats`` counts. Empty
@@ -77,15 +80,18 @@ def mix(docs: DataFrame, targets: DataFrame, budget: int | None = None, seed: in
     """
     spark = docs.sparkSession
     texts = supply(docs, targets, rank_file)
-    sizes = texts.groupBy("source").agg(F.sum("n_tokens").alias("n_tokens"), F.count(F.lit(1)).alias("n_texts"))
+    sizes = texts.groupBy("source").agg(F.sum("n_tokens").alias("n_tokens"), F.count(F.lit(1)).alias("n_texts"), F.max("n_tokens").alias("longest"))
     sizes = bounded_rows(sizes, MOST_SOURCES, "the sources with targets")
     goal = {r["source"]: (r["w"], r["r"]) for r in bounded_rows(_goals(targets).groupBy("source").agg(F.sum("target_share").alias("w"), F.min("max_repeats").alias("r")), MOST_SOURCES, "mix_targets")}
     end, live = cutoffs({r["source"]: r["n_tokens"] for r in sizes}, goal, budget)
+    total = int(end * (1 + 1e-12)) if budget is None else budget  # weights sum to 1, so time is tokens while none runs out
+    # At ``end`` no source lacks more than a text; what fills that up is served by ``horizon``.
+    horizon = end + 2 * len(live) * max([r["longest"] for r in sizes], default=0) / min([w for w, _ in live.values()], default=1.0)
     plan = []
     for r in sizes:
         if r["source"] in live:
             weight, repeats = live[r["source"]]
-            passes = min(repeats, int(end * weight // r["n_tokens"]) + 1)
+            passes = min(repeats, int(horizon * weight // r["n_tokens"]) + 1)
             plan.append((r["source"], weight, passes, max(1, r["n_texts"] // ROWS_A_BUCKET)))
     queues = spark.createDataFrame(plan, "source string, weight double, passes int, buckets bigint")
     uses = texts.join(F.broadcast(queues), "source").select("*", F.explode(F.sequence(F.lit(1), F.col("passes"))).alias("use"))
@@ -94,8 +100,12 @@ def mix(docs: DataFrame, targets: DataFrame, budget: int | None = None, seed: in
     uses = uses.withColumn("place", place)
     bucket = F.struct(F.col("use"), F.floor(F.col("place") / F.lit(2.0**63) * F.col("buckets")).alias("part"))
     served = running_sum(uses, ["source"], bucket, [F.col("place"), F.col("doc_id")], F.col("n_tokens"), "served")
-    queued = served.withColumn("finish", F.col("served") / F.col("weight")).where(F.col("finish") <= F.lit(end) * (1 + 1e-12))
-    return queued.select("source", "doc_id", "use", "n_tokens", "finish").orderBy("finish", "source", "use", "doc_id")
+    queued = served.withColumn("finish", F.col("served") / F.col("weight")).where(F.col("finish") <= horizon)
+    # The whole order is summed up in ranges of the finish time, which hold about equal numbers of tokens.
+    ranges = max(1, sum(n * k for (_, _, n, _), k in zip(plan, (r["n_texts"] for r in sizes if r["source"] in live), strict=True)) // ROWS_A_BUCKET)
+    part = F.floor(F.col("finish") * (ranges / horizon)) if horizon > 0 else F.lit(0)
+    summed = running_sum(queued.withColumn("__whole", F.lit(0)), ["__whole"], part, [F.col("finish"), F.col("source"), F.col("use"), F.col("doc_id")], F.col("n_tokens"), "so_far")
+    return summed.where(F.col("so_far") <= total).select("source", "doc_id", "use", "n_tokens", "finish").orderBy("finish", "source", "use", "doc_id")
 
 
 def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:

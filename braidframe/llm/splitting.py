@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from braidframe.llm import bpe
-from braidframe.session import bounded_rows, ship, spread
+from braidframe.session import ship, spread
 
-#: The limit table is read as a control table of at most so many rows.
+#: A limit table of at most so many rows is broadcast.
 MOST_LIMITS = 100_000
 #: Rows of a batch handed back to Spark at once.
 _FLUSH_ROWS = 2_000
@@ -349,9 +349,12 @@ def split_oversized(docs: DataFrame, limits: DataFrame, *, with_text: bool = Tru
     """
     known = limits.where(F.col("source").isNotNull() & F.col("max_tokens").isNotNull())
     rows = known.groupBy("source").agg(F.min("max_tokens").cast("bigint").alias("max_tokens"), F.coalesce(F.min("overlap_tokens"), F.lit(0)).cast("bigint").alias("overlap_tokens"))
-    control = docs.sparkSession.createDataFrame([tuple(r) for r in bounded_rows(rows, MOST_LIMITS, "split_limits")], "source string, max_tokens bigint, overlap_tokens bigint")
+    first = rows.limit(MOST_LIMITS + 1).collect()
+    control = rows  # more limits than that are joined, not broadcast
+    if len(first) <= MOST_LIMITS:
+        control = F.broadcast(docs.sparkSession.createDataFrame([tuple(r) for r in first], "source string, max_tokens bigint, overlap_tokens bigint"))
     # A token has at least one byte, so most texts are seen to fit without being encoded.
-    large = docs.select("doc_id", "source", "text").join(F.broadcast(control), "source").where(F.octet_length("text") > F.col("max_tokens"))
+    large = docs.select("doc_id", "source", "text").join(control, "source").where(F.octet_length("text") > F.col("max_tokens"))
     ship(docs.sparkSession)
     large = spread(large, "doc_id", source=docs)
 

@@ -50,18 +50,24 @@ def test_against_brute_force(spark):
     have = defaultdict(int)
     for i, _, s in rows:
         have[s] += size[i]
-    end, live = mixing.cutoffs(dict(have), goal, 900)
+    _, live = mixing.cutoffs(dict(have), goal, 900)
+    got = [(r["source"], r["doc_id"], r["use"], r["finish"]) for r in found.collect()]
+    # the whole order of all uses that the repeats allow, from the shuffled passes that came out
     order = defaultdict(list)
-    for r in sorted(found.collect(), key=lambda r: r["finish"]):
-        order[r["source"]].append(r)
+    for s, i, use, finish in got:
+        order[s].append((i, use, finish))
     for s, uses in order.items():
         served = 0
-        for k, r in enumerate(uses):
-            served += size[r["doc_id"]]
-            assert r["finish"] == pytest.approx(served / live[s][0])
-            assert r["use"] == k // sum(1 for x in rows if x[2] == s) + 1
-        assert served / live[s][0] <= end * 1.0001
-    assert sum(size[r["doc_id"]] for u in order.values() for r in u) <= 900
+        for k, (i, use, finish) in enumerate(uses):
+            served += size[i]
+            assert finish == pytest.approx(served / live[s][0])
+            assert use == k // sum(1 for x in rows if x[2] == s) + 1
+    total = sum(size[i] for _, i, _, _ in got)
+    assert 900 - max(size.values()) < total <= 900
+    everything = mixing.mix(docs(spark, rows), targets(spark, [(s, w, r) for s, (w, r) in goal.items()]), budget=10**9)
+    front = [(r["source"], r["doc_id"], r["use"], r["finish"]) for r in everything.collect()]
+    assert front[: len(got)] == got and size[front[len(got)][1]] + total > 900
+    assert Counter(s for s, *_ in front) == {"a": 120, "b": 75, "c": 20}
 
 
 def test_cutoffs():
