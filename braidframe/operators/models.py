@@ -46,6 +46,14 @@ def grid(df: DataFrame, features: Sequence[str], label: str, candidates: Mapping
     return union_tagged(parts, "candidate")
 
 
+def segment_means(scored: DataFrame, segment: str) -> DataFrame:
+    """(segment, predicted_probability): mean probability by segment, three digits, greatest first; equal ones by name."""
+    from braidframe.functions.parity import round_half_even
+
+    means = scored.groupBy(segment).agg(F.avg("probability").alias("__mean"))
+    return means.orderBy(F.desc("__mean"), segment).select(segment, round_half_even("__mean", 3).alias("predicted_probability"))
+
+
 def champion(metrics: DataFrame, by: str = "f1", name: str = "candidate") -> DataFrame:
     """The row with the greatest metric; of equal ones the greater name."""
     return metrics.agg(F.max_by(F.struct(*metrics.columns), F.struct(by, name)).alias("r")).select("r.*")

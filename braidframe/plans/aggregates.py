@@ -213,11 +213,16 @@ def slugify_text(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "task_runs").select("task_run_id", parity.slug("name").alias("slug"), parity.slug_each("env").alias("env_slug")).distinct()
 
 
-def logistic_grid(spark: SparkSession, d: str) -> DataFrame:
-    """Metrics of three candidates of a logistic regression over all entries of all embeddings (no oracle: another solver)."""
+def _labelled(spark: SparkSession, d: str) -> tuple[DataFrame, list[str]]:
+    """Every entry of the embeddings as a column, and whether the label is 0."""
     rows = table(spark, d, "embeddings")
     features = [f"x{i}" for i in range(rows.agg(F.max(F.size("embedding"))).first()[0] or 0)]
-    e = rows.select(*[F.get("embedding", F.lit(i)).cast("double").alias(x) for i, x in enumerate(features)], (F.col("label") == 0).cast("int").alias("y"))
+    return rows.select("vec_id", "label", *[F.get("embedding", F.lit(i)).cast("double").alias(x) for i, x in enumerate(features)], (F.col("label") == 0).cast("int").alias("y")), features
+
+
+def logistic_grid(spark: SparkSession, d: str) -> DataFrame:
+    """Metrics of three candidates of a logistic regression over all entries of all embeddings (no oracle: another solver)."""
+    e, features = _labelled(spark, d)
     candidates = {"plain": {}, "weighted": {"weight_scale": 3.0}, "strict": {"threshold": 0.7}}
     return models.grid(e, features, "y", candidates)
 
@@ -225,6 +230,23 @@ def logistic_grid(spark: SparkSession, d: str) -> DataFrame:
 QUERIES["logistic_grid"] = logistic_grid
 
 
+def segment_probability(spark: SparkSession, d: str) -> DataFrame:
+    """Mean probability of a fitted model by segment (the label), greatest first (no oracle: another solver)."""
+    e, features = _labelled(spark, d)
+    scored = models.score(models.fit_logistic(e, features, "y", weight_scale=3.0), e, features)
+    return models.segment_means(scored, "label")
+
+
+QUERIES["segment_probability"] = segment_probability
+
+
+@query("SELECT label AS segment, round_even(avg(probability), 3) AS predicted_probability FROM (SELECT c_mktsegment AS label, 1 / (1 + exp(-c_acctbal / 5000.0::DOUBLE)) AS probability FROM customer) GROUP BY 1")
+def score_by_segment(spark: SparkSession, d: str) -> DataFrame:
+    """Mean of a given score by segment."""
+    c = table(spark, d, "customer").select(F.col("c_mktsegment").alias("segment"), (1 / (1 + F.exp(-F.col("c_acctbal") / 5000.0))).alias("probability"))
+    return models.segment_means(c, "segment")
+
+
 # --- extensions: beyond the reference -------------------------------------------------------------
 
 

@@ -54,13 +54,18 @@ def scratch_dir(spark: SparkSession) -> str:
     """The folder that all executors share.
 
     A cluster names it in ``spark.checkpoint.dir``. Where that is unset, local sessions (tests) get a
-    temporary folder of this machine, others a folder in the warehouse, which executors share too.
+    temporary folder of this machine, others a folder in the warehouse; a warehouse on the machines' own
+    disks is refused, since executors do not share it.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
-        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/braid-scratch"
+        home = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        path = spark._jvm.org.apache.hadoop.fs.Path(home)
+        if path.getFileSystem(spark._jsc.hadoopConfiguration()).getScheme() == "file":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        return home + "/braid-scratch"
     app = spark.sparkContext.applicationId
     if app not in _OWN_SCRATCH:
         _OWN_SCRATCH[app] = "file://" + tempfile.mkdtemp(prefix="braidframe-")

@@ -146,3 +146,26 @@ def test_parts():
 
     assert pipeline.evaluate(pair(x=3).output[1]) == 6
     assert pipeline.evaluate(pair().map(x=[1, 2]).output[1]) == [2, 4]
+
+
+def test_optional_outputs(spark, tmp_path):
+    (tmp_path / "a").write_text("x")
+    outputs = {"a": str(tmp_path / "a"), "b": pipeline.optional(str(tmp_path / "b")), "c": pipeline.optional(str(tmp_path / "a"))}
+    assert pipeline.present_outputs(spark, outputs) == {"a": str(tmp_path / "a"), "b": None, "c": str(tmp_path / "a")}
+    with pytest.raises(FileNotFoundError, match="did not create"):
+        pipeline.present_outputs(spark, {"b": str(tmp_path / "b")})
+    for bad in (pipeline.optional("x"), 3):
+        with pytest.raises(TypeError):
+            pipeline.optional(bad)
+
+
+def test_what_fits():
+    make = pipeline.Ready
+    ready = [make("a", 2, 4), make("b", 3, priority=1), make("c", 1, 9), make("d", 1, group="g"), make("e", 1, group="g"), make("f", 1, custom={"lic": 2}), make("g", 0, gpus=1)]
+    assert pipeline.select_feasible(ready, jobs=9, cores=6, memory_gb=8, group_slots={"g": 1}, budgets={"lic": 1}) == ["b", "a", "d"]
+    assert pipeline.select_feasible(ready, jobs=1, cores=9) == ["b"] and pipeline.select_feasible(ready, jobs=0, cores=9) == []
+    assert pipeline.select_feasible(ready, jobs=9, cores=0, gpus=1) == ["g"]
+    assert pipeline.select_feasible([], jobs=3, cores=1) == []
+    assert pipeline.place(make("a", 2), {"cores": 4}, False) == "local" and pipeline.place(make("a", 8), {"cores": 4}, True) == "remote"
+    with pytest.raises(ValueError, match="cores"):
+        pipeline.place(make("a", 8), {"cores": 4}, False)
