@@ -73,6 +73,21 @@ def model_asset(spark: SparkSession, name: str, metrics: Mapping[str, float], pa
     return Asset(rows, name, "model", metadata={"path": path}, **more)
 
 
+def nested_references(value: object) -> list[str]:
+    """Asset names ``asset:<kind>:<name>`` anywhere inside lists, tuples and dicts, each once, in order."""
+    found: dict[str, None] = {}
+    todo = [value]
+    while todo:
+        v = todo.pop()
+        if isinstance(v, str) and v.startswith("asset:"):
+            found[v.removeprefix("asset:")] = None
+        elif isinstance(v, Mapping):
+            todo += reversed([x for kv in v.items() for x in kv])
+        elif isinstance(v, (list, tuple)):
+            todo += reversed(v)
+    return list(found)
+
+
 def reserve_names(outputs: DataFrame, task: str, kind: str, name: str, order: Sequence[str], out: str = "asset_name") -> DataFrame:
     """Add ``out``: an output's own name, or ``<task>.<kind>[<index>]`` by order among the unnamed of its task and kind.
 

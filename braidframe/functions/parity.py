@@ -296,6 +296,18 @@ def redact(c: Column | str, secrets: Sequence[str], mask: str = "[redacted]") ->
     return out
 
 
+def merge_maps(first: Column | str, second: Column | str) -> Column:
+    """The entries of both maps; of equal keys the second map's value counts. A null map is empty."""
+    empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    a, b = F.coalesce(_c(first), empty), F.coalesce(_c(second), empty)
+    return F.map_concat(F.map_filter(a, lambda k, _: ~F.map_contains_key(b, k)), b)
+
+
+def redact_map(c: Column | str, keys: Sequence[str], secrets: Sequence[str] = (), mask: str = "[redacted]") -> Column:
+    """Values of the named keys replaced whole, known secrets in the others."""
+    return F.transform_values(_c(c), lambda k, v: F.when(k.isin(*keys), F.lit(mask)).otherwise(redact(v, secrets, mask)) if keys else redact(v, secrets, mask))
+
+
 def canonical_map(c: Column | str) -> Column:
     """A map as JSON text with sorted keys."""
     return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(_c(c)))))

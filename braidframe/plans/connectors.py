@@ -227,6 +227,14 @@ def fastq_stats(spark: SparkSession, d: str) -> DataFrame:
     return readers.read_stats(readers.fastq_records(lines), 20).select("file", "num_seqs", "sum_len", "min_len", "max_len")
 
 
+@query("SELECT lang || '.fastq' AS file, 2 * count(*) AS n_lines, count(*) AS n_records FROM documents WHERE lang IS NOT NULL GROUP BY 1")
+def fastq_quick_count(spark: SparkSession, d: str) -> DataFrame:
+    """Records by their header lines only."""
+    docs = table(spark, d, "documents").where("lang IS NOT NULL")
+    lines = docs.select(F.concat("lang", F.lit(".fastq")).alias("file"), F.explode(F.array(F.concat(F.lit("@r"), F.col("doc_id").cast("string")), F.lit("ACGT"))).alias("value"))
+    return readers.caret_records(lines)
+
+
 @query("""WITH m AS (SELECT CAST(row_number() OVER (ORDER BY n_name DESC) AS BIGINT) AS ordinal, n_nationkey FROM nation), t AS (SELECT c_nationkey, arg_max(c_name, c_custkey) AS c_name, max(c_custkey) AS c_custkey FROM customer GROUP BY 1)
 SELECT ordinal, n_nationkey, c_custkey, c_name FROM m JOIN t ON c_nationkey = n_nationkey""")
 def pinned_lookup(spark: SparkSession, d: str) -> DataFrame:
@@ -287,6 +295,27 @@ def float_division(spark: SparkSession, d: str) -> DataFrame:
     return o.select("o_orderkey", parity.divide("v", "w", by_zero="float").alias("ratio"))
 
 
+@query("""WITH v AS (SELECT DISTINCT version_id, coalesce(metadata, MAP {}) AS m, kind FROM asset_versions), e AS (SELECT version_id, kind, unnest(map_entries(m)) AS kv FROM v),
+a AS (SELECT version_id, kind, kv.key AS k, CASE WHEN kv.key IN ('note', 'rows') THEN '[redacted]' ELSE replace(kv.value, 'a', '*') END AS x FROM e WHERE kv.key <> 'kind' UNION ALL SELECT version_id, kind, 'kind', replace(kind, 'a', '*') FROM v)
+SELECT version_id, k, x, count(*) AS n FROM a WHERE x IS NOT NULL GROUP BY ALL""")
+def map_functions(spark: SparkSession, d: str) -> DataFrame:
+    """Maps merged, then values redacted by key and by content."""
+    v = table(spark, d, "asset_versions").select("version_id", F.coalesce("metadata", F.create_map().cast("map<string,string>")).alias("m"), "kind")
+    v = v.withColumn("m", F.array_sort(F.map_entries("m"))).distinct().withColumn("m", F.map_from_entries("m"))
+    own = F.create_map(F.lit("kind"), F.col("kind"))
+    shown = parity.redact_map(parity.merge_maps("m", own), ["note", "rows"], ["a"], "*")
+    marked = F.transform_values(shown, lambda k, x: F.when(k.isin("note", "rows"), "[redacted]").otherwise(x))
+    return v.select("version_id", F.explode(marked).alias("k", "x")).where("x IS NOT NULL").groupBy("version_id", "k", "x").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT DISTINCT t AS token, left(t, 1) = '-' AND t <> '-' AND TRY_CAST(t AS DOUBLE) IS NULL AS is_flag FROM (SELECT CASE ref_id % 4 WHEN 0 THEN '--' || kind WHEN 1 THEN '-' || ref_id WHEN 2 THEN kind ELSE '-' END AS t FROM asset_refs WHERE kind IS NOT NULL)")
+def flag_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """Which tokens of a command are options."""
+    rest, i = F.col("ref_id") % 4, F.col("ref_id").cast("string")
+    token = F.when(rest == 0, F.concat(F.lit("--"), "kind")).when(rest == 1, F.concat(F.lit("-"), i)).when(rest == 2, F.col("kind")).otherwise("-")
+    return table(spark, d, "asset_refs").where("kind IS NOT NULL").select(token.alias("token")).distinct().withColumn("is_flag", parity.looks_like_flag("token"))
+
+
 # --- fan-out --------------------------------------------------------------------------------------
 
 
@@ -325,3 +354,44 @@ def flow_of_branches(spark: SparkSession, d: str) -> DataFrame:
         return gathered(frames=list(calls))
 
     return pipeline.evaluate(steps.the_flow()())
+
+
+@query("""WITH p AS (SELECT o_orderpriority AS name, count(*) AS n, round_even(avg(o_totalprice), 2) AS mean FROM orders GROUP BY 1), m AS (SELECT max(n) AS most FROM p)
+SELECT name, n, CASE WHEN n = most THEN 'large' ELSE 'small' END AS route, CASE WHEN n = most THEN NULL ELSE mean END AS mean FROM p, m WHERE name <> '5-LOW'""")
+def routed_flow(spark: SparkSession, d: str) -> DataFrame:
+    """A flow that expands while it runs: one branch per value found, routed by a condition, one branch skipped, parts of results passed on."""
+    steps = pipeline.Registry()
+    orders = table(spark, d, "orders")
+
+    @steps.step()
+    def found():
+        rows = orders.groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n")).orderBy("o_orderpriority").collect()  # one row per priority
+        return [r["o_orderpriority"] for r in rows], max(r["n"] for r in rows)
+
+    @steps.step()
+    def summary(name):
+        if name == "5-LOW":
+            return None
+        return orders.where(F.col("o_orderpriority") == name).agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("n"), parity.round_half_even(F.avg("o_totalprice"), 2).alias("mean"))
+
+    @steps.step()
+    def routed(frame, most):
+        if frame is None:
+            return None
+        large = F.col("n") == most
+        return frame.select("name", "n", F.when(large, "large").otherwise("small").alias("route"), F.when(~large, F.col("mean")).alias("mean"))
+
+    @steps.step()
+    def expanded(names, most):
+        return [routed(frame=summary(name=n), most=most) for n in names]
+
+    @steps.step()
+    def gathered(frames):
+        return fanout.union_branches([f for f in fanout.flatten(frames) if f is not None]).drop(fanout.ORDINAL)
+
+    @steps.flow
+    def flow():
+        start = found()
+        return gathered(frames=expanded(names=start.output[0], most=start.output[1]))
+
+    return pipeline.evaluate(steps.the_flow()())

@@ -288,7 +288,7 @@ def null_last_sort(spark: SparkSession, d: str) -> DataFrame:
     return tabular.sort_nulls_last(table(spark, d, "resource_samples").distinct().select("sample_id", "base_name", "rss_bytes"), [("rss_bytes", False), ("sample_id", True)])
 
 
-@query("SELECT row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey)::INT AS ordinal, o_orderkey, o_totalprice, TRUE AS truncated FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 50")
+@query("SELECT row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey)::INT AS ordinal, o_orderkey, o_totalprice, (SELECT count(*) FROM orders) > 50 AS truncated FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 50")
 def preview_limit(spark: SparkSession, d: str) -> DataFrame:
     """A preview of 50 rows and whether there are more."""
     head = tabular.preview(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), 50, [F.col("o_totalprice").desc(), F.col("o_orderkey")])

@@ -28,17 +28,38 @@ def components(function: Callable, version: int, inputs: Mapping[str, Any], env:
     Inputs are asset version ids, plain values or tables. A table of files counts by its plan and by the
     path, size and time of each file; one made in memory, or of other sources, by its content.
     """
-    parts = {"function": f"{function.__module__}.{function.__qualname__}", "version": str(version), "env": env}
-    try:
-        parts["source"] = _sha(inspect.getsource(function))
-    except OSError:
-        parts["source"] = ""
+    parts = {"function": f"{function.__module__}.{function.__qualname__}", "version": str(version), "env": env, "source": source_closure(function)}
     for name in sorted(inputs):
         value = inputs[name]
         parts[f"input:{name}"] = table_identity(value) if isinstance(value, DataFrame) else f"{type(value).__name__}:{_sha(json.dumps(value, sort_keys=True, default=str))}"
     return parts
 
 
+def source_closure(function: Callable) -> str:
+    """Digest of the function's source and of all functions of the same top-level package that it names, and so on.
+
+    Functions whose source cannot be read count by name.
+    """
+    package = function.__module__.partition(".")[0]
+    seen: dict[str, str] = {}
+    todo = [function]
+    while todo:
+        f = inspect.unwrap(todo.pop())
+        name = f"{f.__module__}.{f.__qualname__}"
+        if name in seen:
+            continue
+        try:
+            seen[name] = inspect.getsource(f)
+        except (OSError, TypeError):
+            seen[name] = ""
+        code, scope = getattr(f, "__code__", None), getattr(f, "__globals__", {})
+        for n in code.co_names if code else ():
+            other = scope.get(n)
+            if inspect.isfunction(other) and other.__module__.partition(".")[0] == package:
+                todo.append(other)
+    return _sha(json.dumps(sorted(seen.items())))
+
+
 def table_identity(df: DataFrame) -> str:
     """Text that changes when the table's rows can have changed."""
     files = sorted(df.inputFiles())
@@ -88,19 +109,19 @@ class ResultCache:
     def run(self, function: Callable[..., DataFrame], *, version: int = 1, env: str = "", **inputs: Any) -> DataFrame:
         """The kept result of the same call, else call, keep and return it.
 
-        A kept table whose files are gone counts as a miss.
+        A kept table whose files are gone or of another size counts as a miss and is made again.
         """
         parts = components(function, version, inputs, env)
         key = cache_key(parts)
         row = self.entries().where(F.col("cache_key") == key).first()
-        if row is not None and self._exists(row["path"] + "/_SUCCESS"):
+        if row is not None and self._exists(row["path"] + "/_SUCCESS") and self._size(row["path"]) == row["size"]:
             self.hits += 1
             return self.spark.read.schema(StructType.fromJson(json.loads(row["schema"]))).parquet(row["path"])
         self.misses += 1
         result = function(**inputs)
         aside, path = f"{self.root}/aside/{uuid.uuid4().hex}", f"{self.root}/data/{key}"
         result.write.parquet(aside)
-        if self._exists(path) and not self._exists(path + "/_SUCCESS"):
+        if self._exists(path):  # what is there did not count as a hit
             self._fs(path).delete(self.spark._jvm.org.apache.hadoop.fs.Path(path), True)
         move_once(self.spark, aside, path)
         kept = self.spark.read.schema(result.schema).parquet(path)

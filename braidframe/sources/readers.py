@@ -84,6 +84,11 @@ def fastq_records(lines: DataFrame, numbered: str = "n") -> DataFrame:
     return lines.groupBy("file", F.floor(F.col(numbered) / 4).alias("read")).agg(pick(0).alias("header"), pick(1).alias("sequence"), pick(3).alias("quality"))
 
 
+def caret_records(lines: DataFrame) -> DataFrame:
+    """(file, n_lines, n_records): records by the lines that start with ``@``, as a quick count; quality lines may start so too."""
+    return lines.groupBy("file").agg(F.count(F.lit(1)).alias("n_lines"), F.count_if(F.col("value").startswith("@")).alias("n_records"))
+
+
 def read_stats(records: DataFrame, least_length: int = 0) -> DataFrame:
     """Per file: number, total, least, mean and greatest length of the reads with at least ``least_length`` bases."""
     n = F.length("sequence")
@@ -108,11 +113,18 @@ def random_table(spark: SparkSession, rows: int, columns: int, seed: int = 0) ->
 
 
 def load_config(*paths: str) -> dict[str, Any]:
-    """TOML or JSON files, shallowly merged: of equal top keys the last file's counts."""
+    """TOML, JSON or YAML files, shallowly merged: of equal top keys the last file's counts. YAML needs its package."""
     out: dict[str, Any] = {}
     for p in paths:
         with open(p, "rb") as f:
-            out.update(json.load(f) if p.endswith(".json") else tomllib.load(f))
+            if p.endswith((".yaml", ".yml")):
+                try:
+                    import yaml
+                except ImportError:
+                    raise ValueError(f"{p}: YAML cannot be read here") from None
+                out.update(yaml.safe_load(f) or {})
+            else:
+                out.update(json.load(f) if p.endswith(".json") else tomllib.load(f))
     return out
 
 

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from braidframe.catalog import Asset, Catalog, CheckFailed, array_asset, model_asset, reserve_names, text_asset
+from braidframe.catalog import Asset, Catalog, CheckFailed, array_asset, model_asset, nested_references, reserve_names, text_asset
 from braidframe.resultcache import ResultCache
 from braidframe.sources import sinks
 
@@ -109,6 +109,31 @@ def test_changed_files_miss(spark, tmp_path):
     assert cache.clear() == 4 and cache.entries().count() == 0
 
 
+def helper(n):
+    return n
+
+
+def test_source_closure_and_damaged_entries(spark, tmp_path, monkeypatch):
+    from braidframe import resultcache
+
+    def step(n):
+        return spark.range(helper(n))
+
+    before = resultcache.source_closure(step)
+    monkeypatch.setitem(globals(), "helper", lambda n: n + 1)
+    assert resultcache.source_closure(step) != before
+    cache = ResultCache(spark, str(tmp_path))
+    cache.run(step, n=3)
+    victim = next(p for p in (tmp_path / "data").rglob("*.parquet") if p.stat().st_size)
+    victim.unlink()
+    assert cache.run(step, n=3).count() == 4 and cache.misses == 2
+    assert cache.run(step, n=3).count() == 4 and cache.hits == 1
+
+
+def test_nested_references():
+    assert nested_references({"a": ["asset:table:x", ("asset:text:y", 3)], "b": {"c": "asset:table:x"}, "asset:model:k": None}) == ["table:x", "text:y", "model:k"]
+
+
 def test_tables_as_inputs(spark, tmp_path):
     cache = ResultCache(spark, str(tmp_path))
     step = lambda d: d.where("id > 0")

@@ -169,3 +169,23 @@ def test_what_fits():
     assert pipeline.place(make("a", 2), {"cores": 4}, False) == "local" and pipeline.place(make("a", 8), {"cores": 4}, True) == "remote"
     with pytest.raises(ValueError, match="cores"):
         pipeline.place(make("a", 8), {"cores": 4}, False)
+
+
+def test_validation_before_running():
+    r, add, _, _ = registry()
+    a = add(a=1)
+    b, lost = add(a=a), add(a=5)
+    assert pipeline.validate(r, b) == [] and "not used" in pipeline.validate(r, b, constructed=[a, b, lost])[0]
+    other = pipeline.Registry()
+    assert "not a registered step" in pipeline.validate(other, b)[0]
+
+    @r.step(threads=4, memory_gb=2, custom={"lic": 1}, priority=3)
+    def big():
+        return 1
+
+    assert pipeline.validate(r, big(), {"threads": 2, "memory_gb": 8}) == ["%s: threads 4 exceeds 2" % big.name, "%s: no budget for lic" % big.name]
+    assert big.ready(group="g") == pipeline.Ready(big.name, 4, 2, 0, "g", 3, {"lic": 1})
+    args = {}
+    loop = pipeline.Call(add, args)
+    args["a"] = loop
+    assert "itself" in pipeline.validate(r, loop)[0]

@@ -87,3 +87,9 @@ def test_micros_do_not_depend_on_the_zone(spark, zone):
         assert {r[0] for r in df.select(epoch_micros("t")).collect()} == {1741487400123456, -500000, None}
     finally:
         spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_maps(spark):
+    rows = [({"a": "1", "b": "2"}, {"b": "3"}), (None, {"x": "key"}), ({"x": "key"}, None)]
+    assert values(spark, parity.merge_maps("m", "n"), rows, "m map<string,string>, n map<string,string>") == [{"a": "1", "b": "3"}, {"x": "key"}, {"x": "key"}]
+    assert values(spark, parity.redact_map("m", ["b"], ["1"]), rows[:2], "m map<string,string>, n map<string,string>") == [{"a": "[redacted]", "b": "[redacted]"}, None]
