@@ -265,6 +265,36 @@ def glob_to_regex(pattern: str) -> str:
     return "(?s)^" + "".join(out) + "$"
 
 
+# Sub-kinds of path outputs by kind of asset and suffix.
+SUB_KINDS = {
+    "table": {".csv": "csv", ".tsv": "tsv"},
+    "fig": {".png": "png", ".svg": "svg", ".html": "html", ".htm": "html"},
+}
+
+
+def sub_kind(kind: Column | str, path: Column | str) -> Column:
+    """Sub-kind of a path kept as an asset of a kind; null where the kind does not take such a path."""
+    known = {f"{k}|{suf}": name for k, table in SUB_KINDS.items() for suf, name in table.items()}
+    return map_values(F.concat_ws("|", _c(kind), F.lower(suffix(path))), known)
+
+
+def html_table_row(*cells: Column) -> Column:
+    """A table row with its cells escaped; null cells are empty."""
+    out = [F.lit("<tr>")]
+    for c in cells:
+        text = F.coalesce(c.cast("string"), F.lit(""))
+        for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+            text = F.replace(text, F.lit(raw), F.lit(safe))
+        out += [F.lit("<td>"), text, F.lit("</td>")]
+    return F.concat(*out, F.lit("</tr>"))
+
+
+def byte_window(c: Column | str, start: Column | int, n: int) -> Column:
+    """``n`` bytes of a text or binary from the zero-based position ``start``; shorter at the end."""
+    at = F.lit(start) if isinstance(start, int) else start
+    return F.call_function("substring", _c(c).cast("binary"), (at + 1).cast("int"), F.lit(n))
+
+
 def first_glob(c: Column | str, patterns: Mapping[str, str]) -> Column:
     """The value of the pattern that matches: an equal name first, then the first pattern in order; else null."""
     exact = [(_c(c) == p, v) for p, v in patterns.items()]

@@ -166,6 +166,110 @@ def closest_names(spark: SparkSession, d: str) -> DataFrame:
 QUERIES["closest_names"] = closest_names
 
 
+# --- runs, outputs and reports --------------------------------------------------------------------
+
+_TASKS = "(SELECT DISTINCT run_id, node_id, task_run_id, status, cached, started_at, finished_at, base_name, exit_code FROM task_runs WHERE run_id IS NOT NULL)"
+
+
+@query(f"""SELECT run_id, count(*) AS n, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'running') AS running, count(*) FILTER (coalesce(cached, FALSE)) AS cached, min(started_at) AS started_at, max(finished_at) AS finished_at,
+CASE WHEN count(*) FILTER (status = 'failed') > 0 THEN 'failed' WHEN count(*) FILTER (status = 'running') > 0 THEN 'running' ELSE 'succeeded' END AS state FROM {_TASKS} GROUP BY 1""")
+def inspect_run(spark: SparkSession, d: str) -> DataFrame:
+    """A snapshot of every run."""
+    r = table(spark, d, "task_runs").where("run_id IS NOT NULL").select("run_id", "node_id", "task_run_id", "status", "cached", "started_at", "finished_at", "base_name", "exit_code").distinct()
+    failed, running = F.count_if(F.col("status") == "failed"), F.count_if(F.col("status") == "running")
+    state = F.when(F.col("failed") > 0, "failed").when(F.col("running") > 0, "running").otherwise("succeeded")
+    out = r.groupBy("run_id").agg(F.count(F.lit(1)).alias("n"), failed.alias("failed"), running.alias("running"), F.count_if(F.coalesce("cached", F.lit(False))).alias("cached"), F.min("started_at").alias("started_at"), F.max("finished_at").alias("finished_at"))
+    return out.withColumn("state", state)
+
+
+@query(f"""WITH l AS (SELECT run_id, arg_max(text, {{'a': created_at, 'b': doc_id}}) AS log FROM documents WHERE run_id IS NOT NULL AND text IS NOT NULL AND created_at IS NOT NULL GROUP BY 1),
+b AS (SELECT t.task_run_id, t.run_id, t.base_name, t.exit_code, string_split(CASE WHEN right(log, 1) = chr(10) THEN left(log, length(log) - 1) ELSE log END, chr(10)) AS l FROM {_TASKS} t LEFT JOIN l USING (run_id) WHERE t.status = 'failed')
+SELECT DISTINCT task_run_id, run_id, base_name, exit_code, CASE WHEN l IS NOT NULL THEN array_to_string(l[greatest(len(l) - 1, 1):len(l)], chr(10)) END AS log_tail FROM b""")
+def debug_failures(spark: SparkSession, d: str) -> DataFrame:
+    """Failed tasks with the end of their run's newest log."""
+    from braidframe.sources.readers import tail_lines
+
+    logs = table(spark, d, "documents").where("run_id IS NOT NULL AND text IS NOT NULL AND created_at IS NOT NULL")
+    newest = logs.groupBy("run_id").agg(F.max_by(tail_lines("text", 2), F.struct("created_at", "doc_id")).alias("log_tail"))
+    r = table(spark, d, "task_runs").where("status = 'failed' AND run_id IS NOT NULL").select("task_run_id", "run_id", "base_name", "exit_code").distinct()
+    return r.join(newest, "run_id", "left").select("task_run_id", "run_id", "base_name", "exit_code", "log_tail")
+
+
+@query("""SELECT DISTINCT ref_id, kind, lower(regexp_extract(regexp_extract(artifact_path, '[^/]*$'), '^.+([.][^.]+)$', 1)) AS suffix,
+CASE WHEN kind = 'table' THEN CASE lower(regexp_extract(regexp_extract(artifact_path, '[^/]*$'), '^.+([.][^.]+)$', 1)) WHEN '.csv' THEN 'csv' WHEN '.tsv' THEN 'tsv' END
+WHEN kind = 'fig' THEN CASE lower(regexp_extract(regexp_extract(artifact_path, '[^/]*$'), '^.+([.][^.]+)$', 1)) WHEN '.png' THEN 'png' WHEN '.svg' THEN 'svg' WHEN '.html' THEN 'html' WHEN '.htm' THEN 'html' END END AS sub_kind FROM asset_refs""")
+def sub_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """What a path output is, by kind and suffix."""
+    return table(spark, d, "asset_refs").select("ref_id", "kind", F.lower(parity.suffix("artifact_path")).alias("suffix"), parity.sub_kind("kind", "artifact_path").alias("sub_kind")).distinct()
+
+
+@query("""SELECT task_run_id, i::INT AS position, a.name AS name, a.asset_key AS asset_key, a.version_id IS NOT NULL AND trim(a.version_id) <> '' AS present
+FROM (SELECT DISTINCT task_run_id, assets, unnest(assets) AS a, generate_subscripts(assets, 1) - 1 AS i FROM task_runs)""")
+def output_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Every output of every task in order, absent ones too."""
+    r = table(spark, d, "task_runs").select("task_run_id", "assets").distinct()
+    o = r.select("task_run_id", F.posexplode("assets").alias("position", "a"))
+    present = F.coalesce(F.trim("a.version_id") != "", F.lit(False))
+    return o.select("task_run_id", "position", "a.name", "a.asset_key", present.alias("present"))
+
+
+@query("""SELECT 'table' AS kind, count(*) AS total, least(count(*), 50) AS shown, count(*) > 50 AS truncated FROM orders
+UNION ALL SELECT 'text', count(*), count(*) FILTER (strlen(text) <= 4096), bool_or(strlen(text) > 4096) FROM documents WHERE text IS NOT NULL""")
+def report_preview(spark: SparkSession, d: str) -> DataFrame:
+    """How much of each kind a report shows: fifty rows of a table, four KiB of a text (the limits are the feature)."""
+    rows = tabular.preview(table(spark, d, "orders").select("o_orderkey"), 50, [F.col("o_orderkey")]).agg(F.count(F.lit(1)).alias("shown"), F.coalesce(F.bool_or("truncated"), F.lit(False)).alias("truncated"))
+    orders = table(spark, d, "orders").agg(F.count(F.lit(1))).scalar()
+    long = F.octet_length("text") > 4096
+    texts = table(spark, d, "documents").where("text IS NOT NULL").agg(F.count(F.lit(1)).alias("total"), F.count_if(~long).alias("shown"), F.bool_or(long).alias("truncated"))
+    return rows.select(F.lit("table").alias("kind"), orders.alias("total"), "shown", "truncated").unionByName(texts.select(F.lit("text").alias("kind"), "total", "shown", "truncated"))
+
+
+@query("""SELECT '<table><tr><th>segment</th><th>n</th></tr>' || string_agg('<tr><td>' || segment || '</td><td>' || n || '</td></tr>', '' ORDER BY n DESC, segment) || '</table>' AS document
+FROM (SELECT c_mktsegment || ' <&>' AS raw, replace(replace(replace(c_mktsegment || ' <&>', '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS segment, count(*) AS n FROM customer GROUP BY ALL)""")
+def html_report_table(spark: SparkSession, d: str) -> DataFrame:
+    """A report's table as HTML, escaped."""
+    from braidframe.sources import sinks
+
+    c = table(spark, d, "customer").groupBy(F.concat("c_mktsegment", F.lit(" <&>")).alias("segment")).agg(F.count(F.lit(1)).alias("n"))
+    return sinks.html_table(c, [-F.col("n"), F.col("segment")])
+
+
+@query("SELECT doc_id, hex(encode(text)[doc_id % 64 + 1:doc_id % 64 + 16]) AS bytes FROM documents WHERE text IS NOT NULL AND strlen(text) >= 80")
+def byte_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Sixteen bytes of each text from a position of its own."""
+    docs = table(spark, d, "documents").where("text IS NOT NULL AND octet_length(text) >= 80")
+    return docs.select("doc_id", F.hex(parity.byte_window("text", F.col("doc_id") % 64, 16)).alias("bytes"))
+
+
+@query("""SELECT 'orders ' || (SELECT count(*) FROM orders) || chr(10) || string_agg('- ' || o_orderpriority || ': ' || n, chr(10) ORDER BY o_orderpriority) AS document FROM (SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY 1)""")
+def brief_document(spark: SparkSession, d: str) -> DataFrame:
+    """A brief: the number of rows, then a line for each group."""
+    from braidframe.sources import sinks
+
+    o = table(spark, d, "orders")
+    counts = o.groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
+    total = o.agg(F.count(F.lit(1)).alias("n")).select(F.lit(0).alias("i"), F.lit("").alias("key"), F.concat(F.lit("orders "), F.col("n").cast("string")).alias("line"))
+    lines = total.unionByName(counts.select(F.lit(1).alias("i"), F.col("o_orderpriority").alias("key"), F.concat(F.lit("- "), F.col("o_orderpriority"), F.lit(": "), F.col("n").cast("string")).alias("line")))
+    return sinks.lines_document(lines, F.col("line"), [F.col("i"), F.col("key")])
+
+
+@query("""SELECT DISTINCT mat_id, CASE WHEN m = 'stream' AND mat_id % 11 = 0 THEN 'stage' ELSE m END AS mode FROM (SELECT mat_id, CASE WHEN mat_id % 5 = 0 THEN 'stream' WHEN mat_id % 7 = 0 THEN 'stage' WHEN path LIKE '%.npy' THEN 'stage' WHEN size >= 2000000 THEN 'stream' ELSE 'auto' END AS m FROM materializations)""")
+def access_mode_cascade(spark: SparkSession, d: str) -> DataFrame:
+    """How an input is read: by reference, task, pattern, size, default; staged where streaming is not available."""
+    i = F.col("mat_id")
+    explicit, task = F.when(i % 5 == 0, "stream"), F.when(i % 7 == 0, "stage")
+    pattern = F.when(F.col("path").endswith(".npy"), "stage")
+    mode = parity.access_mode(explicit, task, pattern, F.col("size"), F.lit("auto"), large=2_000_000, available=i % 11 != 0)
+    return table(spark, d, "materializations").select("mat_id", mode.alias("mode")).distinct()
+
+
+@query("""SELECT kind, storage_backend, count(*) AS n_files, CAST(coalesce(sum(size), 0) AS BIGINT) AS bytes, count(*) FILTER (deleted_at IS NOT NULL) AS n_deleted FROM (SELECT DISTINCT artifact_id, kind, storage_backend, size, deleted_at FROM artifacts) GROUP BY ALL""")
+def transfer_counters(spark: SparkSession, d: str) -> DataFrame:
+    """Objects and bytes by kind and backend."""
+    a = table(spark, d, "artifacts").select("artifact_id", "kind", "storage_backend", "size", "deleted_at").distinct()
+    return a.groupBy("kind", "storage_backend").agg(F.count(F.lit(1)).alias("n_files"), tabular.sum0(F.col("size")).alias("bytes"), F.count("deleted_at").alias("n_deleted"))
+
+
 # --- streams (extensions) -------------------------------------------------------------------------
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import html
 import json
 import uuid
 from collections.abc import Callable, Sequence
@@ -52,6 +53,16 @@ def markdown_table(df: DataFrame, order: Sequence[Column], out: str = "document"
     return df.agg(F.array_join(F.concat(F.array(*[F.lit(h) for h in head]), lines), "\n").alias(out))
 
 
+def html_table(df: DataFrame, order: Sequence[Column], out: str = "document") -> DataFrame:
+    """A small table as an HTML table."""
+    from braidframe.functions.parity import html_table_row
+
+    row = html_table_row(*[F.col(c) for c in df.columns])
+    lines = F.transform(F.array_sort(F.collect_list(F.struct(F.struct(*order).alias("o"), row.alias("c")))), lambda x: x["c"])
+    head = "<table><tr>" + "".join(f"<th>{html.escape(c)}</th>" for c in df.columns) + "</tr>"
+    return df.agg(F.concat(F.lit(head), F.array_join(lines, ""), F.lit("</table>")).alias(out))
+
+
 def lines_document(df: DataFrame, line: Column, order: Sequence[Column], out: str = "document") -> DataFrame:
     """One line per row, joined in order: a manifest or brief of bounded length."""
     lines = F.transform(F.array_sort(F.collect_list(F.struct(F.struct(*order).alias("o"), line.alias("c")))), lambda x: x["c"])

@@ -189,3 +189,20 @@ def test_validation_before_running():
     loop = pipeline.Call(add, args)
     args["a"] = loop
     assert "itself" in pipeline.validate(r, loop)[0]
+
+
+def test_retries_by_exit_code():
+    class Failed(RuntimeError):
+        def __init__(self, code):
+            self.exit_code = code
+
+    codes = [137, 137, 1]
+    r = pipeline.Registry()
+
+    @r.step(retries=5, retry_on=(RuntimeError,), retry_on_codes=frozenset({137}))
+    def run():
+        raise Failed(codes.pop(0))
+
+    with pytest.raises(Failed) as e:
+        pipeline.evaluate(run(), sleep=lambda _: None)
+    assert e.value.exit_code == 1 and codes == []
