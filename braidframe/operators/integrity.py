@@ -9,8 +9,9 @@ from braidframe.functions.time import epoch_micros
 
 #: A parent that was never deleted lives until here (microseconds).
 FOREVER = (1 << 63) - 1
-#: Lives that ended are cut along time in units of 2**UNIT_BITS microseconds, 3.2 days.
-UNIT_BITS = 38
+#: Lives that ended are cut along time in units of 2**38 microseconds (3.2 days), and what is left of them in
+#: units of 2**32 (71 minutes); a word has 64 units.
+UNIT_BITS = (38, 32)
 
 _ID = ["parent", "target_id"]
 
@@ -42,28 +43,33 @@ def parents(df: DataFrame, parent: str, key: str, created: str, deleted: str) ->
     )
 
 
-def _whole_units(mortal: DataFrame) -> DataFrame:
+def _in_units(lives: DataFrame, bits: int) -> DataFrame:
+    """Lives with the first whole unit inside them (lo) and the one behind the last (hi); lo > hi for lives inside one unit."""
+    return lives.select(*_ID, "born", "died", F.shiftright(F.col("born") + ((1 << bits) - 1), bits).alias("lo"), F.shiftright("died", bits).alias("hi"))
+
+
+def _whole_units(lives: DataFrame, bits: int) -> DataFrame:
     """(parent, target_id, word, mask): the whole units that some life covers, 64 to a word."""
     first, behind = F.col("lo"), F.col("hi")
-    d = mortal.where(first < behind).select(*_ID, "lo", "hi", F.explode(F.sequence(F.shiftright(first, 6), F.shiftright(behind - 1, 6))).alias("word"))
+    d = _in_units(lives, bits).where(first < behind).select(*_ID, "lo", "hi", F.explode(F.sequence(F.shiftright(first, 6), F.shiftright(behind - 1, 6))).alias("word"))
     low, high = F.greatest(first - F.shiftleft("word", 6), F.lit(0)), F.least(behind - F.shiftleft("word", 6), F.lit(64))
     ones = F.call_function("shiftrightunsigned", F.lit(-1).cast("bigint"), (F.lit(64) - (high - low)).cast("int"))
     return d.groupBy(*_ID, "word").agg(F.bit_or(F.call_function("shiftleft", ones, low.cast("int"))).alias("mask"))
 
 
-def _part_units(mortal: DataFrame) -> DataFrame:
-    """(parent, target_id, unit, since, until): what lives cover of units that they do not fill."""
-    piece = lambda unit, since, until: F.struct(unit.alias("unit"), since.alias("since"), until.alias("until"))
+def _part_units(lives: DataFrame, bits: int) -> DataFrame:
+    """(parent, target_id, born, died): what is left of lives without their whole units; each piece lies in one unit."""
+    piece = lambda since, until: F.struct(since.alias("born"), until.alias("died"))
     lo, hi, born, died = (F.col(c) for c in ("lo", "hi", "born", "died"))
-    start, stop = F.shiftleft(lo, UNIT_BITS), F.shiftleft(hi, UNIT_BITS)
+    start, stop = F.shiftleft(lo, bits), F.shiftleft(hi, bits)
     pieces = F.array_compact(
         F.array(
-            F.when((lo <= hi) & (born < start), piece(lo - 1, born, start)),
-            F.when((lo <= hi) & (stop < died), piece(hi, stop, died)),
-            F.when(lo > hi, piece(hi, born, died)),
+            F.when((lo <= hi) & (born < start), piece(born, start)),
+            F.when((lo <= hi) & (stop < died), piece(stop, died)),
+            F.when(lo > hi, piece(born, died)),
         )
     )
-    return mortal.select(*_ID, F.inline(pieces)).groupBy(*_ID, "unit", "since").agg(F.max("until").alias("until"))
+    return _in_units(lives, bits).select(*_ID, F.inline(pieces))
 
 
 def _without(keys: DataFrame, lives: DataFrame, on: list[str], alive) -> DataFrame:
@@ -78,25 +84,28 @@ def _without(keys: DataFrame, lives: DataFrame, on: list[str], alive) -> DataFra
 def orphan_keys(refs: DataFrame, targets: DataFrame) -> DataFrame:
     """Distinct (parent, target_id, at) that no live record answers.
 
-    The distinct non-null keys are left-anti-joined to the parents' lives three times, each time to a
-    table with few rows for a key, so no join multiplies a hot id's references by its records:
+    The distinct non-null keys are left-anti-joined to the parents' lives, each time to a table with few
+    rows for a key, so no join multiplies a hot id's references by its records:
 
     1. ids whose records include one never deleted, by the birth of the earliest such (one row per id);
-    2. lives that ended, in whole units of 2**UNIT_BITS microseconds (a bit of a word each);
-    3. the rest of those lives, by unit.
+    2. lives that ended, in whole units of each size of UNIT_BITS (one word for 64 units of an id);
+    3. the pieces of those lives that fill no unit of the smallest size, by unit.
 
     Whatever remains was never registered, came later or was deleted. Null or blank ids are no
     references. A reference without time finds no live record. A parent without birth time is never
     alive; equal times count as born (``born <= at < died``).
     """
-    keys = refs.where(F.col("target_id").isNotNull()).select("parent", "target_id", "at").distinct()
-    keys = keys.withColumn("t", epoch_micros("at")).withColumn("unit", F.shiftright("t", UNIT_BITS)).withColumn("word", F.shiftright("unit", 6))
+    left = refs.where(F.col("target_id").isNotNull()).select("parent", "target_id", "at").distinct().withColumn("t", epoch_micros("at"))
     lives = targets.where(F.col("target_id").isNotNull() & (F.col("born") < F.col("died")))
     undying = lives.where(F.col("died") == FOREVER).groupBy(*_ID).agg(F.min("born").alias("since"))
-    mortal = lives.where(F.col("died") < FOREVER).select("*", F.shiftright(F.col("born") + ((1 << UNIT_BITS) - 1), UNIT_BITS).alias("lo"), F.shiftright("died", UNIT_BITS).alias("hi"))
-    left = _without(keys, undying, _ID, F.col("t") >= F.col("__since"))
-    left = _without(left, _whole_units(mortal), [*_ID, "word"], F.getbit("__mask", F.pmod("unit", F.lit(64)).cast("int")) == 1)
-    left = _without(left, _part_units(mortal), [*_ID, "unit"], (F.col("t") >= F.col("__since")) & (F.col("t") < F.col("__until")))
+    left = _without(left, undying, _ID, F.col("t") >= F.col("__since"))
+    pieces = lives.where(F.col("died") < FOREVER)
+    for bits in UNIT_BITS:
+        left = left.withColumn("unit", F.shiftright("t", bits)).withColumn("word", F.shiftright("unit", 6))
+        left = _without(left, _whole_units(pieces, bits), [*_ID, "word"], F.getbit("__mask", F.pmod("unit", F.lit(64)).cast("int")) == 1)
+        pieces = _part_units(pieces, bits)
+    rest = pieces.groupBy(*_ID, F.shiftright("born", bits).alias("unit"), "born").agg(F.max("died").alias("died"))
+    left = _without(left, rest, [*_ID, "unit"], (F.col("t") >= F.col("__born")) & (F.col("t") < F.col("__died")))
     return left.select("parent", "target_id", "at")
 
 
