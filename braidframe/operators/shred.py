@@ -121,8 +121,12 @@ def step_name(key: str) -> str:
     return key.replace("~", "~0").replace("/", "~1").replace("#", "~2")
 
 
-def _walk(root, matcher: _Matcher, with_content: bool) -> Iterator[tuple]:
-    """Node rows in document order: (node, parent, label, ordinal, kind, scalar, entity, path, content, home, rel)."""
+def _walk(root, matcher: _Matcher, made: set[str]) -> Iterator[tuple]:
+    """Node rows in document order: (node, parent, label, ordinal, kind, scalar, entity, path, content, home, rel).
+
+    Of label, scalar, content and rel only those in ``made`` are filled.
+    """
+    with_label, with_scalar, with_content, with_rel = (c in made for c in ("label", "scalar", "content", "rel"))
     node = 0
     # value, its parent's number, label, ordinal, state, path, rule met, number of the nearest entity, steps from there
     todo = [(root, None, None, 0, matcher.start, "", -1, None, None)]
@@ -130,13 +134,13 @@ def _walk(root, matcher: _Matcher, with_content: bool) -> Iterator[tuple]:
         value, parent, label, ordinal, state, path, hit, home, steps = todo.pop()
         k = jsontext.kind(value)
         box = k == "object" or k == "array"
-        scalar = None if box or value is None else jsontext.clean(value) if k == "string" else str(value).lower() if k == "boolean" else str(value)
+        scalar = None if box or value is None or not with_scalar else jsontext.clean(value) if k == "string" else str(value).lower() if k == "boolean" else str(value)
         content = jsontext.dump(_own(value, state, matcher)) if with_content and box and hit >= 0 else None
         rel = jsontext.clean("/".join(steps)) if steps and hit < 0 else None
-        yield node, parent, None if label is None else jsontext.clean(label), ordinal, k, scalar, matcher.rules[hit].name if hit >= 0 else None, jsontext.clean(path) if hit >= 0 else None, content, home, rel
+        yield node, parent, None if label is None or not with_label else jsontext.clean(label), ordinal, k, scalar, matcher.rules[hit].name if hit >= 0 else None, jsontext.clean(path) if hit >= 0 else None, content, home, rel
         if box:
             near, base = (node, ()) if hit >= 0 else (home, steps)
-            if base is not None and len(base) >= REACH:
+            if not with_rel or (base is not None and len(base) >= REACH):
                 base = None
             start = f"{path}/" if path else ""
             kids = []
@@ -185,7 +189,7 @@ def shred(df: DataFrame, key: str, text: str, rules: tuple[Entity, ...], *, colu
     docs = docs.repartition(task_count(df.sparkSession), "__key", "__doc").distinct()
     key_type = df.schema[key].dataType
     made = [(i, *c) for i, c in enumerate(_NODE) if columns is None or c[0] in columns]
-    content = any(n == "content" for _, n, _, _ in made)
+    names = {n for _, n, _, _ in made}
     ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,7 +201,7 @@ def shred(df: DataFrame, key: str, text: str, rules: tuple[Entity, ...], *, colu
                     root = jsontext.read(text_.as_py())
                 except ValueError:
                     continue
-                for row in _walk(root, matcher, content):
+                for row in _walk(root, matcher, names):
                     rows.append(row)
                     at.append(i)
                     if len(rows) >= _FLUSH_ROWS:

@@ -86,7 +86,7 @@ def _nodes(spark: SparkSession, d: str, *columns: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Tasks, assets and items of all manifests with their own and their parent's path."""
-    return shred.parent_links(_nodes(spark, d, "node", "parent", "label", "entity", "path", "home"), "manifest_id").select("manifest_id", "node_path", "parent_path").distinct()
+    return shred.parent_links(_nodes(spark, d, "node", "parent", "entity", "path", "home"), "manifest_id").select("manifest_id", "node_path", "parent_path").distinct()
 
 
 P2_FOUND_SQL = """
