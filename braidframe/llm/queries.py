@@ -31,8 +31,12 @@ def _day_sketches(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_merge_check(spark: SparkSession, d: str) -> DataFrame:
-    """Percentiles from the merged sketches of days against those from one sketch of all rows: they are the same."""
-    merged = sketch.percentiles(sketch.merge(_day_sketches(spark, d), _P3_KEYS), _P3_KEYS)
+    """Percentiles from the merged sketches of days against those from one sketch of all rows: they are the same.
+
+    Days are merged to months and those to the whole, so no task reads a name's sketches of all days.
+    """
+    months = sketch.merge(_day_sketches(spark, d).withColumn("month", F.trunc("day", "month")), [*_P3_KEYS, "month"])
+    merged = sketch.percentiles(sketch.merge(months, _P3_KEYS), _P3_KEYS)
     direct = p3_percentiles(spark, d)
     tag = lambda t, name: t.select(*_P3_KEYS, "q", F.struct("n", "code").alias(name))
     both = tag(merged, "m").unionByName(tag(direct, "d"), allowMissingColumns=True).groupBy(*_P3_KEYS, "q").agg(F.max("m").alias("m"), F.max("d").alias("d"))
