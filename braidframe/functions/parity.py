@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import difflib
 from collections.abc import Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -357,9 +359,20 @@ def fingerprint(*parts: Column) -> Column:
 
 
 def closest(c: Column | str, names: Sequence[str], most: int = 3, cutoff: float = 0.4) -> Column:
-    """Up to ``most`` of the names that resemble a text, best first, by edit distance over the longer length."""
+    """Up to ``most`` of the names that resemble a text, best first, by edit distance over the longer length; null for null."""
     text = _c(c)
     scored = F.array(*[F.struct((1 - divide(F.levenshtein(text, F.lit(n)).cast("double"), F.greatest(F.length(text), F.lit(len(n))).cast("double"), F.lit(0.0))).alias("s"), F.lit(n).alias("n")) for n in names])
     near = F.filter(scored, lambda x: x["s"] >= cutoff)
     ranked = F.array_sort(near, lambda a, b: F.when(a["s"] > b["s"], -1).when(a["s"] < b["s"], 1).when(a["n"] < b["n"], -1).when(a["n"] > b["n"], 1).otherwise(0))
-    return F.transform(F.slice(ranked, 1, most), lambda x: x["n"])
+    return F.when(text.isNotNull(), F.transform(F.slice(ranked, 1, most), lambda x: x["n"]))
+
+
+def close_matches(c: Column | str, names: Sequence[str], most: int = 3, cutoff: float = 0.4) -> Column:
+    """The same by Python's ``difflib``, whose measure no built-in expression has; for tables of distinct names."""
+    known = list(names)
+
+    @F.pandas_udf("array<string>")
+    def find(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else difflib.get_close_matches(t, known, most, cutoff))
+
+    return find(_c(c))

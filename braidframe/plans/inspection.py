@@ -156,16 +156,28 @@ def redact_values(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "task_runs").select("task_run_id", parity.redact("name", ["core", "modules"]).alias("name")).distinct()
 
 
+_KNOWN = ["align_panel", "trim_reads", "rank_compounds", "fold_counts", "plan_lanes"]
+
+
 def closest_names(spark: SparkSession, d: str) -> DataFrame:
-    """Names that resemble a mistyped one (edit distance; no oracle, since the reference's measure differs)."""
-    known = ["align_panel", "trim_reads", "rank_compounds", "fold_counts", "plan_lanes"]
+    """Names that resemble a mistyped one, as Python's difflib finds them (no oracle: SQL lacks the measure)."""
     names = table(spark, d, "task_runs").select("base_name").distinct()
-    return names.select("base_name", F.array_join(parity.closest("base_name", known), ",").alias("closest"))
+    return names.select("base_name", F.array_join(parity.close_matches("base_name", _KNOWN), ",").alias("closest"))
 
 
 QUERIES["closest_names"] = closest_names
 
 
+@query(f"""WITH n AS (SELECT DISTINCT base_name FROM task_runs), k AS (SELECT unnest({_KNOWN}) AS known),
+s AS (SELECT base_name, known, 1 - levenshtein(base_name, known) / greatest(length(base_name), length(known))::DOUBLE AS s FROM n, k WHERE base_name IS NOT NULL),
+t AS (SELECT * FROM s WHERE s >= 0.4 QUALIFY row_number() OVER (PARTITION BY base_name ORDER BY s DESC, known) <= 3)
+SELECT n.base_name, string_agg(known, ',' ORDER BY s DESC, known) AS nearest FROM n JOIN t ON t.base_name = n.base_name GROUP BY 1""")
+def nearest_names(spark: SparkSession, d: str) -> DataFrame:
+    """The same by edit distance, without Python."""
+    names = table(spark, d, "task_runs").select("base_name").distinct()
+    return names.select("base_name", F.array_join(parity.closest("base_name", _KNOWN), ",").alias("nearest")).where("nearest <> ''")
+
+
 # --- runs, outputs and reports --------------------------------------------------------------------
 
 _TASKS = "(SELECT DISTINCT run_id, node_id, task_run_id, status, cached, started_at, finished_at, base_name, exit_code FROM task_runs WHERE run_id IS NOT NULL)"

@@ -181,6 +181,14 @@ P4_FOUND_SQL = f"WITH {_P4} SELECT DISTINCT file_id, change, old_path, new_path
 P4_CHANGES_SQL = f"WITH {_P4} SELECT DISTINCT file_id, change, old_path, new_path, old_kinds, new_kinds FROM c"
 
 
+_P4_DEEP = f"""
+WITH RECURSIVE names AS (SELECT alias, min(field) AS field FROM field_aliases WHERE alias IS NOT NULL AND field IS NOT NULL GROUP BY 1),
+r AS (SELECT DISTINCT raw_id, file_id, CAST(record AS JSON) AS j FROM cache_meta_raw WHERE json_valid(record) AND json_type(record) = 'OBJECT'),
+w AS (SELECT file_id, e.key AS spelled, coalesce((SELECT field FROM names WHERE alias = e.key), e.key) AS field, {_P4_TYPE} AS kind, e.value AS v FROM r, json_each(j) AS e WHERE json_type(e.value) <> 'NULL'
+  UNION ALL SELECT w.file_id, w.spelled || '.' || e.key, w.field || '.' || coalesce((SELECT field FROM names WHERE alias = e.key), e.key), {_P4_TYPE}, e.value FROM w, json_each(w.v) AS e WHERE w.kind = 'object' AND json_type(e.value) <> 'NULL')"""
+P4_SCHEMA_SQL = f"{_P4_DEEP} SELECT field, count(DISTINCT file_id) AS n_files, string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds, string_agg(DISTINCT spelled, ',' ORDER BY spelled) AS spellings FROM w GROUP BY 1"
+
+
 # --- p5 -------------------------------------------------------------------------------------------
 
 
@@ -230,6 +238,7 @@ ORACLE = {
     "p2_found": P2_FOUND_SQL,
     "p4_found": P4_FOUND_SQL,
     "p4_changes": P4_CHANGES_SQL,
+    "p4_schema": P4_SCHEMA_SQL,
     "p5_found": P5_FOUND_SQL,
     "p5_periods": P5_PERIODS_SQL,
 }

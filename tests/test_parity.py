@@ -93,3 +93,11 @@ def test_maps(spark):
     rows = [({"a": "1", "b": "2"}, {"b": "3"}), (None, {"x": "key"}), ({"x": "key"}, None)]
     assert values(spark, parity.merge_maps("m", "n"), rows, "m map<string,string>, n map<string,string>") == [{"a": "1", "b": "3"}, {"x": "key"}, {"x": "key"}]
     assert values(spark, parity.redact_map("m", ["b"], ["1"]), rows[:2], "m map<string,string>, n map<string,string>") == [{"a": "[redacted]", "b": "[redacted]"}, None]
+
+
+def test_close_matches(spark):
+    import difflib
+
+    known = ["align_panel", "trim_reads", "rank_compounds"]
+    texts = ["aligned_panel", "trimreads", "zzz", "", None]
+    assert values(spark, parity.close_matches("t", known), [(x,) for x in texts], "t string") == [None if x is None else difflib.get_close_matches(x, known, 3, 0.4) for x in texts]
