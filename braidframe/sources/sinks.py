@@ -110,6 +110,31 @@ def move_once(spark: SparkSession, aside: str, path: str) -> bool:
     return True
 
 
+def folder_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """(file, digest, size) of the files below a folder, by path from there; contents are digested where they are read."""
+    fs, p = file_system(spark, path)
+    root = fs.getFileStatus(p).getPath().toUri().getPath().rstrip("/")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    relative = F.substring(F.regexp_replace("path", "^[a-z][a-z0-9+.-]*:(//[^/]*)?", ""), len(root) + 2, 2**31 - 1)
+    return files.select(relative.alias("file"), F.sha2("content", 256).alias("digest"), F.col("length").alias("size"))
+
+
+def folder_once(spark: SparkSession, path: str, root: str) -> tuple[str, str]:
+    """Content-addressed folder of any files: copied under the digest of its manifest unless it is there; (digest, path).
+
+    The manifest has one line for a file. Empty files are not part of it.
+    """
+    lines = folder_manifest(spark, path).agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(" ", "digest", "file"))), "\n").alias("m")).first()["m"]
+    digest = hashlib.sha256(lines.encode()).hexdigest()
+    fs, source = file_system(spark, path)
+
+    def copy(aside: str) -> None:
+        to_fs, to = file_system(spark, aside)
+        spark._jvm.org.apache.hadoop.fs.FileUtil.copy(fs, source, to_fs, to, False, True, spark._jsc.hadoopConfiguration())
+
+    return digest, publish_once(spark, copy, f"{root.rstrip('/')}/{digest[:2]}/{digest}")
+
+
 def content_digest(df: DataFrame) -> str:
     """Digest of a table's rows regardless of their order: sums of the parts of each row's SHA-256, the count and the schema.
 

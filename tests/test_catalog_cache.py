@@ -185,3 +185,18 @@ def test_remote_files(spark, tmp_path):
             bad()
     with pytest.raises(FileNotFoundError):
         remote.stage(spark, remote.RemoteRef(f"file://{tmp_path}/none"))
+
+
+def test_folders_by_content(spark, tmp_path):
+    for name in ("a", "b"):
+        (tmp_path / name / "deep er").mkdir(parents=True)
+        (tmp_path / name / "x.bin").write_bytes(b"\x00\xff")
+        (tmp_path / name / "deep er" / "y.txt").write_text("hi")
+    assert {(r["file"], r["size"]) for r in sinks.folder_manifest(spark, str(tmp_path / "a")).collect()} == {("x.bin", 2), ("deep er/y.txt", 2)}
+    one, two = (sinks.folder_once(spark, str(tmp_path / n), str(tmp_path / "cas")) for n in ("a", "b"))
+    assert one == two
+    (tmp_path / "b" / "x.bin").write_bytes(b"\x01")
+    assert sinks.folder_once(spark, str(tmp_path / "b"), str(tmp_path / "cas"))[0] != one[0]
+    from pathlib import Path
+
+    assert (Path(one[1]) / "deep er" / "y.txt").read_text() == "hi"

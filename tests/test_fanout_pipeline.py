@@ -206,3 +206,15 @@ def test_retries_by_exit_code():
     with pytest.raises(Failed) as e:
         pipeline.evaluate(run(), sleep=lambda _: None)
     assert e.value.exit_code == 1 and codes == []
+
+
+def test_concurrency_of_branches():
+    _, add, _, _ = registry()
+    calls = add(b=1).map(a=[1, 2, 3], max_concurrent=2).map(b=[4, 5])
+    (group,) = calls.slots
+    assert calls.slots[group] == 2 and {c.group for c in calls} == {group} and len(calls) == 6
+    ready = [c.step.ready(c.label, c.group) for c in calls]
+    assert len(pipeline.select_feasible(ready, jobs=9, cores=9, group_slots=calls.slots)) == 2
+    assert pipeline.evaluate(calls) == [5, 6, 6, 7, 7, 8] and add(b=1).map(a=[1]).slots == {}
+    with pytest.raises(ValueError):
+        add(b=1).map(a=[1], max_concurrent=0)
