@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from braidframe import pipeline
 from braidframe.catalog import Asset, Catalog, reserve_names
 from braidframe.functions import parity
-from braidframe.operators import fanout
+from braidframe.operators import eventlog, fanout
 from braidframe.operators.ordered import running_sum
 from braidframe.plans.tables import table
 from braidframe.resultcache import ResultCache
@@ -144,6 +144,27 @@ def blob_listing(spark: SparkSession, d: str) -> DataFrame:
     return readers.read_blobs(spark, root, "*.bin").groupBy(F.col("size").alias("size_class")).agg(F.count(F.lit(1)).alias("n"))
 
 
+_RUNS = "SELECT DISTINCT run_id, CAST(node_id AS VARCHAR) AS task_id, base_name, coalesce(attempt, 0) AS attempt, status, strftime(started_at, '%Y-%m-%dT%H:%M:%S.%f') AS a, strftime(finished_at, '%Y-%m-%dT%H:%M:%S.%f') AS f, cache_key, env FROM task_runs WHERE run_id IS NOT NULL AND node_id IS NOT NULL AND started_at IS NOT NULL"
+
+
+@query(f"""WITH r AS ({_RUNS}), e AS (SELECT run_id, task_id, attempt, a AS ts, 2 AS rank, 'running' AS state, a AS started, NULL AS ended, NULL AS cache_key FROM r
+  UNION ALL SELECT run_id, task_id, attempt, f, 6, CASE status WHEN 'cached' THEN 'cached' ELSE 'succeeded' END, NULL, f, cache_key FROM r WHERE status IN ('succeeded', 'cached') AND f IS NOT NULL
+  UNION ALL SELECT run_id, task_id, attempt, f, 7, 'failed', NULL, f, NULL FROM r WHERE status = 'failed' AND f IS NOT NULL)
+SELECT run_id, task_id, arg_max(state, {{'a': ts, 'b': attempt, 'c': rank}}) AS state, CAST(max(attempt) + 1 AS INT) AS attempts, min(started) AS started, max(ended) AS ended, max(cache_key) AS cache_key FROM e GROUP BY ALL""")
+def event_log_states(spark: SparkSession, d: str) -> DataFrame:
+    """Events written as JSON lines of their kinds, read back, checked, and folded to each task's state."""
+    iso = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    r = table(spark, d, "task_runs").where("run_id IS NOT NULL AND node_id IS NOT NULL AND started_at IS NOT NULL")
+    r = r.select("run_id", F.col("node_id").cast("string").alias("task_id"), F.col("base_name").alias("task_name"), F.coalesce("attempt", F.lit(0)).alias("attempt"), "status", iso("started_at").alias("a"), iso("finished_at").alias("f"), "cache_key", "env").distinct()
+    r = r.withColumn("v", F.lit(1))
+    ended = F.when(F.col("status").isin("succeeded", "cached"), "task_completed").when(F.col("status") == "failed", "task_failed")
+    started = r.select("run_id", "task_id", "task_name", "attempt", "v", "env", F.lit("task_started").alias("event"), F.col("a").alias("ts"))
+    finished = r.where(ended.isNotNull() & F.col("f").isNotNull()).select("run_id", "task_id", "task_name", "attempt", "v", "cache_key", "status", ended.alias("event"), F.col("f").alias("ts"))
+    path = _folder(spark, "log")
+    eventlog.to_lines(started.unionByName(finished, allowMissingColumns=True)).write.text(path)
+    return eventlog.task_states(eventlog.parse(readers.read_lines(spark, path)))
+
+
 # --- tables and stores ----------------------------------------------------------------------------
 
 
@@ -395,3 +416,47 @@ def routed_flow(spark: SparkSession, d: str) -> DataFrame:
         return gathered(frames=expanded(names=start.output[0], most=start.output[1]))
 
     return pipeline.evaluate(steps.the_flow()())
+
+
+@query("""SELECT string_agg(c_mktsegment || ' ' || n || ' ' || printf('%.2f', revenue), chr(10) ORDER BY c_mktsegment) AS manifest
+FROM (SELECT c_mktsegment, count(*) AS n, round_even(sum(o_totalprice), 2) AS revenue FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1)""")
+def flow_scan_to_manifest(spark: SparkSession, d: str) -> DataFrame:
+    """A whole flow: delimited files scanned and joined, a branch per segment registered as a checked asset, all gathered into a manifest."""
+    steps, cat = pipeline.Registry(), Catalog(spark, _folder(spark, "flow"))
+
+    @steps.step()
+    def scanned(name, schema):
+        path = _folder(spark, name)
+        sinks.write_csv(table(spark, d, name), path)
+        return readers.read_csv(spark, path, schema)
+
+    @steps.step()
+    def joined(orders, customers):
+        wide = orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).select("c_mktsegment", "o_totalprice")
+        return wide, [r[0] for r in wide.select("c_mktsegment").distinct().orderBy("c_mktsegment").collect()]  # one branch each
+
+    @steps.step()
+    def branch(wide, segment):
+        part = wide.where(F.col("c_mktsegment") == segment).groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"), parity.round_half_even(F.sum("o_totalprice"), 2).alias("revenue"))
+        name = f"revenue {segment.lower()}"
+        cat.register(Asset(part, name, checks={"one_row": lambda t: F.count(F.lit(1)) == 1}), run_id="flow")
+        return name
+
+    @steps.step()
+    def branches_of(wide, segments):
+        return branch(wide=wide).map(segment=segments)
+
+    @steps.step()
+    def manifest(names):
+        rows = fanout.union_branches([cat.read(n) for n in fanout.flatten(names)])
+        line = F.format_string("%s %d %.2f", "c_mktsegment", "n", "revenue")
+        return sinks.lines_document(rows, line, [F.col("c_mktsegment")], "manifest")
+
+    @steps.flow
+    def flow():
+        customer = scanned(name="customer", schema=_CUSTOMER)
+        orders = scanned(name="orders", schema="o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string")
+        both = joined(orders=orders, customers=customer)
+        return manifest(names=branches_of(wide=both.output[0], segments=both.output[1]))
+
+    return pipeline.evaluate(steps.the_flow()())
