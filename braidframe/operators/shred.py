@@ -3,7 +3,7 @@
 Every value of a document becomes a node row: node, parent, label, ordinal, kind and scalar. Rules name
 which nodes are entities; while shredding each entity also learns its path, and its content, which leaves
 out the entities inside. Entity tables come from the node table by bringing entities and the nodes below
-them together, pivoting relative paths into columns and joining each entity to the one it lies in.
+them together and pivoting relative paths into columns; parent_links joins each entity to the one it lies in.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -122,23 +122,24 @@ def step_name(key: str) -> str:
 
 
 def _walk(root, matcher: _Matcher, made: set[str]) -> Iterator[tuple]:
-    """Node rows in document order: (node, parent, label, ordinal, kind, scalar, entity, path, content, home, rel).
+    """Node rows in document order: (node, parent, label, ordinal, kind, scalar, entity, path, owner, content, home, rel).
 
     Of label, scalar, content and rel only those in ``made`` are filled.
     """
     with_label, with_scalar, with_content, with_rel = (c in made for c in ("label", "scalar", "content", "rel"))
     node = 0
-    # value, its parent's number, label, ordinal, state, path, rule met, number of the nearest entity, steps from there
-    todo = [(root, None, None, 0, matcher.start, "", -1, None, None)]
+    # value, its parent's number, label, ordinal, state, path, path of the nearest entity, rule met, number of that entity, steps from there
+    todo = [(root, None, None, 0, matcher.start, "", "", -1, None, None)]
     while todo:
-        value, parent, label, ordinal, state, path, hit, home, steps = todo.pop()
+        value, parent, label, ordinal, state, path, owner, hit, home, steps = todo.pop()
         k = jsontext.kind(value)
         box = k == "object" or k == "array"
         scalar = None if box or value is None or not with_scalar else jsontext.clean(value) if k == "string" else str(value).lower() if k == "boolean" else str(value)
         content = jsontext.dump(_own(value, state, matcher)) if with_content and box and hit >= 0 else None
         rel = jsontext.clean("/".join(steps)) if steps and hit < 0 else None
-        yield node, parent, None if label is None or not with_label else jsontext.clean(label), ordinal, k, scalar, matcher.rules[hit].name if hit >= 0 else None, jsontext.clean(path) if hit >= 0 else None, content, home, rel
+        yield node, parent, None if label is None or not with_label else jsontext.clean(label), ordinal, k, scalar, matcher.rules[hit].name if hit >= 0 else None, jsontext.clean(path) if hit >= 0 else None, jsontext.clean(owner) if hit >= 0 else None, content, home, rel
         if box:
+            inner = path if hit >= 0 else owner
             near, base = (node, ()) if hit >= 0 else (home, steps)
             if not with_rel or (base is not None and len(base) >= REACH):
                 base = None
@@ -147,11 +148,11 @@ def _walk(root, matcher: _Matcher, made: set[str]) -> Iterator[tuple]:
             if k == "object":
                 for i, (key, child) in enumerate(value.items()):
                     nxt, met = matcher.move(state, key, jsontext.kind(child))
-                    kids.append((child, node, key, i, nxt, start + key, met, near, None if base is None else (*base, step_name(key))))
+                    kids.append((child, node, key, i, nxt, start + key, inner, met, near, None if base is None else (*base, step_name(key))))
             else:
                 for i, child in enumerate(value):
                     nxt, met = matcher.move(state, None, jsontext.kind(child))
-                    kids.append((child, node, None, i, nxt, f"{start}{i}", met, near, None if base is None else (*base, "#")))
+                    kids.append((child, node, None, i, nxt, f"{start}{i}", inner, met, near, None if base is None else (*base, "#")))
             todo.extend(reversed(kids))
         node += 1
 
@@ -165,6 +166,7 @@ _NODE = [
     ("scalar", pa.string(), T.StringType()),
     ("entity", pa.string(), T.StringType()),
     ("path", pa.string(), T.StringType()),
+    ("owner", pa.string(), T.StringType()),
     ("content", pa.string(), T.StringType()),
     ("home", pa.int64(), T.LongType()),
     ("rel", pa.string(), T.StringType()),
@@ -173,11 +175,12 @@ _NODE = [
 
 def shred(df: DataFrame, key: str, text: str, rules: tuple[Entity, ...], *, columns: Sequence[str] | None = None) -> DataFrame:
     """Adjacency table of the JSON texts in ``text``, a row for every value: (key, doc, node, parent, label, ordinal, kind,
-    scalar, entity, path, content, home, rel).
+    scalar, entity, path, owner, content, home, rel).
 
     ``doc`` tells texts that differ under one key apart. Repeated (key, text) rows count once; null
     texts and texts that are not valid JSON give no rows; any depth is read. Number scalars keep their
-    spelling, null and containers have a null scalar. ``path`` joins keys and positions by ``/``.
+    spelling, null and containers have a null scalar. ``path`` joins keys and positions by ``/``, ``owner``
+    is that of the nearest enclosing entity; entities have them.
     ``content`` is the compact JSON of an entity that is an object or array, with null in the place of
     each entity inside, which has a row of its own. ``home`` is the node of the nearest enclosing entity
     and ``rel`` the path from there (``step_name`` of keys, ``#`` for array elements), null for entities
@@ -221,21 +224,19 @@ def shred(df: DataFrame, key: str, text: str, rules: tuple[Entity, ...], *, colu
     return docs.select("__key", "__doc", "__text").mapInArrow(run, schema)
 
 
-def _with_parent(rows: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
-    """Join rows that have ``doc`` and ``home`` to the entity they lie in: ``parent_path``, empty where there is none."""
-    above = nodes.where(F.col("entity").isNotNull()).select(F.col(key).alias("__key"), F.col("doc").alias("__doc"), F.col("node").alias("__node"), F.col("path").alias("parent_path"))
-    same = F.col(key).eqNullSafe(F.col("__key")) & (F.col("doc") == F.col("__doc")) & (F.col("home") == F.col("__node"))
-    return rows.join(above, same, "left").drop("__key", "__doc", "__node").withColumn("parent_path", F.coalesce("parent_path", F.lit("")))
-
-
 def parent_links(nodes: DataFrame, key: str) -> DataFrame:
     """(key, entity, node_path, parent_path) of every entity, by joining it to the entity it lies in.
 
     The link is the adjacency table's ``home``; an entity in no other has an empty ``parent_path``. Null
-    keys are joined too.
+    keys are joined too. Each entity stands once at its own number and once at its parent's, so that the
+    node table is made once and exchanged once; what meets at a number is a node and its children.
     """
-    own = nodes.where(F.col("entity").isNotNull()).select(key, "doc", "home", "entity", F.col("path").alias("node_path"))
-    return _with_parent(own, nodes, key).select(key, "entity", "node_path", "parent_path")
+    place = lambda at, own: F.struct(at.alias("__at"), F.lit(own).alias("__own"))
+    both = F.array_compact(F.array(place(F.col("node"), True), F.when(F.col("home").isNotNull(), place(F.col("home"), False))))
+    rows = nodes.where(F.col("entity").isNotNull()).select(key, "doc", "home", "entity", F.col("path").alias("node_path"), F.inline(both))
+    above = F.max(F.when(F.col("__own"), F.col("node_path"))).over(Window.partitionBy(key, "doc", "__at"))
+    linked = rows.withColumn("__above", above).where(~F.col("__own") | F.col("home").isNull())
+    return linked.select(key, "entity", "node_path", F.when(F.col("__own"), "").otherwise(F.col("__above")).alias("parent_path"))
 
 
 def entity_table(nodes: DataFrame, key: str, entity: str, fields: dict[str, str]) -> DataFrame:
@@ -250,11 +251,11 @@ def entity_table(nodes: DataFrame, key: str, entity: str, fields: dict[str, str]
     if far := [f for f in fields if f.count("/") >= REACH]:
         raise ValueError(f"more than {REACH} steps: {far}")
     lists = {f.removesuffix("/#") for f in fields if f.endswith("/#")}
-    self_type = "struct<path:string,home:bigint,kind:string,scalar:string,label:string,ordinal:bigint,content:string>"
+    self_type = "struct<path:string,owner:string,kind:string,scalar:string,label:string,ordinal:bigint,content:string>"
     no_text = F.lit(None).cast("string")
     own = F.when(
         F.col("entity") == entity,
-        F.struct(F.col("node").alias("id"), no_text.alias("rel"), F.struct("path", "home", "kind", "scalar", "label", "ordinal", "content").alias("self"), no_text.alias("kind"), F.col("ordinal").alias("at"), no_text.alias("value")),
+        F.struct(F.col("node").alias("id"), no_text.alias("rel"), F.struct("path", "owner", "kind", "scalar", "label", "ordinal", "content").alias("self"), no_text.alias("kind"), F.col("ordinal").alias("at"), no_text.alias("value")),
     )
     below = F.when(
         F.col("rel").isin(*fields, *lists),
@@ -271,10 +272,10 @@ def entity_table(nodes: DataFrame, key: str, entity: str, fields: dict[str, str]
 
     roles = nodes.select(key, "doc", F.inline(F.array_compact(F.array(own, below))))
     grouped = roles.groupBy(key, "doc", "id").agg(F.max("self").alias("self"), *[column(f, t) for f, t in fields.items()])
-    return _with_parent(grouped.where(F.col("self").isNotNull()).withColumn("home", F.col("self.home")), nodes, key).select(
+    return grouped.where(F.col("self").isNotNull()).select(
         key,
         F.col("self.path").alias("node_path"),
-        "parent_path",
+        F.col("self.owner").alias("parent_path"),
         F.col("self.label").alias("node_key"),
         F.col("self.ordinal").alias("position"),
         F.col("self.kind").alias("kind"),
