@@ -217,7 +217,7 @@ def _labelled(spark: SparkSession, d: str) -> tuple[DataFrame, list[str]]:
     """Every entry of the embeddings as a column, and whether the label is 0."""
     rows = table(spark, d, "embeddings")
     features = [f"x{i}" for i in range(rows.agg(F.max(F.size("embedding"))).first()[0] or 0)]
-    return rows.select("vec_id", "label", *[F.get("embedding", F.lit(i)).cast("double").alias(x) for i, x in enumerate(features)], (F.col("label") == 0).cast("int").alias("y")), features
+    return rows.select("label", *[F.get("embedding", F.lit(i)).cast("double").alias(x) for i, x in enumerate(features)], (F.col("label") == 0).cast("int").alias("y")), features
 
 
 def logistic_grid(spark: SparkSession, d: str) -> DataFrame:
